@@ -41,10 +41,11 @@ def value_kind(data: Column, content_type: Column) -> Column:
     head = F.ltrim(F.substring(data, 1, 200))
     declared = F.lower(F.coalesce(content_type, F.lit("")))
     return (
-        F.when(head.startswith("iVBORw0KG"), "png")
+        F.when(data.rlike(r"^( {4}|\t)"), "text")
+        .when(head.startswith("iVBORw0KG"), "png")
         .when(head.startswith("<svg") | (head.startswith("<?xml") & head.contains("<svg")), "svg")
         .when(head.rlike(_TAG_START), "markup")
-        .when(head.rlike(r'^(\{\s*"|\{\s*\}|\[\s*[\[{"\d\]])'), "json")
+        .when(head.rlike(r'^(\{\s*"|\{\s*\}|\[\s*(\[\s*)*[{"\d\]])'), "json")
         .when(head.rlike(r"^([.#@*]?[A-Za-z][\w.:#>\[\]=\"' ,()-]*\{|/\*)") & ~declared.contains("javascript") & ~declared.startswith("text/plain"), "style")
         .when(declared.contains("javascript") & head.rlike(r"^(function|let|const|var|window|if|for|while|import|export|class|return|\(|//|/\*|[\w.$]+\s*[=(.])"), "script")
         .otherwise("text")
