@@ -7,11 +7,10 @@ import re
 
 BLOCK_TAGS = ("h1", "h2", "h3", "p", "li", "blockquote", "pre", "figcaption")
 _DROP = re.compile(r"<(script|style|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
-_TOKEN = re.compile(r"<(h1|h2|h3|p|li|blockquote|pre|figcaption|noscript|title)>(.*?)(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>", re.S)
+_TOKEN = re.compile(r"<(h1|h2|h3|p|li|blockquote|pre|figcaption)>(.*?)(?:</\1\s*>|\Z)|<(/?)(?!(?:ul|ol|tr|td|th|tbody|a|b|i|em|strong|span|html|head|body|meta|link|br|img|hr|input|title|noscript|h[1-6]|p|li)\b)([a-zA-Z][\w:-]*)([^<>]*)>", re.S)
 _LINK = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^<>]*>")
 _NAME = re.compile(r"""(?:id|class|role)\s*=\s*["']?([^"'>]*)""", re.I)
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -26,48 +25,47 @@ def plain(markup: str) -> str:
 
 
 class Block:
-    """One text element: its tag, text, share of link text, containers' path and the number of the innermost container."""
+    """One text element: its tag, text, share of link text, path of containers and their numbers from the outermost on."""
 
-    __slots__ = ("tag", "text", "link", "path", "box", "raw")
+    __slots__ = ("tag", "text", "link", "path", "chain", "label")
 
-    def __init__(self, tag: str, text: str, link: float, path: str, box: int, raw: str):
-        self.tag, self.text, self.link, self.path, self.box, self.raw = tag, text, link, path, box, raw
+    def __init__(self, tag: str, text: str, link: float, path: str, chain: tuple[int, ...], label: bool):
+        self.tag, self.text, self.link, self.path, self.chain, self.label = tag, text, link, path, chain, label
 
 
-def read_blocks(page: str) -> tuple[str, list[Block], list[str]]:
-    """(title, blocks in document order, noscript texts)."""
-    if "<script" in page or "<style" in page or "<!--" in page or "<S" in page:
+def read_blocks(page: str) -> list[Block]:
+    """The page's blocks in document order."""
+    start = page.find("<body")
+    if start > 0:
+        page = page[start:]
+    if "<script" in page or "<style" in page or "<!--" in page or "<template" in page or "<textarea" in page:
         page = _DROP.sub("", page)
-    title, notices, blocks = "", [], []
+    blocks: list[Block] = []
     stack: list[tuple[str, str, int]] = []
-    path, box, boxes = "", 0, 0
-    for m in _TOKEN.finditer(page):
-        tag = m[1]
+    path, chain, boxes = "", (), 0
+    for tag, body, closing, name, rest in _TOKEN.findall(page):
         if tag:
-            body = m[2]
-            if tag == "title":
-                title = title or plain(body)
-            elif tag == "noscript":
-                notices.append(plain(body))
+            link, label = 0.0, False
+            if "<" not in body:
+                text = plain(body)
+            elif body.startswith("<a ") and body.endswith("</a>") and body.count("<a") == 1:
+                text, link = plain(body), 1.0
             else:
-                text = plain(body) if tag != "pre" else html.unescape(_TAG.sub("", body))
-                link = 0.0
+                text = plain(body)
                 if "<a" in body and text:
                     link = min(1.0, sum(len(plain(x)) for x in _LINK.findall(body)) / len(text))
-                blocks.append(Block(tag, text, link, f"{path}/{tag}", box, body))
+                    label = body.startswith(("<b>", "<strong>")) and body.endswith("</a>") and link > 0.3
+            blocks.append(Block(tag, text, link, f"{path}/{tag}", chain, label))
             continue
-        name = m[4].lower()
-        if name in _VOID or name in ("a", "b", "i", "em", "strong", "span", "code", "html", "head", "body", "tr", "td", "tbody", "ul", "ol"):
-            continue
-        if m[3]:
+        name = name.lower()
+        if closing:
             while stack:
-                top = stack.pop()
-                if top[0] == name:
+                if stack.pop()[0] == name:
                     break
-        elif not m[5].endswith("/"):
+        elif rest[-1:] != "/":
             boxes += 1
-            found = _NAME.search(m[5])
+            found = _NAME.search(rest) if rest else None
             stack.append((name, f"{name}.{found[1].strip()}" if found else name, boxes))
         path = "/".join(x[1] for x in stack)
-        box = stack[-1][2] if stack else 0
-    return title, blocks, notices
+        chain = tuple(x[2] for x in stack)
+    return blocks
