@@ -7,7 +7,7 @@ import re
 
 BLOCK_TAGS = ("h1", "h2", "h3", "p", "li", "blockquote", "pre", "figcaption")
 _DROP = re.compile(r"<(script|style|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
-_TOKEN = re.compile(r"<(h1|h2|h3|p|li|blockquote|pre|figcaption)>(.*?)(?:</\1\s*>|\Z)|<(/?)(?!(?:ul|ol|tr|td|th|tbody|a|b|i|em|strong|span|html|head|body|meta|link|br|img|hr|input|title|noscript|h[1-6]|p|li)\b)([a-zA-Z][\w:-]*)([^<>]*)>", re.S)
+_TOKEN = re.compile(r"<(h1|h2|h3|p|li|blockquote|pre|figcaption)>([^<]*(?:<(?!/\1\s*>)[^<]*)*)(?:</\1\s*>|\Z)|<(/?)(?!(?:ul|ol|tr|td|th|tbody|a|b|i|em|strong|span|html|head|body|meta|link|br|img|hr|input|title|noscript|h[1-6]|p|li)\b)([a-zA-Z][\w:-]*)([^<>]*)>", re.S)
 _LINK = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.S | re.I)
 _TAG = re.compile(r"<[^<>]*>")
 _NAME = re.compile(r"""(?:id|class|role)\s*=\s*["']?([^"'>]*)""", re.I)

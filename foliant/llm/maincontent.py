@@ -32,17 +32,20 @@ HOST_SHARE = 0.15
 #: ... and of the web if it stands on the pages of this share of all hosts, and of three at least.
 WEB_SHARE, WEB_HOSTS = 0.004, 3
 #: Characters of the longest line that is counted; longer blocks are never boilerplate.
-MAX_LINE = 240
+MAX_LINE, WEB_LINE = 240, 120
 
 _TAG_NO = {t: i for i, t in enumerate(BLOCK_TAGS)}
 _H1, _H2, _H3, _P, _LI, _QUOTE, _PRE, _CAPTION = range(8)
 _DIGITS = re.compile(r"\d+")
 _PROPER = re.compile(r"(?<=\S )[A-ZÀ-ÖØ-Þ]\w*")
 _LEAD = re.compile(r"^[A-ZÀ-ÖØ-Þ][a-z]+(?: [A-ZÀ-ÖØ-Þ][a-z]+)*(?=,)")
-_PUNCT = re.compile(r"[.,;:!?…。、！？]")
+_PUNCT = (".", ",", ";", ":", "!", "?", "…", "。", "、")
 _SUFFIX = re.compile(r"\s+[|–—·-]\s+[^|–—·]{1,60}$")
 
 
+_LISTS = {"tag": pa.int8(), "size": pa.int32(), "punct": pa.int32(), "link": pa.int8(), "words": pa.int32(), "box": pa.int32(), "path": pa.int32(), "line": pa.int64(), "web": pa.int64(), "flag": pa.int8()}
+
+
 def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
@@ -50,6 +53,8 @@ def _key(text: str) -> int:
 def line_keys(text: str) -> tuple[int, int]:
     """Keys of a line as it stands on one host, and with digits and proper names masked, as it stands on many."""
     same = _DIGITS.sub("0", text)
+    if len(text) > WEB_LINE:
+        return _key(same), 0
     masked = _LEAD.sub("N", same)
     masked = re.sub(r"N(?: N)+", "N", _PROPER.sub("N", masked))
     return _key(same), _key(masked)
@@ -63,34 +68,43 @@ def page_features(data: str, title: str | None) -> dict:
         depth += 1
     bare = _SUFFIX.sub("", title) if title else ""
     site = title[len(bare):].strip(" |–—·-") if title else ""
-    out: dict = {k: [] for k in ("tag", "size", "punct", "link", "words", "box", "path", "line", "web", "flag")}
+    rows = []
     headline, best = -1, 0
     for i, b in enumerate(blocks):
-        tag = _TAG_NO[b.tag]
-        counted = tag <= _P and b.link < 0.9 and 0 < len(b.text) <= MAX_LINE
-        same, web = line_keys(b.text) if counted else (0, 0)
+        tag, text, link = _TAG_NO[b.tag], b.text, b.link
+        size = len(text)
+        same = web = flag = punct = 0
+        box = b.chain[depth] if len(b.chain) > depth else 0
+        if tag == _LI:
+            words = text.count(" ") + 1 if " " in text or text.isascii() else 1 + size // 4
+            rows.append((tag, size, 0, int(100 * link), words, box, b.path, 0, 0, 2 if b.label else 0))
+            continue
+        if tag <= _P and link < 0.9 and 0 < size <= MAX_LINE:
+            same, web = line_keys(text)
         # 1 crumb, 2 label with a link, 4 the title's own text, 8 the site's name, 16 numbered or signed line
-        crumb = tag == _P and len(b.text) < 160 and b.text[-1:] not in ".!?" and ("›" in b.text or " > " in b.text or ("»" in b.text and "«" not in b.text))
-        flag = (1 if crumb else 0) | (2 if b.label else 0)
-        if tag <= _H2 and b.text:
-            if title and (b.text == bare or b.text == title or (len(b.text) > 12 and title.startswith(b.text))):
+        if b.label:
+            flag = 2
+        if tag == _P:
+            punct = sum(map(text.count, _PUNCT))
+            if size < 160:
+                if text[-1:] not in ".!?" and ("›" in text or " > " in text or ("»" in text and "«" not in text)):
+                    flag |= 1
+                if size < 100 and ("©" in text or _DIGITS.search(text)):
+                    flag |= 16
+        elif tag == _QUOTE:
+            punct = sum(map(text.count, _PUNCT))
+        elif tag <= _H2 and text:
+            if title and (text == bare or text == title or (size > 12 and title.startswith(text))):
                 flag |= 4
-                if len(b.text) > best:
-                    headline, best = i, len(b.text)
-            elif b.text == site:
+                if size > best:
+                    headline, best = i, size
+            elif text == site:
                 flag |= 8
-        if tag == _P and ("©" in b.text or any(c.isdigit() for c in b.text)):
-            flag |= 16
-        out["tag"].append(tag)
-        out["size"].append(len(b.text))
-        out["punct"].append(len(_PUNCT.findall(b.text)) if tag in (_P, _QUOTE) else 0)
-        out["link"].append(int(100 * b.link))
-        out["words"].append(b.text.count(" ") + 1 if b.text and b.text.isascii() or " " in b.text else 1 + len(b.text) // 4)
-        out["box"].append(b.chain[depth] if len(b.chain) > depth else 0)
-        out["path"].append(_key(b.path) & 0x7FFFFFFF)
-        out["line"].append(same)
-        out["web"].append(web)
-        out["flag"].append(flag)
+        words = text.count(" ") + 1 if " " in text or text.isascii() else 1 + size // 4
+        rows.append((tag, size, punct, int(100 * link), words, box, b.path, same, web, flag))
+    keys = {p: _key(p) & 0x7FFFFFFF for p in {r[6] for r in rows}}
+    out: dict = dict(zip(_LISTS, zip(*rows))) if rows else {k: [] for k in _LISTS}
+    out["path"] = [keys[p] for p in out["path"]]
     head = blocks[headline].text if headline >= 0 else bare or next((b.text for b in blocks if b.tag in ("h1", "h2") and " " in b.text), "")
     out["headline"] = headline
     out["about"] = _key(head)
@@ -204,7 +218,6 @@ def choose(f: dict, host_lines: set[int], web_lines: set[int]) -> list[int]:
     return [i for i in range(start, end) if good[i] and box[i] == 0]
 
 
-_LISTS = {"tag": pa.int8(), "size": pa.int32(), "punct": pa.int32(), "link": pa.int8(), "words": pa.int32(), "box": pa.int32(), "path": pa.int32(), "line": pa.int64(), "web": pa.int64(), "flag": pa.int8()}
 _FEATURES = pa.schema([("archive_id", pa.string()), ("host", pa.string()), ("about", pa.int64()), ("headline", pa.int32()), *((k, pa.list_(t)) for k, t in _LISTS.items())])
 _DDL = "archive_id string, host string, about bigint, headline int, " + ", ".join(f"{k} array<{ {pa.int8(): 'tinyint', pa.int32(): 'int', pa.int64(): 'bigint'}[t]}>" for k, t in _LISTS.items())
 
@@ -233,7 +246,7 @@ def repeated_lines(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     per_host = once.groupBy("host", "line").agg(F.count("*").alias("n"))
     at_least = F.greatest(F.when(F.col("topics") > 10, F.lit(3)).otherwise(F.lit(2)), F.ceil(F.col("topics") * HOST_SHARE))
     hosts = per_host.filter("n >= 2").join(topics, "host").filter(F.col("n") >= at_least).groupBy("host").agg(F.collect_list("line").alias("lines"))
-    per_web = once.select("host", "web").distinct().groupBy("web").agg(F.count("*").alias("n"))
+    per_web = once.filter("web != 0").select("host", "web").distinct().groupBy("web").agg(F.count("*").alias("n"))
     n_hosts = features.agg(F.count_distinct("host").alias("hosts"))
     web = per_web.filter(F.col("n") >= WEB_HOSTS).join(F.broadcast(n_hosts), F.col("n") >= F.col("hosts") * WEB_SHARE).select("web")
     return hosts, web

@@ -43,7 +43,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MARKUP = re.compile(r"(?! {4}|\t)\s*<(?:!doctype|\?xml|html|head|body|title|p|div|h[1-6]|ul|ol|table|center|main|article|section|header|footer|nav|noscript)\b", re.I)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 _NOSCRIPT = re.compile(r"<noscript\b[^>]*>(.*?)(?:</noscript\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(r"<(h[1-6]|p|li|blockquote|figcaption)>(.*?)(?:</\1\s*>|\Z)", re.S)
+_BLOCK = re.compile(r"<(h[1-6]|p|li|blockquote|figcaption)>([^<]*(?:<(?!/\1\s*>)[^<]*)*)(?:</\1\s*>|\Z)")
 #: Text that stands in a container itself, outside the usual elements.
 _STRAY = re.compile(r"<(?:body|div|td|section|main|article|center|span|dd|dt)\b[^<>]*>\s*([^<\s][^<]*)", re.I)
 _ATTRIBUTES = re.compile(r"""\s[\w:-]+\s*=\s*("[^"]*"|'[^']*')""")
