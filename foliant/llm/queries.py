@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import maincontent, residue, truncation
+from foliant.llm import maincontent, mojibake, residue, truncation
 from foliant.plans.queries import Query
 from foliant.plans.queries import query as _query
 from foliant.runtime import read_table
@@ -31,6 +31,16 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return residue.residue_records(read_table(spark, base, "parts"), read_table(spark, base, "page_data"))
 
 
+@query("p4_found")
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return mojibake.garbled_records(read_table(spark, base, "parts"), read_table(spark, base, "archives"))
+
+
+@query("p4_restored")
+def p4_restored(spark: SparkSession, base: str) -> DataFrame:
+    return mojibake.restored_records(read_table(spark, base, "parts"), read_table(spark, base, "archives"))
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return maincontent.article_blocks(read_table(spark, base, "page_data"))
