@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import maincontent, mojibake, residue, truncation
+from foliant.llm import langid, maincontent, mixing, mojibake, packing, residue, truncation
 from foliant.plans.queries import Query
 from foliant.plans.queries import query as _query
 from foliant.runtime import read_table
@@ -44,3 +44,35 @@ def p4_restored(spark: SparkSession, base: str) -> DataFrame:
 @query("p5_found")
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return maincontent.article_blocks(read_table(spark, base, "page_data"))
+
+
+@query("p6_placement")
+def p6_placement(spark: SparkSession, base: str) -> DataFrame:
+    return packing.container_placement(read_table(spark, base, "documents"), read_table(spark, base, "containers"))
+
+
+@query("p6_fill")
+def p6_fill(spark: SparkSession, base: str) -> DataFrame:
+    containers = read_table(spark, base, "containers")
+    return packing.container_fill(packing.container_placement(read_table(spark, base, "documents"), containers), containers)
+
+
+@query("p7_mixture")
+def p7_mixture(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.mixture(read_table(spark, base, "documents"), read_table(spark, base, "mix_targets"))
+
+
+@query("p7_shares")
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    targets = read_table(spark, base, "mix_targets")
+    return mixing.mixture_shares(mixing.mixture(read_table(spark, base, "documents"), targets), targets)
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return langid.mislabelled_documents(read_table(spark, base, "documents"))
+
+
+@query("p8_segments")
+def p8_segments(spark: SparkSession, base: str) -> DataFrame:
+    return langid.language_segments(read_table(spark, base, "documents"))
