@@ -182,7 +182,7 @@ def _words(samples: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def fit(samples: list[tuple[str, list[str]]]) -> Discriminator | None:
     """Fits the machines on (language, words); sentences that machines fitted on the others disown are left out.
 
-    A sentence that comes several times counts once, with the label it has most often (none if two are as frequent); with
+    A sentence that comes several times counts four times at most, with the label it has most often (none if two are as frequent); with
     three votes and a clear majority it needs no such judgement.
     """
     tally: dict[tuple[str, ...], dict[str, int]] = {}
@@ -193,7 +193,7 @@ def fit(samples: list[tuple[str, list[str]]]) -> Discriminator | None:
     for words, votes in sorted(tally.items()):
         first, *rest = sorted(votes.items(), key=lambda x: -x[1])
         if not rest or rest[0][1] < first[1]:
-            samples.append((first[0], list(words)))
+            samples += [(first[0], list(words))] * min(4, first[1])
             if first[1] >= 3 and first[1] >= 2 * sum(n for _, n in rest):
                 sure.add(words)
     # each half is judged by the machines of the other, which can't have learned its wrong labels by heart
