@@ -138,7 +138,7 @@ def escape_plain(text: Column) -> Column:
 
 
 def escape_script(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?<!\\)</", r"<\\\\/"), r"(?<!\\)/>", r"\\\\/>")
+    return F.regexp_replace(F.regexp_replace(text, r"(?<!\\)</", r"<\\/"), r"(?<!\\)/>", r"\\/>")
 
 
 def output_name(path: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import columns, markup, mime, pages
@@ -151,23 +151,22 @@ def fetch(missing: DataFrame, web: DataFrame, max_retries: int = 2) -> DataFrame
     again. Attempts go through them in order while they are transient and the wait asked for is short enough.
     """
     answers = web.select("url", "status", "content_type", "body", columns.is_transient(F.col("status")).alias("transient"), columns.retry_delay_ms(F.col("retry_after"), F.lit(0), F.col("fetched_at")).alias("delay"), "fetched_at")
-    # attempts of one address: at most max_retries + 1 are kept on the map side already
-    tries = answers.groupBy("url").agg(F.slice(F.array_sort(F.collect_list(F.struct("fetched_at", "status", "content_type", "body", "transient", "delay"))), 1, max_retries + 1).alias("tries"))
-    ended = F.filter("tries", lambda t: ~F.coalesce(t["transient"] | t["status"].isNull(), F.lit(True)) | (t["transient"] & t["delay"].isNull()))
-    last = F.when(F.size(ended) > 0, ended[0])
+    # only the first answers of an address count; the rank limit is applied before the shuffle
+    order = Window.partitionBy("url").orderBy(F.col("fetched_at").asc_nulls_last(), "status", "content_type")
+    tried = answers.withColumn("attempt", F.row_number().over(order)).filter(F.col("attempt") <= max_retries + 1)
+    ends = F.col("status").isNotNull() & (~F.col("transient") | F.col("delay").isNull())
+    last = tried.groupBy("url").agg(F.count("*").alias("answers"), F.min_by(F.struct("status", "content_type", "body"), F.when(ends, F.col("attempt"))).alias("last"))
     return (
         missing.withColumn("url", columns.unwrap_urn(F.col("address")))
-        .join(tries.withColumn("last", last), "url", "left")
+        .join(last, "url", "left")
         .withColumn("ok", F.coalesce(F.col("last.status").between(200, 299), F.lit(False)))
-        .select("archive_id", "address", "encoding", "url", "ok", F.col("last.status").alias("status"), F.coalesce("last.content_type", F.lit("application/octet-stream")).alias("content_type"), F.when(F.col("ok"), F.col("last.body")).alias("body"), F.coalesce(F.size("tries"), F.lit(0)).alias("answers"))
+        .select("archive_id", "address", "encoding", "url", "ok", F.col("last.status").alias("status"), F.coalesce("last.content_type", F.lit("application/octet-stream")).alias("content_type"), F.when(F.col("ok"), F.col("last.body")).alias("body"), F.coalesce("answers", F.lit(0)).alias("answers"))
     )
 
 
 def fetched_parts(fetched: DataFrame, after: DataFrame) -> DataFrame:
     """The fetched resources as further parts of their archives, numbered behind those of ``after``."""
     last = after.groupBy("archive_id").agg(F.max("ordinal").alias("last"))
-    from pyspark.sql import Window
-
     number = F.row_number().over(Window.partitionBy("archive_id").orderBy("address"))
     rows = fetched.filter("ok").join(last, "archive_id")
     return rows.select(

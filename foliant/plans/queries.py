@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foliant.functions import charset, columns, mimeheader, srcset, urls
+from foliant.operators import archives as ops
 from foliant.operators import records
+from foliant.plans import build
 from foliant.runtime import read_table, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +44,462 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 @query("p2_valid")
 def p2_valid(spark: SparkSession, base: str) -> DataFrame:
     return records.valid_records(read_table(spark, base, "part_lines"))
+
+
+# ---- parsing: archives built from documents, so that SQL over documents tells what must come back -------------------------
+
+
+def _documents(spark: SparkSession, base: str) -> DataFrame:
+    return read_table(spark, base, "documents")
+
+
+def _parse(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    return ops.parse_archives(rows.select(F.col(key).cast("string").alias("archive_id"), F.encode(text, "utf-8").alias("content")))
+
+
+def _bodies(parsed: DataFrame, data: Column | None = None) -> DataFrame:
+    return ops.archive_parts(parsed).select(F.col("archive_id").cast("bigint").alias("doc_id"), (F.col("data") if data is None else data).alias("text"))
+
+
+_TEXTS = "SELECT doc_id, text FROM documents"
+
+
+@query("parse_roundtrip_8bit", _TEXTS)
+def parse_roundtrip_8bit(spark, base):
+    return _bodies(_parse(_documents(spark, base), "doc_id", build.archive(build.part(F.col("text")))))
+
+
+@query("roundtrip_base64", _TEXTS)
+def roundtrip_base64(spark, base):
+    body = build.part(F.base64(F.encode("text", "utf-8")), encoding="base64")
+    return _bodies(_parse(_documents(spark, base), "doc_id", build.archive(body)), F.decode(columns.decode_base64(F.col("data")), "utf-8"))
+
+
+@query("roundtrip_quoted_printable", _TEXTS)
+def roundtrip_quoted_printable(spark, base):
+    encoded = build.mapped(_documents(spark, base), "doc_id", F.col("text"), build.quoted_printable)
+    return _bodies(_parse(encoded, "doc_id", build.archive(build.part(F.col("value"), encoding="quoted-printable"))))
+
+
+@query("roundtrip_binary", _TEXTS)
+def roundtrip_binary(spark, base):
+    body = build.part(F.col("text"), "application/octet-stream", "binary")
+    return _bodies(_parse(_documents(spark, base), "doc_id", build.archive(body)), F.decode(columns.decode_base64(F.col("data")), "utf-8"))
+
+
+@query("delimiter_variants", "SELECT doc_id, v AS variant, text FROM documents, (SELECT unnest(['glued', 'lf', 'open', 'padding', 'preamble']) AS v)")
+def delimiter_variants(spark, base):
+    text = F.col("text")
+    plain = build.part(text)
+    variants = {
+        "glued": build.archive(F.regexp_replace(plain, "\r\n$", "")),
+        "lf": build.archive(build.part(text, eol="\n"), eol="\n"),
+        "open": build.archive(plain, closing=False),
+        "padding": build.archive(F.concat(F.lit(f"--{build.BOUNDARY} \t\r\n"), F.substring(plain, len(build.BOUNDARY) + 5, 1 << 30))),
+        "preamble": build.archive(plain, preamble="This is a multi-part message.\r\n--not the boundary\r\n"),
+    }
+    rows = _documents(spark, base).select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), v.alias("value")) for k, v in variants.items()))).alias("v"))
+    rows = rows.select(F.concat_ws("/", F.col("doc_id").cast("string"), "v.variant").alias("key"), "v.value")
+    parsed = ops.archive_parts(_parse(rows, "key", F.col("value")))
+    return parsed.select(F.split("archive_id", "/")[0].cast("bigint").alias("doc_id"), F.split("archive_id", "/")[1].alias("variant"), F.col("data").alias("text"))
+
+
+def _threads(spark: SparkSession, base: str, *, location: bool = False) -> DataFrame:
+    """An archive per thread: its documents are the parts, by document id."""
+    at = F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string")) if location else None
+    rows = _documents(spark, base).withColumn("thread", F.coalesce("question_id", "doc_id")).select("thread", "doc_id", build.part(F.col("text"), location=at).alias("part"))
+    joined = rows.groupBy("thread").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"]), "").alias("body"))
+    return joined.select(F.col("thread").cast("string").alias("archive_id"), F.encode(build.archive(F.col("body")), "utf-8").alias("content"))
+
+
+_THREAD = "SELECT coalesce(question_id, doc_id) AS thread, doc_id, text FROM documents"
+
+
+@query("thread_part_counts", f"SELECT thread, count(*) AS n_parts FROM ({_THREAD}) GROUP BY thread")
+def thread_part_counts(spark, base):
+    return ops.archive_parts(ops.parse_archives(_threads(spark, base))).groupBy(F.col("archive_id").cast("bigint").alias("thread")).agg(F.count("*").alias("n_parts"))
+
+
+@query("generated_ids", f"SELECT thread, '_' || (row_number() OVER (PARTITION BY thread ORDER BY doc_id) - 1) AS id, text FROM ({_THREAD})")
+def generated_ids(spark, base):
+    return ops.archive_parts(ops.parse_archives(_threads(spark, base))).select(F.col("archive_id").cast("bigint").alias("thread"), "id", F.col("data").alias("text"))
+
+
+@query("part_locations", f"SELECT thread, 'https://docs.example/' || doc_id AS id, text FROM ({_THREAD})")
+def part_locations(spark, base):
+    return ops.archive_parts(ops.parse_archives(_threads(spark, base, location=True))).select(F.col("archive_id").cast("bigint").alias("thread"), "id", F.col("data").alias("text"))
+
+
+@query("nested_alternative", "SELECT doc_id, o AS ordinal, d AS depth, t AS content_type FROM documents, (VALUES (0, 0, 'multipart/alternative; boundary=inner'), (1, 1, 'text/plain'), (2, 1, 'text/html'), (3, 0, 'text/css')) v(o, d, t)")
+def nested_alternative(spark, base):
+    inner = F.concat(F.lit("--inner\r\nContent-Type: text/plain\r\n\r\n"), F.col("text"), F.lit("\r\n--inner\r\nContent-Type: text/html\r\n\r\n<p>x</p>\r\n--inner--"))
+    text = build.archive(build.part(inner, "multipart/alternative; boundary=inner"), build.part(F.lit("a{}"), "text/css"))
+    parts = ops.archive_parts(_parse(_documents(spark, base), "doc_id", text))
+    return parts.select(F.col("archive_id").cast("bigint").alias("doc_id"), "ordinal", "depth", "content_type")
+
+
+_ANOMALY = "SELECT doc_id, '{}' AS type, {} AS id FROM documents"
+
+
+def _anomalies(spark: SparkSession, base: str, text: Column) -> DataFrame:
+    return ops.archive_anomalies(_parse(_documents(spark, base), "doc_id", text)).select(F.col("archive_id").cast("bigint").alias("doc_id"), "type", "id")
+
+
+@query("anomaly_mislabelled", _ANOMALY.format("document-mislabeled-as-archive", "CAST(NULL AS VARCHAR)"))
+def anomaly_mislabelled(spark, base):
+    return _anomalies(spark, base, F.concat(F.lit("\r\n <html><body><p>"), columns.escape_text(F.col("text")), F.lit("</p></body></html>")))
+
+
+@query("anomaly_boundary_unused", _ANOMALY.format("declared-boundary-unused", "CAST(NULL AS VARCHAR)"))
+def anomaly_boundary_unused(spark, base):
+    return _anomalies(spark, base, build.archive(build.part(F.col("text")), boundary="another"))
+
+
+@query("anomaly_no_delimiters", _ANOMALY.format("multipart-without-delimiters", "CAST(NULL AS VARCHAR)"))
+def anomaly_no_delimiters(spark, base):
+    return _anomalies(spark, base, F.concat(F.lit("Content-Type: multipart/related; boundary=b\r\n\r\nContent-Type: text/plain\r\n\r\n"), F.col("text")))
+
+
+@query("anomaly_left_encoded", _ANOMALY.format("base64-left-encoded", "'https://docs.example/' || doc_id"))
+def anomaly_left_encoded(spark, base):
+    at = F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string"))
+    return _anomalies(spark, base, build.archive(build.part(F.lit("not base64!"), "text/html", "base64", location=at)))
+
+
+@query("header_fields", "SELECT doc_id, n AS name, CASE n WHEN 'x-kind' THEN kind WHEN 'x-folded' THEN 'one' || kind ELSE 'id ' || doc_id END AS value FROM documents, (SELECT unnest(['x-kind', 'x-folded', 'subject']) AS n)")
+def header_fields(spark, base):
+    head = F.concat(F.lit("X-Kind: none\r\nx-kind:  "), F.col("kind"), F.lit(" \r\nX-Folded: one\r\n\t"), F.col("kind"), F.lit("\r\nSubject: id "), F.col("doc_id").cast("string"), F.lit("\r\n"))
+    parsed = _parse(_documents(spark, base), "doc_id", build.archive(build.part(F.lit("x")), headers=head))
+    return ops.archive_headers(parsed).filter("name != 'content-type'").select(F.col("archive_id").cast("bigint").alias("doc_id"), "name", "value")
+
+
+_TITLES = "SELECT doc_id, title FROM documents WHERE title IS NOT NULL"
+
+
+def _words(spark: SparkSession, base: str, how) -> DataFrame:
+    titled = _documents(spark, base).filter("title IS NOT NULL")
+    return build.mapped(build.mapped(titled, "doc_id", F.col("title"), how), "doc_id", F.col("value"), mimeheader.decode_header).withColumnRenamed("value", "title")
+
+
+@query("encoded_words_b", _TITLES)
+def encoded_words_b(spark, base):
+    return _words(spark, base, build.words_b)
+
+
+@query("encoded_words_q", _TITLES)
+def encoded_words_q(spark, base):
+    return _words(spark, base, build.words_q)
+
+
+# ---- charsets and content types ---------------------------------------------------------------------------------------
+
+
+@query("charset_cyrillic", "SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7FА-яЁё]*')")
+def charset_cyrillic(spark, base):
+    # the texts that windows-1251 can hold; the page says so in its meta elements only
+    rows = _documents(spark, base).filter(F.col("text").rlike("\\A[\\x00-\\x7FА-яЁё]*\\z"))
+    head = "Content-Type: text/html\r\n\r\n<html><head><meta charset=\"windows-1251\"></head><body><pre>\n"
+
+    def page(text: str) -> bytes:
+        return (head + "\n" * text.startswith("\n") + text.replace("&", "&amp;").replace("<", "&lt;") + "</pre></body></html>").encode("cp1251")
+
+    content = build.mapped(rows, "doc_id", F.col("text"), page, "binary")
+    parts = ops.archive_parts(ops.parse_archives(content.select(F.col("doc_id").cast("string").alias("archive_id"), F.col("value").alias("content"))))
+    body = F.regexp_extract("data", "(?s)<pre>\\n(.*)</pre>", 1)
+    plain = F.replace(F.replace(F.replace(body, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    return parts.select(F.col("archive_id").cast("bigint").alias("doc_id"), plain.alias("text"))
+
+
+@query("charset_mark", _TEXTS)
+def charset_mark(spark, base):
+    content = build.mapped(_documents(spark, base), "doc_id", F.col("text"), lambda t: b"\xff\xfe" + t.encode("utf-16-le"), "binary")
+    return build.mapped(content, "doc_id", F.col("value"), lambda b: charset.decode(b, charset.mark_charset(b))).withColumnRenamed("value", "text")
+
+
+_PART_KEYS = "SELECT DISTINCT archive_id, part_no, content_type, transfer_encoding, id, content_id, data FROM parts"
+
+
+def _parts(spark: SparkSession, base: str) -> DataFrame:
+    """The parts table as the engine's own part rows, redelivered rows once."""
+    rows = read_table(spark, base, "parts").select("archive_id", F.col("part_no").alias("ordinal"), "id", "content_id", "content_type", "transfer_encoding", "data").distinct()
+    return rows.select("archive_id", "ordinal", F.lit(0).alias("depth"), "id", F.col("id").alias("written_id"), "content_id", "content_type", "transfer_encoding", F.lit(None).cast("string").alias("charset"), F.lit(False).alias("container"), "data")
+
+
+@query(
+    "content_type_parameters",
+    f"""SELECT archive_id, part_no, nullif(lower(trim(replace(regexp_extract(content_type, '(?i)charset=([^;]+)', 1), '"', ''))), '') AS charset,
+        trim(split_part(content_type, ';', 1)) AS media FROM ({_PART_KEYS})""",
+)
+def content_type_parameters(spark, base):
+    return _parts(spark, base).select("archive_id", F.col("ordinal").alias("part_no"), columns.charset_parameter(F.col("content_type")).alias("charset"), F.trim(F.substring_index("content_type", ";", 1)).alias("media"))
+
+
+_CLASSES = {
+    "document": ("is_document", "lower(content_type) LIKE 'text/html%' OR lower(content_type) LIKE 'application/xhtml+xml%'"),
+    "stylesheet": ("is_stylesheet", "lower(content_type) LIKE 'text/css%'"),
+    "text": ("is_text", "lower(content_type) LIKE 'text/%'"),
+    "image": ("is_image", "lower(content_type) LIKE 'image/%'"),
+    "plain": ("is_plain_text", "lower(content_type) LIKE 'text/plain%'"),
+    "media": ("is_media", "regexp_matches(lower(content_type), '^(image|audio|video|font)/')"),
+    "multipart": ("is_multipart", "lower(content_type) LIKE 'multipart/%'"),
+    "alternative": ("is_alternative", "lower(content_type) LIKE 'multipart/alternative%'"),
+}
+
+
+@query("content_type_classes", f"SELECT archive_id, part_no, {', '.join(f'coalesce({sql}, false) AS {name}' for name, (_, sql) in _CLASSES.items())} FROM ({_PART_KEYS})")
+def content_type_classes(spark, base):
+    return _parts(spark, base).select("archive_id", F.col("ordinal").alias("part_no"), *(getattr(columns, f)(F.col("content_type")).alias(name) for name, (f, _) in _CLASSES.items()))
+
+
+@query("base64_sizes", f"SELECT archive_id, part_no, CAST(floor(length(rtrim(data, '=')) * 3 / 4) AS BIGINT) AS n_bytes FROM ({_PART_KEYS}) WHERE data LIKE 'iVBOR%' AND regexp_full_match(data, '[A-Za-z0-9+/]*=*') AND length(rtrim(data, '=')) % 4 <> 1")
+def base64_sizes(spark, base):
+    rows = _parts(spark, base).filter("data LIKE 'iVBOR%'").select("archive_id", F.col("ordinal").alias("part_no"), F.length(columns.decode_base64(F.col("data"))).cast("bigint").alias("n_bytes"))
+    return rows.filter("n_bytes IS NOT NULL")
+
+
+@query(
+    "data_addresses",
+    f"""SELECT archive_id, part_no, 'data:' || array_to_string(list_filter(list_transform(string_split(coalesce(content_type, 'application/octet-stream'), ';'), lambda x: trim(replace(x, '"', ''))), lambda x: x <> ''), ';') || ';base64,'
+        || CASE WHEN lower(trim(transfer_encoding)) = 'base64' THEN data ELSE to_base64(encode(data)) END AS address FROM ({_PART_KEYS}) WHERE data IS NOT NULL""",
+)
+def data_addresses(spark, base):
+    rows = _parts(spark, base).filter("data IS NOT NULL")
+    return rows.select("archive_id", F.col("ordinal").alias("part_no"), columns.data_address(F.col("content_type"), F.col("transfer_encoding"), F.col("data")).alias("address"))
+
+
+# ---- addresses and references -----------------------------------------------------------------------------------------
+
+_KEYS = f"""SELECT archive_id, 'resource' AS kind, key, min(part_no) AS ordinal FROM (SELECT archive_id, part_no, id AS key FROM ({_PART_KEYS}) UNION ALL SELECT archive_id, part_no, content_id FROM ({_PART_KEYS})) WHERE key IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT archive_id, 'frame', content_id, max(part_no) FROM ({_PART_KEYS}) WHERE content_id IS NOT NULL GROUP BY ALL"""
+
+
+@query("address_map", _KEYS)
+def address_map(spark, base):
+    return ops.addresses(_parts(spark, base))
+
+
+@query("index_documents", f"SELECT archive_id, min(part_no) AS ordinal, arg_min(id, part_no) AS id FROM ({_PART_KEYS}) WHERE lower(content_type) LIKE 'text/html%' OR lower(content_type) LIKE 'application/xhtml+xml%' GROUP BY archive_id")
+def index_documents(spark, base):
+    return ops.index_parts(_parts(spark, base))
+
+
+@query(
+    "synthesized_indexes",
+    f"""SELECT archive_id, min(part_no) AS ordinal, arg_min(id, part_no) AS id FROM ({_PART_KEYS}) WHERE (lower(content_type) LIKE 'image/%' OR lower(content_type) LIKE 'text/plain%')
+        AND archive_id NOT IN (SELECT archive_id FROM parts WHERE lower(content_type) LIKE 'text/html%' OR lower(content_type) LIKE 'application/xhtml+xml%') GROUP BY archive_id""",
+)
+def synthesized_indexes(spark, base):
+    return ops.synthesized_index(_parts(spark, base))
+
+
+_DOCS = f"SELECT * FROM ({_PART_KEYS}) WHERE (lower(content_type) LIKE 'text/html%' OR lower(content_type) LIKE 'application/xhtml+xml%') AND data IS NOT NULL AND coalesce(lower(transfer_encoding), '') <> 'base64'"
+#: The markup of the table has references in link, script and img elements only, quoted and absolute.
+_REFS = f"""SELECT archive_id, part_no, unnest(regexp_extract_all(data, '<(?:link rel="[a-z ]*(?:stylesheet|icon)[a-z ]*" href|script src|img src)="([^"]*)"', 1)) AS address FROM ({_DOCS})"""
+_HITS = f"""SELECT r.archive_id, r.part_no AS ordinal, r.address AS resolved, coalesce(k.ordinal, -1) AS part FROM ({_REFS}) r LEFT JOIN (SELECT * FROM ({_KEYS}) WHERE kind = 'resource') k ON k.archive_id = r.archive_id AND k.key = r.address"""
+
+
+def _resolved(spark: SparkSession, base: str) -> DataFrame:
+    parts = _parts(spark, base)
+    return ops.resolve_references(ops.references(parts.filter(columns.is_document(F.col("content_type")))), ops.addresses(parts))
+
+
+@query("resolved_references", _HITS)
+def resolved_references(spark, base):
+    return _resolved(spark, base).select("archive_id", "ordinal", "resolved", F.coalesce("part", F.lit(-1)).alias("part"))
+
+
+@query("unfound_references", f"SELECT DISTINCT archive_id, resolved AS address FROM ({_HITS}) WHERE part < 0 AND resolved NOT LIKE 'data:%'")
+def unfound_references(spark, base):
+    return ops.unfound_references(_resolved(spark, base))
+
+
+@query("used_parts", f"SELECT DISTINCT archive_id, part AS ordinal FROM ({_HITS}) WHERE part >= 0")
+def used_parts(spark, base):
+    return ops.used_parts(_resolved(spark, base))
+
+
+_MISSING = f"SELECT archive_id, resolved AS address FROM ({_HITS}) WHERE part < 0 AND regexp_matches(resolved, '^(https?:|urn:)') GROUP BY ALL"
+
+
+@query("missing_resources", _MISSING)
+def missing_resources(spark, base):
+    return ops.missing_resources(_resolved(spark, base)).select("archive_id", "address")
+
+
+@query("archives_without_holes", f"SELECT archive_id FROM archives EXCEPT SELECT archive_id FROM ({_HITS}) WHERE part < 0 AND resolved NOT LIKE 'data:%'")
+def archives_without_holes(spark, base):
+    known = read_table(spark, base, "archives").select("archive_id").distinct()
+    return known.join(ops.unfound_references(_resolved(spark, base)).select("archive_id").distinct(), "archive_id", "left_anti")
+
+
+#: Answers of an address in the order they were fetched; the first that isn't to be repeated ends the attempts.
+_ANSWERS = """SELECT url, status, row_number() OVER (PARTITION BY url ORDER BY fetched_at NULLS LAST, status NULLS FIRST, content_type NULLS FIRST) AS attempt,
+    status = 429 OR status BETWEEN 500 AND 599 AS transient,
+    CASE WHEN coalesce(trim(retry_after), '') = '' THEN 500 WHEN try_cast(trim(retry_after) AS DOUBLE) IS NOT NULL THEN greatest(0, try_cast(trim(retry_after) AS DOUBLE) * 1000)
+         ELSE greatest(0, epoch_ms(try_strptime(regexp_replace(trim(retry_after), '^\\w+,\\s*', ''), '%d %b %Y %H:%M:%S GMT')) - epoch_ms(fetched_at)) END AS delay FROM web"""
+_LAST = f"SELECT url, arg_min(status, attempt) AS status FROM ({_ANSWERS}) WHERE attempt <= 3 AND status IS NOT NULL AND (NOT transient OR delay IS NULL OR delay > 5000) GROUP BY url"
+
+
+_HOLES = "SELECT DISTINCT archive_id, unnest(unfound_resources) AS address FROM page_data"
+
+
+@query("fetch_answers", f"SELECT m.archive_id, m.address, coalesce(l.status, 0) AS status, coalesce(l.status BETWEEN 200 AND 299, false) AS ok FROM ({_HOLES}) m LEFT JOIN ({_LAST}) l ON l.url = m.address")
+def fetch_answers(spark, base):
+    holes = read_table(spark, base, "page_data").select("archive_id", F.explode("unfound_resources").alias("address")).distinct().withColumn("encoding", F.lit("base64"))
+    answers = ops.fetch(holes, read_table(spark, base, "web"))
+    return answers.select("archive_id", "address", F.coalesce("status", F.lit(0)).alias("status"), "ok")
+
+
+@query("fetch_rounds")
+def fetch_rounds(spark, base):
+    parts, _ = ops.fetch_rounds(_parts(spark, base), read_table(spark, base, "web"))
+    return parts.select("archive_id", "ordinal", "id", "content_type", "transfer_encoding")
+
+
+@query("retry_control", "SELECT DISTINCT url, coalesce(status, 0) AS status, coalesce(status = 429 OR status BETWEEN 500 AND 599, false) AS transient, least(500 * 2 ** coalesce(status % 7, 0), 5000)::BIGINT AS backoff FROM web")
+def retry_control(spark, base):
+    web = read_table(spark, base, "web")
+    return web.select("url", F.coalesce("status", F.lit(0)).alias("status"), columns.is_transient(F.col("status")).alias("transient"), columns.backoff_ms(F.coalesce(F.col("status") % 7, F.lit(0))).alias("backoff")).distinct()
+
+
+# ---- addresses as values ----------------------------------------------------------------------------------------------
+
+_URLS = "SELECT DISTINCT url FROM archives WHERE url IS NOT NULL"
+
+
+def _urls(spark: SparkSession, base: str) -> DataFrame:
+    return read_table(spark, base, "archives").select("url").filter("url IS NOT NULL").distinct()
+
+
+@query("normalized_addresses", f"SELECT url, url AS normal FROM ({_URLS})")
+def normalized_addresses(spark, base):
+    spoiled = F.regexp_replace(F.regexp_replace(F.col("url"), "^https://([^/]*)/", "HTTPS://$1:443/./x/../"), "^http://([^/]*)/", " HTTP://$1:80/x/%2e%2E/")
+    return build.mapped(_urls(spark, base), "url", spoiled, urls.normalize).withColumnRenamed("value", "normal")
+
+
+@query("resolved_links", f"SELECT DISTINCT archive_id, 'https://' || host || href AS address FROM (SELECT archive_id, host, unnest(regexp_extract_all(data, '<a href=\"(/[^\"]*)\"', 1)) AS href FROM page_data)")
+def resolved_links(spark, base):
+    pages = read_table(spark, base, "page_data").select("archive_id", "host", F.explode(F.regexp_extract_all("data", F.lit('<a href="(/[^"]*)"'), 1)).alias("href")).distinct()
+    keyed = pages.select("archive_id", F.concat_ws(" ", F.concat(F.lit("https://"), "host", F.lit("/a/b?c")), "href").alias("pair"))
+
+    def resolve(pair: str) -> str:
+        home, href = pair.split(" ", 1)
+        return urls.resolve(href, home)
+
+    return build.mapped(keyed, "archive_id", F.col("pair"), resolve).withColumnRenamed("value", "address").distinct()
+
+
+@query("address_forms", f"SELECT url, '#top' AS same, url || '/x#top' AS other, url AS unwrapped, '<' || url || '>' AS cid FROM ({_URLS})")
+def address_forms(spark, base):
+    url = F.col("url")
+    return _urls(spark, base).select(
+        "url",
+        columns.same_page_link(F.concat(url, F.lit("#top")), url).alias("same"),
+        columns.same_page_link(F.concat(url, F.lit("/x#top")), url).alias("other"),
+        columns.unwrap_urn(F.concat(F.lit("urn:snapshot-0:"), url)).alias("unwrapped"),
+        columns.cid_key(F.concat(F.lit("cid:"), url)).alias("cid"),
+    )
+
+
+@query("output_names", "SELECT DISTINCT archive_id, regexp_replace(path, '\\.[^.]+$', '.html') AS page FROM archives")
+def output_names(spark, base):
+    return read_table(spark, base, "archives").select("archive_id", columns.output_name(F.col("path")).alias("page")).distinct()
+
+
+# ---- style sheets, srcset, markup -------------------------------------------------------------------------------------
+
+
+@query("sheet_references", "SELECT doc_id, n AS ref_no, k AS kind, 'https://s.example/a/' || doc_id || '/' || f AS address FROM documents, (VALUES (0, 'import', 'i.css'), (1, 'import', 'j.css'), (2, 'css', 'k l.png'), (3, 'css', 'm.png')) v(n, k, f)")
+def sheet_references(spark, base):
+    n = F.col("doc_id").cast("string")
+    sheet = F.concat(F.lit("/* url(no.png) */ @import '"), n, F.lit("/i.css' screen; @IMPORT url( "), n, F.lit('/j.css ); a{content:"url(no)"; background:url("'), n, F.lit('/k l.png")} b{src:URL('), n, F.lit("/m.png), url(data:x)}"))
+    part = _documents(spark, base).select(n.alias("archive_id"), F.lit(0).alias("ordinal"), F.lit("https://s.example/a/s.css").alias("id"), F.lit("text/css").alias("content_type"), F.lit(None).cast("string").alias("transfer_encoding"), sheet.alias("data"))
+    return ops.references(part).select(F.col("archive_id").cast("bigint").alias("doc_id"), "ref_no", "kind", F.replace("resolved", F.lit("%20"), F.lit(" ")).alias("address"))
+
+
+@query(
+    "import_closure",
+    """WITH RECURSIVE d AS (SELECT DISTINCT doc_id AS sheet, coalesce(duplicate_of, CASE WHEN question_id <> doc_id THEN question_id END) AS imported FROM documents),
+       r AS (SELECT sheet, imported FROM d WHERE imported IS NOT NULL UNION SELECT r.sheet, d.imported FROM r JOIN d ON d.sheet = r.imported WHERE d.imported IS NOT NULL) SELECT DISTINCT sheet, imported FROM r""",
+)
+def import_closure(spark, base):
+    imported = F.coalesce("duplicate_of", F.when(F.col("question_id") != F.col("doc_id"), F.col("question_id")))
+    direct = _documents(spark, base).select(F.lit("all").alias("archive_id"), F.col("doc_id").alias("sheet"), imported.alias("imported")).filter("imported IS NOT NULL").distinct()
+    return ops.import_closure(direct).select("sheet", "imported")
+
+
+@query("srcset_candidates", "SELECT doc_id, 'a' || doc_id || '.png 1x, b.png ' || (doc_id + 1) || 'w ' || (doc_id + 2) || 'h, c(1,2).png 2.5x, d.png bad 3q' AS srcset FROM documents")
+def srcset_candidates(spark, base):
+    n = F.col("doc_id")
+    text = F.concat(F.lit(" , a"), n.cast("string"), F.lit(".png  1.0x,b.png "), (n + 1).cast("string"), F.lit("w "), (n + 2).cast("string"), F.lit("h , c(1,2).png 2.5x, d.png bad 3q"))
+    return build.mapped(_documents(spark, base), "doc_id", text, lambda t: srcset.serialize(srcset.parse(t))).withColumnRenamed("value", "srcset")
+
+
+_SQ = "replace(replace({}, '&', '&amp;'), chr(160), '&nbsp;')"
+
+
+@query(
+    "escapes",
+    f"""SELECT doc_id, replace(replace({_SQ.format('text')}, '<', '&lt;'), '>', '&gt;') AS as_text, replace({_SQ.format('text')}, '"', '&quot;') AS as_attribute,
+        replace(replace(text, '&', '&amp;'), '<', '&lt;') AS as_plain, replace(replace('x </ ' || text || ' /> y', '</', '<\\/'), '/>', '\\/>') AS as_script FROM documents""",
+)
+def escapes(spark, base):
+    text = F.col("text")
+    return _documents(spark, base).select("doc_id", columns.escape_text(text).alias("as_text"), columns.escape_attribute(text).alias("as_attribute"), columns.escape_plain(text).alias("as_plain"), columns.escape_script(F.concat(F.lit("x </ "), text, F.lit(" /> y"))).alias("as_script"))
+
+
+# ---- whole pages ------------------------------------------------------------------------------------------------------
+
+_PAGES = "SELECT DISTINCT archive_id, data FROM page_data WHERE data IS NOT NULL"
+
+
+def _converted(spark: SparkSession, base: str) -> DataFrame:
+    pages = read_table(spark, base, "page_data").filter("data IS NOT NULL").select("archive_id", "data").distinct()
+    return ops.convert_archives(pages.select("archive_id", F.encode("data", "utf-8").alias("content")))
+
+
+@query("page_titles", f"SELECT archive_id, nullif(replace(replace(replace(replace(regexp_extract(data, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '') AS title FROM ({_PAGES})")
+def page_titles(spark, base):
+    return _converted(spark, base).select("archive_id", "title")
+
+
+@query("page_heads", f"SELECT archive_id, true AS policy, true AS charset, 1::BIGINT AS scripts, true AS canonical, (length(data) - length(replace(data, '<li>', ''))) // 4 AS items, 'document-mislabeled-as-archive' AS anomaly FROM ({_PAGES})")
+def page_heads(spark, base):
+    html = F.col("html")
+
+    def times(tag: str) -> Column:
+        return ((F.length(html) - F.length(F.replace(html, F.lit(tag), F.lit("")))) / len(tag)).cast("bigint")
+
+    return _converted(spark, base).select(
+        "archive_id",
+        html.contains("script-src 'none';").alias("policy"),
+        html.contains('<head><meta charset="utf-8">').alias("charset"),
+        times("<script").alias("scripts"),
+        html.contains('<link rel="canonical" href="_0">').alias("canonical"),
+        times("<li>").alias("items"),
+        F.element_at("anomalies", 1)["type"].alias("anomaly"),
+    )
+
+
+@query("converted_parts")
+def converted_parts(spark, base):
+    pages = ops.convert_parts(_parts(spark, base))
+    return pages.select("archive_id", "error", "title", F.length("html").alias("n_chars"), F.size("favicons").alias("n_favicons"), F.size("unfound_resources").alias("n_unfound"))
+
+
+@query("converted_unfound", f"SELECT DISTINCT archive_id, resolved AS address FROM ({_HITS}) h JOIN (SELECT archive_id, min(part_no) AS ordinal FROM ({_DOCS.replace(' AND data IS NOT NULL', '')}) GROUP BY archive_id) USING (archive_id, ordinal) WHERE part < 0 AND resolved NOT LIKE 'data:%'")
+def converted_unfound(spark, base):
+    # style sheets and frames apart, conversion and the anti-join must leave the same holes
+    parts = _parts(spark, base)
+    index = ops.index_parts(parts).select("archive_id", F.col("ordinal").alias("index"))
+    plain = parts.join(index, "archive_id").withColumn("data", F.when((F.col("ordinal") == F.col("index")) | ~(columns.is_document(F.col("content_type")) | columns.is_stylesheet(F.col("content_type"))), F.col("data")).otherwise(F.lit(""))).drop("index")
+    return ops.page_unfound(ops.convert_parts(plain)).distinct()
+
+
+def flagship(spark: SparkSession, base: str) -> DataFrame:
+    """Archives of threads, parsed and converted: (archive_id, title, n_parts, n_unfound, n_chars)."""
+    ship(spark)
+    content = _threads(spark, base, location=True)
+    parts = ops.archive_parts(ops.parse_archives(content)).groupBy("archive_id").agg(F.count("*").alias("n_parts"))
+    pages = ops.convert_archives(content).select("archive_id", "title", F.size("unfound_resources").alias("n_unfound"), F.length("html").alias("n_chars"))
+    return pages.join(parts, "archive_id")
