@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 _TOKEN = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|@import\b|\burl\(|[;{}]", re.S | re.I)
 _STRING = re.compile(r"\s*(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')\s*", re.S)
-_BARE = re.compile(r"\s*((?:\\.|[^\\\s\"'()])*)\s*\)", re.S)
+_BARE = re.compile(r"\s*((?:\\[0-9a-fA-F]{1,6}\s?|\\.|[^\\\s\"'()])*)\s*\)", re.S)
 _ESCAPE = re.compile(r"\\(?:([0-9a-fA-F]{1,6})\s?|(\n)|(.))", re.S)
 _CHARSET = re.compile(r"\A﻿?@charset\s+(\"[^\"]*\"|'[^']*')\s*;", re.I)
 _SPECIAL = re.compile(r"[\s\"'()\\]")
