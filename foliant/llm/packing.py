@@ -178,9 +178,12 @@ def container_placement(documents: DataFrame, containers: DataFrame, vocabulary:
             base += repeats
     table = spark.createDataFrame(pd.DataFrame(slots, columns=["container_kind", "size", "first_rank", "end_rank", "copies", "base"]) if slots else [], _SLOTS)
     ranked = length_ranks(items.select("container_kind", "doc_id", "piece", "size"))
-    # the slots are ranges of ranks per length: bounded by patterns, not by texts
-    joined = ranked.join(table, ["container_kind", "size"]).filter((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
-    number = F.col("base") + F.floor((F.col("rank") - F.col("first_rank")) / F.col("copies"))
+    # a row per kind and length with its ranges of ranks in order: bounded by the patterns (a few per length), not by the
+    # texts, so it is broadcast; a text finds its range in the array, without being multiplied by the ranges first
+    slot = F.struct("end_rank", "first_rank", "copies", "base")
+    ranges = table.groupBy("container_kind", "size").agg(F.array_sort(F.collect_list(slot)).alias("slots"))
+    joined = ranked.join(F.broadcast(ranges), ["container_kind", "size"]).withColumn("slot", F.filter("slots", lambda s: (F.col("rank") >= s["first_rank"]) & (F.col("rank") < s["end_rank"]))[0])
+    number = F.col("slot.base") + F.floor((F.col("rank") - F.col("slot.first_rank")) / F.col("slot.copies"))
     return joined.select("container_kind", number.cast("bigint").alias("container_no"), "doc_id", "piece", F.col("size").alias("tokens"))
 
 
