@@ -70,9 +70,20 @@ def _open_syntax(data: Column, kind: Column) -> Column:
         | end.rlike(r"^[^\n]{0,200}$") & (F.length(data) < 40)
     )
     text = ~end.rlike(_TERMINAL) & ~whole_line & ~end.rlike(r"</?\w+[^<>]*>$")
+
+
+    def times(piece: str) -> Column:
+        return (F.length(data) - F.length(F.replace(data, F.lit(piece), F.lit("")))) / len(piece)
+
+    # html and body may be left open, containers that need an end tag may not
+    boxes = F.lit(False)
+    for tag in ("div", "ul", "ol", "table", "center", "main", "article", "section", "blockquote"):
+        boxes = boxes | (times(f"<{tag}>") + times(f"<{tag} ") > times(f"</{tag}>"))
+    markup = ~end.endswith(">") | (~F.lower(end).endswith("</html>") & (end.rlike(r"(?i)<(?!/|!|\?|br|hr|img|meta|link|input|html|body|head)[^<>]*[^<>/]>$|</(a|b|i|em|strong|span|code|li|td|tr)>$") | boxes))
     opened = (
         F.when(kind == "png", png)
-        .when(kind.isin("svg", "markup"), ~end.endswith(">"))
+        .when(kind == "svg", ~end.endswith(">"))
+        .when(kind == "markup", markup)
         .when(kind == "json", F.expr("try_parse_json(data) IS NULL"))
         .when(kind == "style", braces | ~end.rlike(r"(\}|\*/|;)$"))
         .when(kind == "script", braces | ~end.rlike(r"(\}|;|\*/)$") & ~last.startswith("//"))
