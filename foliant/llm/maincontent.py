@@ -133,7 +133,7 @@ def choose(f: dict, host_lines: set[int], web_lines: set[int]) -> list[int]:
     head = f["headline"]
     common = [
         bool(flag[i] & 3)
-        or (f["line"][i] != 0 and ((tag[i] in (_P, _H3) and (f["line"][i] in host_lines or f["web"][i] in web_lines)) or (tag[i] <= _H2 and (head < 0 or i < head) and f["line"][i] in host_lines)))
+        or (f["line"][i] != 0 and ((tag[i] in (_P, _H3) and (f["line"][i] in host_lines or f["web"][i] in web_lines)) or (tag[i] <= _H2 and (head < 0 or i < head) and i + 1 < n and tag[i + 1] == _LI and f["line"][i] in host_lines)))
         for i in range(n)
     ]
     for i in range(n):  # the article's own headline is never boilerplate
