@@ -262,6 +262,8 @@ def parse(text: str) -> Document:
             at = after + 1 if after >= 0 else size
             continue
         stack.append(node)
+        if tag in ("pre", "listing") and text.startswith("\n", at):
+            at += 1  # the line end behind the tag is none of its text
     open_body()
     return doc
 

@@ -496,6 +496,59 @@ def converted_unfound(spark, base):
     return ops.page_unfound(ops.convert_parts(plain)).distinct()
 
 
+_TEXT_SQL = f"replace(replace({_SQ.format('text')}, '<', '&lt;'), '>', '&gt;')"
+
+
+def _text_pages(spark: SparkSession, base: str, *parts: Column) -> DataFrame:
+    rows = _documents(spark, base).select(F.col("doc_id").cast("string").alias("archive_id"), F.encode(build.archive(*parts), "utf-8").alias("content"))
+    return ops.convert_archives(rows).withColumn("doc_id", F.col("archive_id").cast("bigint"))
+
+
+@query(
+    "sanitised_pages",
+    f"""SELECT doc_id, 'T ' || doc_id AS title, {_TEXT_SQL} AS body, false AS handler, false AS script, true AS data_script, false AS refresh, false AS hint, false AS ping, '#x' AS link FROM documents""",
+)
+def sanitised_pages(spark, base):
+    head = F.concat(F.lit('<html><head><title>T '), F.col("doc_id").cast("string"), F.lit('</title><meta http-equiv="Refresh" content="0"><link rel="preload" href="z"></head><body><p onclick="a" onfoo="b" integrity="c">'))
+    tail = F.lit('</p><script>evil()</script><script type="application/ld+json">{"k": 1}</script><a href="#x" ping="y">l</a></body></html>')
+    html = F.col("html")
+    pages = _text_pages(spark, base, build.part(F.concat(head, columns.escape_text(F.col("text")), tail), "text/html; charset=utf-8", location=F.lit("https://e.example/p")))
+    return pages.select(
+        "doc_id",
+        "title",
+        F.regexp_extract(html, '(?s)<p onfoo="b">(.*?)</p>', 1).alias("body"),
+        html.contains("onclick").alias("handler"),
+        html.contains("evil()").alias("script"),
+        html.contains('<script type="application/ld+json">{"k": 1}</script>').alias("data_script"),
+        html.contains("Refresh").alias("refresh"),
+        html.contains("preload").alias("hint"),
+        html.contains("ping").alias("ping"),
+        F.regexp_extract(html, '<a href="([^"]*)"', 1).alias("link"),
+    )
+
+
+@query("inlined_icons", "SELECT doc_id, 'https://e.example/i/' || doc_id || '.png' AS original_href, 'data:image/png;base64,' || to_base64(encode(text)) AS href, '16x16' AS sizes FROM documents")
+def inlined_icons(spark, base):
+    at = F.concat(F.lit("/i/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    page = build.part(F.concat(F.lit('<link rel="shortcut icon" sizes="16x16" href="'), at, F.lit('">')), "text/html", location=F.lit("https://e.example/p"))
+    icon = build.part(F.base64(F.encode("text", "utf-8")), "image/png", "base64", location=F.concat(F.lit("https://e.example"), at))
+    return ops.page_favicons(_text_pages(spark, base, page, icon)).select(F.col("archive_id").cast("bigint").alias("doc_id"), "original_href", "href", "sizes")
+
+
+@query("synthesized_pages", f"SELECT doc_id, {_TEXT_SQL} AS body, 'index-synthesized' AS anomaly FROM documents")
+def synthesized_pages(spark, base):
+    pages = _text_pages(spark, base, build.part(F.lit("a{}"), "text/css"), build.part(F.col("text"), "text/plain; charset=utf-8"))
+    return pages.select("doc_id", F.regexp_extract("html", "(?s)<pre>(.*)</pre>", 1).alias("body"), F.element_at("anomalies", 1)["type"].alias("anomaly"))
+
+
+@query("framed_pages", "SELECT doc_id, 'https://e.example/no/' || doc_id AS address FROM documents")
+def framed_pages(spark, base):
+    # the frame is reached by its Content-ID; what it misses is missed by the page
+    page = build.part(F.lit('<iframe src="cid:f@x"></iframe>'), "text/html", location=F.lit("https://e.example/p"))
+    frame = build.part(F.concat(F.lit('<base href="https://e.example/no/"><p>'), columns.escape_text(F.col("text")), F.lit('</p><img src="'), F.col("doc_id").cast("string"), F.lit('">')), "text/html; charset=utf-8", content_id=F.lit("<f@x>"))
+    return ops.page_unfound(_text_pages(spark, base, page, frame).filter(F.col("html").contains("srcdoc=") & ~F.col("html").contains("cid:f@x&quot;"))).select(F.col("archive_id").cast("bigint").alias("doc_id"), "address")
+
+
 def flagship(spark: SparkSession, base: str) -> DataFrame:
     """Archives of threads, parsed and converted: (archive_id, title, n_parts, n_unfound, n_chars)."""
     ship(spark)
