@@ -201,11 +201,11 @@ def charset_cyrillic(spark, base):
     head = "Content-Type: text/html\r\n\r\n<html><head><meta charset=\"windows-1251\"></head><body><pre>\n"
 
     def page(text: str) -> bytes:
-        return (head + "\n" * text.startswith("\n") + text.replace("&", "&amp;").replace("<", "&lt;") + "</pre></body></html>").encode("cp1251")
+        return (head + text.replace("&", "&amp;").replace("<", "&lt;") + "</pre></body></html>").encode("cp1251")
 
     content = build.mapped(rows, "doc_id", F.col("text"), page, "binary")
     parts = ops.archive_parts(ops.parse_archives(content.select(F.col("doc_id").cast("string").alias("archive_id"), F.col("value").alias("content"))))
-    body = F.regexp_extract("data", "(?s)<pre>\\n(.*)</pre>", 1)
+    body = F.regexp_extract("data", "(?s)<pre>(.*)</pre>", 1)
     plain = F.replace(F.replace(F.replace(body, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
     return parts.select(F.col("archive_id").cast("bigint").alias("doc_id"), plain.alias("text"))
 
