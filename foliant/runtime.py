@@ -28,15 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{local}"
 
 
+_written: list[str] = []
+
+
+def _clear(spark: SparkSession) -> None:
+    """Deletes the tables of ``materialize``, as far as the session still lives."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _written:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+    except Exception:  # noqa: BLE001 - the session has ended; the folder's owner clears it
+        pass
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Used where a plan needs the same expensive rows twice. The files outlive a lost executor, so nothing is recomputed
-    from a single copy; they go with the session's checkpoint folder.
+    from a single copy; they are deleted when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_clear, spark)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
