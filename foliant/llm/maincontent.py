@@ -247,8 +247,8 @@ def repeated_lines(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     at_least = F.greatest(F.when(F.col("topics") > 10, F.lit(3)).otherwise(F.lit(2)), F.ceil(F.col("topics") * HOST_SHARE))
     hosts = per_host.filter("n >= 2").join(topics, "host").filter(F.col("n") >= at_least).groupBy("host").agg(F.collect_list("line").alias("lines"))
     per_web = once.filter("web != 0").select("host", "web").distinct().groupBy("web").agg(F.count("*").alias("n"))
-    n_hosts = features.agg(F.count_distinct("host").alias("hosts"))
-    web = per_web.filter(F.col("n") >= WEB_HOSTS).join(F.broadcast(n_hosts), F.col("n") >= F.col("hosts") * WEB_SHARE).select("web")
+    n_hosts = features.agg(F.count_distinct("host")).first()[0]
+    web = per_web.filter(F.col("n") >= max(WEB_HOSTS, WEB_SHARE * n_hosts)).select("web")
     return hosts, web
 
 

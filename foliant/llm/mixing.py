@@ -13,7 +13,7 @@ the hash are split by the document's id; repeated rows of one id count once; emp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.tokens import TOKENIZERS, VOCABULARY, token_counts
@@ -82,7 +82,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
 def mixture_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, n_docs, tokens, share, most_repeats): the shares reached, for every target."""
     per = mixed.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
-    total = per.agg(F.sum("tokens").alias("total"))
-    joined = targets.select("source", "target_share", "max_repeats").join(per, "source", "left").join(F.broadcast(total), F.lit(True), "left")
+    # a row per source by now
+    per = per.withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(0))))
+    joined = targets.select("source", "target_share", "max_repeats").join(per, "source", "left")
     zero = F.lit(0).cast("bigint")
     return joined.select("source", "target_share", "max_repeats", F.coalesce("n_docs", zero).alias("n_docs"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))

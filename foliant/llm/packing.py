@@ -155,10 +155,13 @@ def container_placement(documents: DataFrame, containers: DataFrame, vocabulary:
     ``piece`` numbers the parts of a text larger than the container, and is 0 for a whole text.
     """
     spark = documents.sparkSession
-    kinds = containers.filter("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct()
+    # a handful of kinds, written by a person
+    kinds = sorted({(r["container_kind"], r["capacity_tokens"]) for r in containers.filter("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().collect()})
+    if not kinds:
+        return spark.createDataFrame([], "container_kind string, container_no bigint, doc_id bigint, piece int, tokens int")
     counted = materialize(token_counts(documents, vocabulary, folder).groupBy("doc_id").agg(F.max("tokens").alias("tokens")).filter("tokens > 0"), "tokens")
-    # a handful of container kinds, each text once for each: as many rows as the result has
-    each = counted.join(F.broadcast(kinds), F.lit(True))
+    # each text once for each kind: as many rows as the result has
+    each = counted.select("doc_id", "tokens", F.inline(F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("int").alias("capacity_tokens")) for k, c in kinds))))
     whole = F.floor(F.col("tokens") / F.col("capacity_tokens")).cast("int")
     rest = (F.col("tokens") - whole * F.col("capacity_tokens")).cast("int")
     pieces = F.when(F.col("tokens") <= F.col("capacity_tokens"), F.array(F.col("tokens").cast("int"))).otherwise(F.concat(F.array_repeat("capacity_tokens", whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))

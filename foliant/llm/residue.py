@@ -75,8 +75,8 @@ def classify(template: str) -> str:
 
 def is_filler(text: str) -> bool:
     """Filler without fixed wording: pseudo-Latin, or one or two words over and over."""
-    first = [w.strip(".,;:!?").lower() for w in text.split(None, 6)[:6]]
-    if len(first) < 5 or (sum(w in FILLER_WORDS for w in first) < 4 and len(set(first)) > 2):
+    rough = text.lower().split()
+    if len(rough) < 5 or (len(FILLER_WORDS.intersection(rough)) < 3 and len(set(rough)) > 4):
         return False
     words = [w.lower() for w in _WORD.findall(text)]
     if len(words) < 5:
