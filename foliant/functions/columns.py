@@ -65,7 +65,8 @@ def retry_delay_ms(retry_after: Column, attempt: Column, now: Column | None = No
     seconds = F.when(F.trim(retry_after).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), F.trim(retry_after).cast("double"))
     moment = F.try_to_timestamp(F.regexp_replace(F.trim(retry_after), r"^\w+,\s*", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
     date = (F.unix_millis(moment) - F.unix_millis(now if now is not None else F.current_timestamp())).cast("double")
-    asked = F.greatest(F.lit(0.0), F.coalesce(seconds * 1000, date))
+    told = F.coalesce(seconds * 1000, date)
+    asked = F.when(told.isNotNull(), F.greatest(F.lit(0.0), told))  # greatest alone would make null 0
     return F.when(F.coalesce(F.trim(retry_after), F.lit("")) == "", backoff_ms(attempt)).when(asked <= 5000, asked.cast("bigint"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.delimited import BROKEN, QUOTED, START, STATES, chunk_table, read_chunk, tokenize
+from foliant.functions.delimited import BROKEN, START, STATES, chunk_table, read_chunk, tokenize
 
 COLUMNS = ("archive_id", "part_no", "content_type", "transfer_encoding", "n_bytes", "captured_at", "headers", "anomalies")
 #: Transfer encodings and anomaly types a record can name.

@@ -336,7 +336,8 @@ def archives_without_holes(spark, base):
 _ANSWERS = """SELECT url, status, row_number() OVER (PARTITION BY url ORDER BY fetched_at NULLS LAST, status NULLS FIRST, content_type NULLS FIRST) AS attempt,
     status = 429 OR status BETWEEN 500 AND 599 AS transient,
     CASE WHEN coalesce(trim(retry_after), '') = '' THEN 500 WHEN try_cast(trim(retry_after) AS DOUBLE) IS NOT NULL THEN greatest(0, try_cast(trim(retry_after) AS DOUBLE) * 1000)
-         ELSE greatest(0, epoch_ms(try_strptime(regexp_replace(trim(retry_after), '^\\w+,\\s*', ''), '%d %b %Y %H:%M:%S GMT')) - epoch_ms(fetched_at)) END AS delay FROM web"""
+         WHEN try_strptime(regexp_replace(trim(retry_after), '^\\w+,\\s*', ''), '%d %b %Y %H:%M:%S GMT') IS NOT NULL
+         THEN greatest(0, epoch_ms(try_strptime(regexp_replace(trim(retry_after), '^\\w+,\\s*', ''), '%d %b %Y %H:%M:%S GMT')) - epoch_ms(fetched_at)) END AS delay FROM web"""
 _LAST = f"SELECT url, arg_min(status, attempt) AS status FROM ({_ANSWERS}) WHERE attempt <= 3 AND status IS NOT NULL AND (NOT transient OR delay IS NULL OR delay > 5000) GROUP BY url"
 
 
@@ -356,6 +357,15 @@ def fetch_rounds(spark, base):
     return parts.select("archive_id", "ordinal", "id", "content_type", "transfer_encoding")
 
 
+@query("retry_delays", f"SELECT DISTINCT url, attempt, coalesce(CASE WHEN delay <= 5000 THEN delay::BIGINT END, -1) AS delay FROM ({_ANSWERS})")
+def retry_delays(spark, base):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("url").orderBy(F.col("fetched_at").asc_nulls_last(), "status", "content_type")
+    web = read_table(spark, base, "web").withColumn("attempt", F.row_number().over(order))
+    return web.select("url", F.col("attempt").cast("bigint").alias("attempt"), F.coalesce(columns.retry_delay_ms(F.col("retry_after"), F.lit(0), F.col("fetched_at")), F.lit(-1)).cast("bigint").alias("delay")).distinct()
+
+
 @query("retry_control", "SELECT DISTINCT url, coalesce(status, 0) AS status, coalesce(status = 429 OR status BETWEEN 500 AND 599, false) AS transient, least(500 * 2 ** coalesce(status % 7, 0), 5000)::BIGINT AS backoff FROM web")
 def retry_control(spark, base):
     web = read_table(spark, base, "web")
