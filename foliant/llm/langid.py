@@ -15,7 +15,6 @@ reported.
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterator
 from itertools import combinations

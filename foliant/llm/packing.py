@@ -28,7 +28,7 @@ PATTERN_ITEMS, PATTERNS_PER_LENGTH, PATTERN_WASTE = 4, 6, 0.004
 Pattern = tuple[tuple[int, int], ...]  # (length, copies) pairs
 
 
-def enumerate_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[Pattern]:
+def enumerate_patterns(lengths: np.ndarray, capacity: int) -> list[Pattern]:
     """Patterns of at most ``PATTERN_ITEMS`` of the given lengths that leave at most ``PATTERN_WASTE`` of the capacity."""
     have = np.zeros(capacity + 1, dtype=bool)
     have[lengths] = True
@@ -93,7 +93,7 @@ def pack(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     left = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
     place = {int(x): i for i, x in enumerate(lengths)}
     out: list[tuple[Pattern, int]] = []
-    patterns = enumerate_patterns(lengths, left, capacity) if len(lengths) else []
+    patterns = enumerate_patterns(lengths, capacity) if len(lengths) else []
     if patterns:
         wanted = np.floor(non_negative_least_squares(patterns, lengths, left.astype(float))).astype(np.int64)
         for j in np.argsort(-wanted, kind="stable"):
