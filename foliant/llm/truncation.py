@@ -15,10 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.runtime import materialize
+
 #: Lengths this near to a limit belong to it: a cut inside a multi-byte character loses or adds a few bytes.
 BYTE_SLACK = 3
 #: A limit holds at least this many values, and this many times the mean count of the lengths around it.
 MIN_SPIKE, SPIKE_RATIO, NEIGHBOURS = 5, 12.0, 48
+#: So many limits are broadcast; beyond that they are joined by source.
+BROADCAST_LIMITS = 50_000
 
 #: The last base64 characters of a complete PNG, for each alignment of its final IEND chunk.
 PNG_ENDS = ("AElFTkSuQmCC", "JRU5ErkJggg", "SUVORK5CYII")
@@ -133,12 +137,17 @@ def cut_values(parts: DataFrame) -> DataFrame:
         .groupBy("archive_id", "part_no")
         .agg(*(F.first(c).alias(c) for c in ("source", "kind", "chars", "bytes", "open_end", "ellipsis", "terminal")))
     )
-    limits = length_limits(rows.filter(F.col("kind").isin("text", "markup", "json", "style", "script")))
+    # read by the histogram and by the decision: kept once, without the values
+    rows = materialize(rows, "lengths")
+    limits = materialize(length_limits(rows.filter(F.col("kind").isin("text", "markup", "json", "style", "script"))), "limits")
     by_source = limits.groupBy(F.col("source").alias("limit_source")).agg(
         F.array_sort(F.collect_set(F.when(F.col("unit") == "chars", F.col("limit")))).alias("char_limits"),
         F.array_sort(F.collect_set(F.when(F.col("unit") == "bytes", F.col("limit")))).alias("byte_limits"),
         F.array_sort(F.collect_set(F.when((F.col("unit") == "chars") & (F.col("ellipsis_share") > 0.5), F.col("limit")))).alias("marked_limits"),
     )
+    # a few rows per source; broadcast only if that is so
+    if limits.count() <= BROADCAST_LIMITS:
+        by_source = F.broadcast(by_source)
     joined = rows.join(by_source, F.col("source").eqNullSafe(F.col("limit_source")), "left")
     near = F.coalesce(F.exists("byte_limits", lambda x: F.abs(F.col("bytes") - x) <= BYTE_SLACK), F.lit(False))
     at_limit = F.coalesce(F.array_contains("char_limits", F.col("chars")), F.lit(False)) | near
