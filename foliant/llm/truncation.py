@@ -1,8 +1,9 @@
 """Problem 1: text cut off by field limits or by a broken transfer.
 
 Method: per source and kind of column the lengths in characters and in bytes are counted; a length that stands far above
-its neighbourhood is a field limit. A value at a limit without terminal punctuation is cut. Beside that, a value whose
-own syntax is left open (tag, JSON, rule, statement, PNG) was cut wherever the transfer broke.
+its neighbourhood is a field limit. A value of a limit's length is cut if it fails its kind's stricter end test: terminal
+punctuation for prose, elements, brackets and comments that are all closed for markup, styles and scripts. Beside that, a
+value whose own syntax is left open (tag, SVG root, JSON, rule, statement, PNG) was cut wherever the transfer broke.
 
 Everything is a Catalyst expression: no Python worker sees a row.
 
@@ -37,6 +38,11 @@ ANOMALY_TYPES = (
 
 _TAG_START = r"^(?i)<(!doctype|!--|\?xml|/?(html|head|body|title|meta|p|div|h[1-6]|ul|ol|li|table|center|main|article|section|span|a|b|pre|blockquote|header|footer|nav|aside|noscript|br|img|style|script|svg|figure|form)\b)"
 _TERMINAL = r"[.!?…。！？][\"”»’')\]]*$"
+#: Elements that need an end tag; their start tags, if not closed in themselves, and their end tags.
+_PAIRED = r"(a|abbr|article|aside|b|blockquote|button|center|code|div|dl|em|fieldset|figcaption|figure|footer|form|h[1-6]|header|i|iframe|label|main|nav|noscript|ol|pre|script|section|select|span|strong|style|sub|sup|svg|table|textarea|title|u|ul|video)"
+_PAIR_START, _PAIR_END = rf"(?i)<{_PAIRED}(\s[^<>]*)?(?<!/)>", rf"(?i)</{_PAIRED}\s*>"
+_SVG_START, _SVG_END = r"(?i)<svg(\s[^<]*)?(?<!/)>", r"(?i)</svg\s*>"
+_MARKUP_COMMENT = r"(?s)<!--.*?-->"
 _ELLIPSIS = r"(\.\.\.|…)$"
 
 
@@ -56,6 +62,29 @@ def value_kind(data: Column, content_type: Column) -> Column:
     )
 
 
+def _more(data: Column, start: str, end: str) -> Column:
+    """True where the pattern ``start`` is found more often than ``end``."""
+    return F.regexp_count(data, F.lit(start)) > F.regexp_count(data, F.lit(end))
+
+
+def _open_at_limit(data: Column, kind: Column, terminal: Column) -> Column:
+    """True where a value of a limit's length isn't whole, though its syntax may not show that at any other length.
+
+    JSON, SVG and PNG need no such test: no beginning of theirs passes the test of their syntax.
+    """
+    bare = F.regexp_replace(data, _MARKUP_COMMENT, "")
+    last = F.element_at(F.split(F.rtrim(F.substring(data, -200, 200)), "\n"), -1)
+    comment = _more(data, r"(^|[\s;{}(),])/\*", r"\*/")
+    brackets = _more(data, r"\(", r"\)") | _more(data, r"\[", r"\]")
+    return (
+        F.when(kind == "markup", ~F.lower(F.substring(data, -40, 40)).rlike(r"</html>\s*$") & (bare.contains("<!--") | _more(bare, _PAIR_START, _PAIR_END)))
+        .when(kind == "style", comment | brackets)
+        .when(kind == "script", comment | brackets | (last.rlike(r"^\s*//[^#@]") & ~terminal))
+        .when(kind == "text", ~terminal)
+        .otherwise(F.lit(False))
+    )
+
+
 def _open_syntax(data: Column, kind: Column) -> Column:
     """True where the value's own syntax is left open."""
     end = F.regexp_replace(F.substring(data, -200, 200), r"\s+$", "")
@@ -86,7 +115,7 @@ def _open_syntax(data: Column, kind: Column) -> Column:
     markup = ~end.endswith(">") | (~F.lower(end).endswith("</html>") & (end.rlike(r"(?i)<(?!/|!|\?|br|hr|img|meta|link|input|html|body|head)[^<>]*[^<>/]>$|</(a|b|i|em|strong|span|code|li|td|tr)>$") | boxes))
     opened = (
         F.when(kind == "png", png)
-        .when(kind == "svg", ~end.endswith(">"))
+        .when(kind == "svg", ~end.endswith(">") | _more(F.regexp_replace(data, _MARKUP_COMMENT, ""), _SVG_START, _SVG_END))
         .when(kind == "markup", markup)
         .when(kind == "json", F.expr("try_parse_json(data) IS NULL"))
         .when(kind == "style", braces | ~end.rlike(r"(\}|\*/|;)$"))
@@ -120,6 +149,7 @@ def length_limits(values: DataFrame) -> DataFrame:
 
 def cut_values(parts: DataFrame) -> DataFrame:
     """(archive_id, part_no, source, cut, at_limit, open_end) for each part that has data, repeated rows once."""
+    terminal = F.substring("data", -40, 40).rlike(_TERMINAL)
     rows = (
         parts.filter(F.col("data").isNotNull())
         .select("archive_id", "part_no", "source", value_kind(F.col("data"), F.col("content_type")).alias("kind"), "data")
@@ -132,12 +162,13 @@ def cut_values(parts: DataFrame) -> DataFrame:
             F.octet_length("data").alias("bytes"),
             _open_syntax(F.col("data"), F.col("kind")).alias("open_end"),
             F.substring("data", -8, 8).rlike(_ELLIPSIS).alias("ellipsis"),
-            F.substring("data", -40, 40).rlike(_TERMINAL).alias("terminal"),
+            _open_at_limit(F.col("data"), F.col("kind"), terminal).alias("unended"),
         )
         .groupBy("archive_id", "part_no")
-        .agg(*(F.first(c).alias(c) for c in ("source", "kind", "chars", "bytes", "open_end", "ellipsis", "terminal")))
+        .agg(*(F.first(c).alias(c) for c in ("source", "kind", "chars", "bytes", "open_end", "ellipsis", "unended")))
     )
-    # read by the histogram and by the decision: kept once, without the values
+    # read by the histogram and by the decision: kept once, without the values. Complete images are so
+    # alike in length that they would make limits of their own; their end tells all without a limit
     rows = materialize(rows, "lengths")
     limits = materialize(length_limits(rows.filter(F.col("kind").isin("text", "markup", "json", "style", "script"))), "limits")
     by_source = limits.groupBy(F.col("source").alias("limit_source")).agg(
@@ -152,9 +183,8 @@ def cut_values(parts: DataFrame) -> DataFrame:
     near = F.coalesce(F.exists("byte_limits", lambda x: F.abs(F.col("bytes") - x) <= BYTE_SLACK), F.lit(False))
     at_limit = F.coalesce(F.array_contains("char_limits", F.col("chars")), F.lit(False)) | near
     marked = F.coalesce(F.array_contains("marked_limits", F.col("chars")), F.lit(False)) & F.col("ellipsis")
-    prose = (F.col("kind") == "text") & ~F.col("terminal")
     exact = F.coalesce(F.array_contains("char_limits", F.col("chars")), F.lit(False)) | F.coalesce(F.array_contains("byte_limits", F.col("bytes")), F.lit(False))
-    return joined.select("archive_id", "part_no", "source", "kind", (F.col("open_end") | marked | (prose & exact)).alias("cut"), at_limit.alias("at_limit"), "open_end")
+    return joined.select("archive_id", "part_no", "source", "kind", (F.col("open_end") | marked | (F.col("unended") & exact)).alias("cut"), at_limit.alias("at_limit"), "open_end")
 
 
 def cut_anomalies(archives: DataFrame, parts: DataFrame) -> DataFrame:

@@ -31,6 +31,30 @@ def test_limits_are_spikes(spark):
     assert (report["n_parts"], report["n_cut"], report["cut_share"]) == (200, 30, 0.15)
 
 
+def test_svg_needs_the_end_of_its_root(spark):
+    whole = ["<svg/>", "<?xml version='1.0'?>\n<svg width='1'/>\n", "<svg><svg><path/></svg></svg>", "<svg><svg/><path/></svg>\n<!-- <svg> -->", "<svg><path/></svg><p>A page.</p>"]
+    open_ = ["<svg><path/>", "<svg><g><path/></g>", "<svg width='1'>", "<svg><svg><path/></svg>", "<svg><path/><!-- </svg> -->"]
+    assert cut(spark, [("a", i, "s", "image/svg+xml", d) for i, d in enumerate([*whole, *open_])]) == set(range(len(whole), len(whole) + len(open_)))
+
+
+def test_each_kind_has_its_own_end_at_a_limit(spark):
+    pieces = {
+        "text/html": ("<html><body><nav><ul><li>a</li></ul>", "<html><body><nav><ul><li>a</li></ul></nav>", "<p>{}</p>"),
+        "text/css": ("/* a {b:c}", "/* a {b:c} */", "a.{}{{b:c}}"),
+        "text/javascript": ("window.on(function() {}", "window.on(function() {});", "let a{} = {{}}"),
+    }
+    rows, expected = [], set()
+    for k, (kind, (open_, whole, fill)) in enumerate(pieces.items()):
+        for i in range(40):
+            start, size = (open_, 300) if i < 20 else (whole, 300) if i < 25 else (open_, 320 + 7 * i)
+            rows.append((f"{k}", i, f"s{k}", kind, start + fill.format("x" * (size - len(start) - len(fill.format(""))))))
+            if i < 20:
+                expected.add((f"{k}", i))
+    got = t.cut_values(parts(spark, rows)).collect()
+    assert {len(r[4]) for r in rows if r[1] < 25} == {300}
+    assert {(r["archive_id"], r["part_no"]) for r in got if r["cut"]} == expected
+
+
 def test_marked_limit_and_repeated_rows(spark):
     rows = [("a", i % 20, "s", "text/plain", ("x" * 57 + f"{i % 20:02d} sentence that stops" + "y" * 60)[:97] + "...") for i in range(40)] + [("a", 99, "s", "text/plain", "It ends like that...")]
     assert cut(spark, rows) == set(range(20))
