@@ -1,9 +1,10 @@
 """Problem 5: the main body of a page, without menus, notices, side columns, promotions and footers.
 
 Method: tag-path ratios. Text length and punctuation are summed per root-to-leaf path, smoothed along the page, fused, and
-the paths above the threshold select content nodes and with them the container that holds the article. Lines that come
+the paths above the threshold select content nodes and with them the container that holds the article, on every page; the
+headline that stands in the title only says where it begins. Lines that come
 back on a host's pages, or on the pages of many hosts, are boilerplate wherever they stand; their counts cover all pages.
-Where a page has no containers the sequence of blocks is cut instead: from the headline to the side column or footer.
+Blocks outside of containers are parted at side columns instead, and these parts are scored as containers are.
 
 Stages: (1) one reading of every page into compact block features, kept as a table; (2) counts of lines per host and over
 hosts; (3) the decision per page from its features and the repeated lines of its host. No stage holds a host in one task:
@@ -176,46 +177,40 @@ def choose(f: dict, host_lines: set[int], web_lines: set[int]) -> list[int]:
     smooth = [0.25 * (own[i - 1] if i else 0.0) + 0.5 * own[i] + 0.25 * (own[i + 1] if i + 1 < n else 0.0) for i in range(n)]
     threshold = 0.5 * sum(smooth) / max(1, n)
 
+    # a part is a container, or the blocks outside of containers up to the next side column
+    part, columns = [], 0
+    for i in range(n):
+        columns += side_start[i]
+        part.append(box[i] or -columns)
+    content = [good[i] and tag[i] in (_P, _QUOTE, _PRE, _LI, _CAPTION) and smooth[i] >= threshold for i in range(n)]
     score: dict[int, float] = {}
     sided: set[int] = set()
     for i in range(n):
-        if good[i] and tag[i] in (_P, _QUOTE, _PRE, _LI, _CAPTION) and smooth[i] >= threshold:
-            score[box[i]] = score.get(box[i], 0.0) + size[i] * (100 - link[i]) / 100
-        if side_start[i]:
+        if content[i]:
+            score[part[i]] = score.get(part[i], 0.0) + size[i] * (100 - link[i]) / 100
+        if side_start[i] and box[i]:
             sided.add(box[i])
+
+    # the scores choose the part; the title's headline only says where the article begins, and that it doesn't end before
     start = f["headline"]
+    own_part = part[start] if start >= 0 else None
+    open_to = {p: s for p, s in score.items() if p not in sided or p == own_part}
+    open_to = {p: s for p, s in open_to.items() if p in part[max(start, 0) :]} or open_to
+    home = max(open_to, key=lambda p: open_to[p]) if open_to else own_part
+    if home is None:
+        return []
     if start < 0:
-        heads = [i for i in range(n) if tag[i] <= _H2 and good[i] and words[i] >= 2]
-        boxed = {b: s for b, s in score.items() if b and b not in sided}
-        if boxed and len(set(box)) > 2:
-            at = max(boxed, key=lambda b: boxed[b])
-            inside = [i for i in heads if box[i] == at]
-            start = inside[0] if inside else next(i for i in range(n) if box[i] == at)
-        elif heads and any(good[i] and tag[i] == _P for i in range(heads[0], n)):
-            start = heads[0]
-        else:
-            start = next((i for i in range(n) if good[i] and tag[i] in (_P, _QUOTE, _PRE) and smooth[i] >= threshold), -1)
+        heads = [i for i in range(n) if part[i] == home and tag[i] <= _H2 and good[i] and words[i] >= 2]
+        start = heads[0] if heads else next(i for i in range(n) if part[i] == home and (home > 0 or content[i]))
         # text above the first subheading belongs to the article too, down from the last thing that doesn't
-        if start >= 0 and not (tag[start] == _H1):
-            while start > 0 and good[start - 1] and box[start - 1] == box[start] and tag[start - 1] in (_P, _QUOTE, _PRE, _CAPTION, _LI):
+        if tag[start] != _H1:
+            while start > 0 and good[start - 1] and part[start - 1] == home and tag[start - 1] in (_P, _QUOTE, _PRE, _CAPTION, _LI):
                 start -= 1
-    if start < 0:
-        return []
-    home = box[start]
-    if home:
-        chosen = [i for i in range(n) if box[i] == home]
-        prose = any(good[i] and tag[i] > _H3 for i in chosen)
-        if not prose and score:
-            other = max(score, key=lambda b: score[b])
-            if other and other not in sided:
-                chosen = sorted(set(chosen) | {i for i in range(n) if box[i] == other})
-        return [i for i in chosen if good[i]]
-    end = n
-    for i in range(start + 1, n):
-        if side_start[i]:
-            end = i
-            break
-    return [i for i in range(start, end) if good[i] and box[i] == 0]
+    # other containers behind the beginning that hold content nodes of the same paths continue the article
+    paths = {f["path"][i] for i in range(n) if content[i] and part[i] == home}
+    more = {part[i] for i in range(start, n) if home > 0 and part[i] > 0 and part[i] not in sided and content[i] and f["path"][i] in paths}
+    begin = dict.fromkeys(more, 0) | {own_part: start} | {home: start if home <= 0 and part[start] == home else 0}
+    return [i for i in range(n) if good[i] and i >= begin.get(part[i], n)]
 
 
 _FEATURES = pa.schema([("archive_id", pa.string()), ("host", pa.string()), ("about", pa.int64()), ("headline", pa.int32()), *((k, pa.list_(t)) for k, t in _LISTS.items())])

@@ -34,6 +34,22 @@ def test_articles_only(spark):
         assert sorted(found) == [4, 5, 7, 8, 9]
 
 
+def test_scores_choose_the_container_behind_a_headline():
+    def found(body, title="A long winter at the mill"):
+        return m.choose(m.page_features(f"<html><body>{body}</body></html>", title), set(), set())
+
+    head, text = "<h1>A long winter at the mill</h1><p>By Ann Lee, staff.</p>", f"<p>{PROSE}</p><p>{PROSE} More.</p>"
+    side = '<h3>Most read</h3><ul><li><a href="/1">The garden committee asked for a quieter bell</a></li></ul>'
+    menu = '<div class="m"><ul><li><a href="/1">Home</a></li></ul></div>'
+    # the body in a container beside that of the headline
+    assert found(f'{menu}<header>{head}</header><div class="body">{text}</div><div class="s">{side}</div>') == [1, 2, 3, 4]
+    assert found(f'{menu}<header>{head}</header><section class="t">{text}</section><div class="s">{side}</div><section class="t">{text}</section>') == [1, 2, 3, 4, 7, 8]
+    # the body behind a side column, without containers
+    assert found(f"{head}{side}{text}") == [0, 1, 4, 5]
+    # a headline that isn't the title's, behind other text
+    assert found(f"<h1>Mill News</h1><p>We use cookies here.</p>{side}<h2>Another tale of winter</h2>{text}", None) == [4, 5, 6]
+
+
 def test_blocks_are_numbered_in_document_order():
     blocks = read_blocks("<html><head><title>t</title><script><p>no</p></script></head><body><!-- <p>no</p> --><h1>a</h1><div id=x><p>b <a href='#'>c</a></p><ul><li>d</li></ul></div><pre>e\n f</pre><figcaption>g</figcaption></body></html>")
     assert [(b.tag, b.text) for b in blocks] == [("h1", "a"), ("p", "b c"), ("li", "d"), ("pre", "e f"), ("figcaption", "g")]
