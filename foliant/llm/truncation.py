@@ -148,7 +148,10 @@ def length_limits(values: DataFrame) -> DataFrame:
 
 
 def cut_values(parts: DataFrame) -> DataFrame:
-    """(archive_id, part_no, source, cut, at_limit, open_end) for each part that has data, repeated rows once."""
+    """(archive_id, part_no, source, kind, cut, at_limit, open_end, by_limit) for each part that has data, repeated rows once.
+
+    A value is cut if its own end tells so at any length (``open_end``; prose too is judged by its end) or ``by_limit``.
+    """
     terminal = F.substring("data", -40, 40).rlike(_TERMINAL)
     rows = (
         parts.filter(F.col("data").isNotNull())
@@ -184,7 +187,8 @@ def cut_values(parts: DataFrame) -> DataFrame:
     at_limit = F.coalesce(F.array_contains("char_limits", F.col("chars")), F.lit(False)) | near
     marked = F.coalesce(F.array_contains("marked_limits", F.col("chars")), F.lit(False)) & F.col("ellipsis")
     exact = F.coalesce(F.array_contains("char_limits", F.col("chars")), F.lit(False)) | F.coalesce(F.array_contains("byte_limits", F.col("bytes")), F.lit(False))
-    return joined.select("archive_id", "part_no", "source", "kind", (F.col("open_end") | marked | (F.col("unended") & exact)).alias("cut"), at_limit.alias("at_limit"), "open_end")
+    by_limit = marked | (F.col("unended") & exact)
+    return joined.select("archive_id", "part_no", "source", "kind", (F.col("open_end") | by_limit).alias("cut"), at_limit.alias("at_limit"), "open_end", by_limit.alias("by_limit"))
 
 
 def cut_anomalies(archives: DataFrame, parts: DataFrame) -> DataFrame:
@@ -210,11 +214,22 @@ def cut_anomalies(archives: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def truncation_report(parts: DataFrame) -> DataFrame:
-    """(source, n_parts, n_cut, n_at_limit, cut_share): how often each source truncates."""
+    """(source, n_parts, n_cut, n_at_limit, n_end_only, n_limit_only, cut_share): how often each source truncates, and which
+    test alone tells so; both tell the rest."""
+
+    def number(which: Column) -> Column:
+        return F.sum(which.cast("long"))
+
     return (
         cut_values(parts)
         .groupBy("source")
-        .agg(F.count("*").alias("n_parts"), F.sum(F.col("cut").cast("long")).alias("n_cut"), F.sum(F.col("at_limit").cast("long")).alias("n_at_limit"))
+        .agg(
+            F.count("*").alias("n_parts"),
+            number(F.col("cut")).alias("n_cut"),
+            number(F.col("at_limit")).alias("n_at_limit"),
+            number(F.col("open_end") & ~F.col("by_limit")).alias("n_end_only"),
+            number(F.col("by_limit") & ~F.col("open_end")).alias("n_limit_only"),
+        )
         .withColumn("cut_share", F.col("n_cut") / F.col("n_parts"))
     )
 

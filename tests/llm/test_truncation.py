@@ -60,6 +60,14 @@ def test_marked_limit_and_repeated_rows(spark):
     assert cut(spark, rows) == set(range(20))
 
 
+def test_report_tells_the_tests_apart(spark):
+    # list items need no stop, so that only the limit tells; prose ends open at any length
+    rows = [("a", i, "s", "text/plain", ("- " + "word " * 100)[: 100 if i < 30 else 110 + i]) for i in range(60)]
+    rows += [("b", i, "s", "text/plain", ("Prose " + "word " * 100)[: 300 + 40 * i]) for i in range(4)]
+    report = t.truncation_report(parts(spark, rows)).collect()[0]
+    assert (report["n_cut"], report["n_end_only"], report["n_limit_only"]) == (34, 4, 30)
+
+
 def test_anomalies(spark):
     p = parts(spark, [("a", 0, "s", "text/html", "<p>x</p>")]).withColumnRenamed("id", "old").selectExpr("archive_id", "part_no", "source", "'https://e.com/abc' as id", "content_type", "data")
     rows = [("a", [("index-synthesized", "https://e.com/abc")]), ("b", [("index-synth", None)]), ("a", [("base64-left-encoded", "https://e.com/a")]), ("c", None), ("d", [("unknown", None)]), ("e", [("index-synthesized", "https://e.com/a")])]
