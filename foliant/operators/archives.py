@@ -7,6 +7,7 @@ are anti-joins. Every key is (archive_id, address): no group is larger than an a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -184,22 +185,28 @@ def fetched_parts(fetched: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def fetch_rounds(parts: DataFrame, web: DataFrame, max_rounds: int = 8, max_retries: int = 2) -> tuple[DataFrame, DataFrame]:
+def fetch_rounds(parts: DataFrame, web: DataFrame, max_rounds: int | None = None, max_retries: int = 2) -> tuple[DataFrame, DataFrame]:
     """(parts, failed): parts are added until no reference is missing that hasn't failed.
 
-    Each round reads only the parts the last one added; lineage is cut with a table per round in the shared folder.
+    Each round reads only the parts the last one added; lineage is cut with a table per round in the shared folder. Every
+    address of an archive is tried once and each round but the last fetches one at least, so the rounds end of themselves.
+    With ``max_rounds``, an error says that addresses are left after so many rounds.
     """
     columns_ = [c.split()[0] for c in PART.split(", ")]
     parts = parts.select("archive_id", *columns_)
     everything, fresh = parts, parts
-    failed = None
+    failed = tried = None
     refs_all = None
-    for k in range(max_rounds):
+    for k in itertools.count():
         refs = materialize(references(fresh), f"refs{k}")
         refs_all = refs if refs_all is None else refs_all.unionByName(refs)
         resolved = resolve_references(refs_all, addresses(everything))
-        wanted = missing_resources(resolved, failed)
+        wanted = missing_resources(resolved, tried)
+        if k == max_rounds and (left := wanted.count()):
+            raise RuntimeError(f"{left} resources are still to be fetched after {max_rounds} rounds")
         answers = materialize(fetch(wanted, web, max_retries), f"fetched{k}")
+        asked = answers.select("archive_id", "address")
+        tried = asked if tried is None else tried.unionByName(asked)
         bad = answers.filter("NOT ok").select("archive_id", "address")
         failed = bad if failed is None else failed.unionByName(bad)
         fresh = fetched_parts(answers, everything)

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import archives as ops
@@ -54,6 +55,18 @@ def test_fetch_rounds_reach_what_fetched_sheets_need(spark):
     assert sorted(page["unfound_resources"]) == ["https://e.com/gone.png", "https://e.com/late.png"] and "original URL: https://e.com/t.css" in page["html"]
 
 
+def test_fetch_rounds_go_on_to_the_end_of_a_chain(spark):
+    data = archive(part(b'<link rel="stylesheet" href="s0.css">', "text/html", location="https://e.com/p"))
+    chain = [(f"https://e.com/s{k}.css", 200, "text/css", bytearray(f'@import "s{k + 1}.css";'.encode()), None, None) for k in range(10)]
+    web = spark.createDataFrame(chain, "url string, status int, content_type string, body binary, retry_after string, fetched_at timestamp")
+    found = ops.archive_parts(ops.parse_archives(frame(spark, data)))
+    parts, failed = ops.fetch_rounds(found, web)
+    assert {r["id"] for r in parts.collect()} == {"https://e.com/p", *(f"https://e.com/s{k}.css" for k in range(10))}
+    assert [r["address"] for r in failed.collect()] == ["https://e.com/s10.css"]
+    with pytest.raises(RuntimeError, match="1 resources"):
+        ops.fetch_rounds(found, web, max_rounds=1)
+
+
 def test_import_closure_ends_on_cycles(spark):
     direct = spark.createDataFrame([("a", "1", "2"), ("a", "2", "3"), ("a", "3", "1"), ("b", "1", "9")], "archive_id string, sheet string, imported string")
     got = {tuple(r) for r in ops.import_closure(direct).collect()}
