@@ -300,7 +300,7 @@ _HITS = f"""SELECT r.archive_id, r.part_no AS ordinal, r.address AS resolved, co
 
 def _resolved(spark: SparkSession, base: str) -> DataFrame:
     parts = _parts(spark, base)
-    return ops.resolve_references(ops.references(parts.filter(columns.is_document(F.col("content_type")))), ops.addresses(parts))
+    return ops.resolve_references(ops.references(parts), ops.addresses(parts))
 
 
 @query("resolved_references", _HITS)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import archives as ops
+from foliant.plans.queries import QUERIES
 from foliant.sources.archivefiles import read_archives, write_pages
 from tests.test_mime import archive, part
 
@@ -73,6 +74,26 @@ def test_import_closure_ends_on_cycles(spark):
     assert got == {("a", x, y) for x in "123" for y in "123"} | {("b", "1", "9")}
 
 
+def test_queries_read_the_references_of_sheets(spark, tmp_path):
+    rows = [
+        ("a", 0, "https://e.com/p", "text/html", '<link rel="stylesheet" href="https://e.com/s.css">'),
+        ("a", 1, "https://e.com/s.css", "text/css", "a{b:url(i.png)} c{d:url(no.png)}"),
+        ("a", 2, "https://e.com/i.png", "image/png", "iVBO"),
+        ("b", 0, "https://e.com/q", "text/html", "<p>x</p>"),
+    ]
+    kept = "archive_id string, part_no int, id string, content_type string, data string, content_id string, transfer_encoding string, captured_at timestamp, ingested_at timestamp"
+    spark.createDataFrame([(*r, None, None, None, None) for r in rows], kept).write.parquet(str(tmp_path / "parts.parquet"))
+    spark.createDataFrame([("a",), ("b",)], "archive_id string").write.parquet(str(tmp_path / "archives.parquet"))
+
+    def found(name):
+        return {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+
+    assert found("used_parts") == {("a", 1), ("a", 2)}
+    assert found("unfound_references") == found("missing_resources") == {("a", "https://e.com/no.png")}
+    assert found("archives_without_holes") == {("b",)}
+    assert ("a", 1, "https://e.com/i.png", 2) in found("resolved_references")
+
+
 def test_empty_tables(spark):
     nothing = frame(spark, one()).limit(0)
     parts = ops.archive_parts(ops.parse_archives(nothing))
