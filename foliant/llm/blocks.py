@@ -25,12 +25,12 @@ def plain(markup: str) -> str:
 
 
 class Block:
-    """One text element: its tag, text, share of link text, path of containers and their numbers from the outermost on."""
+    """One text element: its tag, text, share of link text, path of containers, their numbers from the outermost on, markup."""
 
-    __slots__ = ("tag", "text", "link", "path", "chain", "label")
+    __slots__ = ("tag", "text", "link", "path", "chain", "label", "raw")
 
-    def __init__(self, tag: str, text: str, link: float, path: str, chain: tuple[int, ...], label: bool):
-        self.tag, self.text, self.link, self.path, self.chain, self.label = tag, text, link, path, chain, label
+    def __init__(self, tag: str, text: str, link: float, path: str, chain: tuple[int, ...], label: bool, raw: str):
+        self.tag, self.text, self.link, self.path, self.chain, self.label, self.raw = tag, text, link, path, chain, label, raw
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -55,7 +55,7 @@ def read_blocks(page: str) -> list[Block]:
                 if "<a" in body and text:
                     link = min(1.0, sum(len(plain(x)) for x in _LINK.findall(body)) / len(text))
                     label = body.startswith(("<b>", "<strong>")) and body.endswith("</a>") and link > 0.3
-            blocks.append(Block(tag, text, link, f"{path}/{tag}", chain, label))
+            blocks.append(Block(tag, text, link, f"{path}/{tag}", chain, label, body))
             continue
         name = name.lower()
         if closing:

@@ -1,71 +1,9 @@
-"""Wording of messages and filler, as patterns in the languages of the web. Fixed values, all of them."""
+"""Words of the usual filler and forms of unfilled slots. Fixed values, all of them."""
 
 from __future__ import annotations
 
 import re
 
-#: Beginnings of error messages and refusals, matched at the start of a whole statement.
-ERROR_STARTS = (
-    # English
-    r"(the )?(requested )?page (was |could |can)?(not|n.t) (be )?found",
-    r"(404|403|500|502|503|410)\b.{0,6}(not found|forbidden|internal server error|bad gateway|service unavailable|gone|error)?\W*$",
-    r"(http )?error \d{3}\b",
-    r"we (could|can)(n.t| ?not) find (what|the page)",
-    r"(access|permission) (is |was )?(denied|forbidden|refused)",
-    r"forbidden\W", r"you (do not|don.t) have permission",
-    r"(the )?service (is )?(temporarily |currently )?(unavailable|not available)",
-    r"something went wrong", r"an? (unexpected )?error (has )?occurred", r"(internal )?server error", r"bad gateway",
-    r"(the )?gateway (did not|didn.t|timed)", r"your session (has )?(expired|timed out)", r"too many requests",
-    r"(could|can)(n.t| ?not) connect to (the )?(database|server)", r"(this|the) site can.t be reached",
-    r"traceback \(most recent call last\)", r"[a-z_]\w*(\.\w+)+(exception|error)\b", r"(warning|fatal error|notice|parse error): \w+.{0,200} (on|at) line \d+",
-    r"(warning|fatal error|notice|parse error): .{0,200}(failed to open|on line|undefined)", r"error establishing a database connection", r"(please )?confirm that you are (not a robot|human)", r"checking your browser",
-    # German
-    r"(die )?seite (wurde )?nicht gefunden", r"zugriff verweigert", r"der dienst ist (vorübergehend|derzeit) nicht", r"es ist ein (unbekannter )?fehler aufgetreten", r"dienst (vorübergehend )?nicht verfügbar",
-    # Dutch
-    r"pagina niet gevonden", r"toegang geweigerd", r"dienst tijdelijk niet", r"er is (een fout|iets mis)",
-    # French
-    r"page (introuvable|non trouvée)", r"accès (refusé|interdit)", r"service (momentanément|temporairement) indisponible", r"une erreur (est survenue|s.est produite)",
-    # Spanish
-    r"página no encontrada", r"(acceso|permiso) denegado", r"servicio no disponible", r"se ha producido un error", r"ha ocurrido un error",
-    # Portuguese
-    r"página não encontrada", r"acesso negado", r"serviço (temporariamente )?indisponível", r"ocorreu um erro",
-    # Italian
-    r"pagina non trovata", r"accesso negato", r"servizio (al momento|temporaneamente) non disponibile", r"si è verificato un errore",
-    # Polish
-    r"nie znaleziono strony", r"strona nie (została znaleziona|istnieje)", r"odmowa dostępu", r"brak dostępu", r"usługa (chwilowo|tymczasowo) niedostępna", r"wystąpił (nieoczekiwany )?błąd",
-    # Russian
-    r"страница не найдена", r"доступ (запрещён|запрещен|ограничен)", r"сервис временно недоступен", r"(произошла|возникла) ошибка",
-    # Japanese
-    r"ページが見つかりません", r"(指定|お探し)された(ページ|アドレス)", r"アクセスが(拒否|禁止)", r"アクセス権", r"(ただいま)?サービス(は|を)?(現在|一時的に)?.{0,8}(利用できません|停止)", r"(内部)?エラーが発生しました", r"このページ(を|は)表示(できません|する権限)", r"一時的にサービス", r"現在.{0,10}ご?利用(いただけ|でき)ません",
-)
-
-#: Notices that scripts are required, matched anywhere in a short statement.
-SCRIPT_NOTICES = (
-    r"(enable|activate|turn on|switch on|allow) (java ?script|scripts|scripting)\b",
-    r"(application|app|site|page) (needs|requires) (java ?script|scripts)", r"browser does(n.t| not) support (java ?script|scripts)", r"(java ?script|scripts?|scripting) (is|are|must be) (required|disabled|enabled|switched off)",
-    r"(schalten|aktivieren) sie (bitte )?(javascript|skripte)", r"(javascript|skripte) (müssen|muss|ist) .{0,20}(erlaubt|aktiviert|erforderlich)", r"müssen skripte erlaubt sein",
-    r"zet javascript aan", r"(scripts|javascript) .{0,30}(toegestaan|ingeschakeld|nodig)", r"heeft (scripts|javascript) nodig", r"schakel javascript in",
-    r"(veuillez )?activer javascript", r"besoin (des|de) scripts", r"activez javascript",
-    r"active javascript\b", r"(habilite|activar) javascript", r"(necesita|requiere) que los scripts", 
-    r"ative o javascript", r"(precisa|requer) que os scripts",
-    r"attiva(re)? javascript", r"richiede che gli script",
-    r"włącz (obsługę )?javascript", r"(wymaga|potrzebuje) .{0,20}(skryptów|javascript)", r"skrypt\w* .{0,20}(włączone|dozwolone|potrzebn)",
-    r"включите javascript", r"(нужно|необходимо) разрешить скрипты", r"(требу\w+|нужен) javascript",
-    r"javascript ?を有効", r"スクリプト(を|の|が)(許可|有効|必要|実行)", r"javascript ?が(必要|無効)",
-)
-
-#: Filler standing where content belongs, matched at the start of a whole statement.
-FILLER_STARTS = (
-    r"lorem ipsum\b", r"todo\b.{0,40}(copy|text|content|write)", r"(tbd\W*){2,}", r"tbd\W*$", r"coming soon\b", r"under construction\b", r"sample text\b", r"(this is )?(a )?placeholder\b", r"dummy text\b",
-    r"add your (description|text|content)", r"(insert|your) (text|content|description|title) here", r"just another (new )?(site|weblog|blog|wordpress)", r"replace this (paragraph|text)", r"hello world\W*$",
-    r"(content|text) (for this section )?(will be added|goes here|coming)",
-    r"(dies|das) ist ein (blind|platzhalter|muster)text", r"platzhaltertext", r"hier steht später", r"blindtext\b",
-    r"dit is (een )?(voorbeeld|opvul|plaatshouder)", r"(voorbeeld|opvul)tekst\b", r"hier komt (later|de tekst)",
-    r"texte (de remplissage|d.exemple|factice)", r"(ceci est un )?faux texte", r"texto (de ejemplo|de relleno|simulado)", r"texto (de exemplo|de preenchimento|provisório)", r"testo (di esempio|segnaposto|riempitivo|di prova)",
-    r"(tekst|przykładowy tekst) (przykładowy|zastępczy|wypełniający)?", r"tu (będzie|wpisz) ", r"(это )?(пример|образец) текста", r"текст[- ](заполнитель|заглушка|пример)", r"здесь (будет|появится) (текст|содержание)", r"рыба[- ]текст",
-    r"(これは)?(ダミー|サンプル|仮の?)(テキスト|文章|の文)", r"ここに(本文|文章|テキスト|内容)", r"例文です",
-)
-
 #: Words of the common pseudo-Latin filler.
 FILLER_WORDS = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo "
@@ -80,7 +18,4 @@ SLOTS = (
     r"\[object Object\]", r"(?<![\w{$#])\{[a-z][a-z0-9]*(?:_[a-z0-9]+)*\}(?![\w}])",
 )
 
-ERROR_RE = re.compile(r"\W*(?:error|fehler|erreur|errore|erro|błąd|ошибка)?\W*(?:" + "|".join(ERROR_STARTS) + ")", re.I)
-SCRIPT_RE = re.compile("|".join(SCRIPT_NOTICES), re.I)
-FILLER_RE = re.compile(r"\W*(?:" + "|".join(FILLER_STARTS) + ")", re.I)
 SLOT_RE = re.compile("|".join(SLOTS))

@@ -24,21 +24,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.blocks import BLOCK_TAGS, read_blocks
-from foliant.llm.residue import page_values, verdicts
+from foliant.llm.blocks import BLOCK_TAGS, Block, read_blocks
+from foliant.llm.residue import LEAF, Tree, batch_of, holders, mined, part_values, read_page
 from foliant.runtime import materialize
 
 #: A line is boilerplate of a host if it stands under this share of its different headlines, and under two at least.
 HOST_SHARE = 0.15
 #: ... and of the web if it stands on the pages of this share of all hosts, and of three at least.
 WEB_SHARE, WEB_HOSTS = 0.004, 3
-#: Characters of the longest line that is counted; longer blocks are never boilerplate.
-MAX_LINE, WEB_LINE = 240, 120
+#: Blocks whose fused score is below this share of the mean of their page are no content nodes.
+THRESHOLD = 0.02
 
 _TAG_NO = {t: i for i, t in enumerate(BLOCK_TAGS)}
 _H1, _H2, _H3, _P, _LI, _QUOTE, _PRE, _CAPTION = range(8)
 _DIGITS = re.compile(r"\d+")
-_PROPER = re.compile(r"(?<=\S )[A-ZÀ-ÖØ-Þ]\w*")
+_PROPER = re.compile(r" [A-ZÀ-ÖØ-Þ]\w*")
 _LEAD = re.compile(r"^[A-ZÀ-ÖØ-Þ][a-z]+(?: [A-ZÀ-ÖØ-Þ][a-z]+)*(?=,)")
 _PUNCT = (".", ",", ";", ":", "!", "?", "…", "。", "、")
 _SUFFIX = re.compile(r"\s+[|–—·-]\s+[^|–—·]{1,60}$")
@@ -54,16 +54,14 @@ def _key(text: str) -> int:
 def line_keys(text: str) -> tuple[int, int]:
     """Keys of a line as it stands on one host, and with digits and proper names masked, as it stands on many."""
     same = _DIGITS.sub("0", text)
-    if len(text) > WEB_LINE:
-        return _key(same), 0
-    masked = _LEAD.sub("N", same)
-    masked = re.sub(r"N(?: N)+", "N", _PROPER.sub("N", masked))
+    masked = _PROPER.sub(" N", _LEAD.sub("N", same))
+    if "N N" in masked:
+        masked = re.sub(r"N(?: N)+", "N", masked)
     return _key(same), _key(masked)
 
 
-def page_features(data: str, title: str | None) -> dict:
+def page_features(blocks: list[Block], title: str | None) -> dict:
     """What the decision needs of a page, as parallel lists over its blocks."""
-    blocks = read_blocks(data)
     depth = 0
     while blocks and all(len(b.chain) > depth for b in blocks) and len({b.chain[depth] for b in blocks}) == 1:
         depth += 1
@@ -80,7 +78,7 @@ def page_features(data: str, title: str | None) -> dict:
             words = text.count(" ") + 1 if " " in text or text.isascii() else 1 + size // 4
             rows.append((tag, size, 0, int(100 * link), words, box, b.path, 0, 0, 2 if b.label else 0))
             continue
-        if tag <= _P and link < 0.9 and 0 < size <= MAX_LINE:
+        if tag <= _P and link < 0.9 and size:
             same, web = line_keys(text)
         # 1 crumb, 2 label with a link, 4 the title's own text, 8 the site's name, 16 numbered or signed line
         if b.label:
@@ -175,14 +173,20 @@ def choose(f: dict, host_lines: set[int], web_lines: set[int]) -> list[int]:
     ratio = [text.get(p, 0.0) / nodes[p] * (1.0 + marks.get(p, 0.0) / nodes[p]) for p in f["path"]]
     own = [ratio[i] * (0.2 + size[i] / (1.0 + text.get(f["path"][i], 0.0) / nodes[f["path"][i]])) if good[i] else 0.0 for i in range(n)]
     smooth = [0.25 * (own[i - 1] if i else 0.0) + 0.5 * own[i] + 0.25 * (own[i + 1] if i + 1 < n else 0.0) for i in range(n)]
-    threshold = 0.5 * sum(smooth) / max(1, n)
+    for a, b in _runs(tag):  # a list is as near to the text around it as its first and last item
+        edge = 0.25 * max(own[a - 1] if a else 0.0, own[b] if b < n else 0.0)
+        smooth[a:b] = [max(x, edge) for x in smooth[a:b]]
+    mean = sum(smooth) / max(1, n)
+    # fused: smoothed ratios of what is neither a menu nor a repeated line
+    fused = [smooth[i] if good[i] else 0.0 for i in range(n)]
+    node = [fused[i] > THRESHOLD * mean for i in range(n)]
 
     # a part is a container, or the blocks outside of containers up to the next side column
     part, columns = [], 0
     for i in range(n):
         columns += side_start[i]
         part.append(box[i] or -columns)
-    content = [good[i] and tag[i] in (_P, _QUOTE, _PRE, _LI, _CAPTION) and smooth[i] >= threshold for i in range(n)]
+    content = [node[i] and tag[i] in (_P, _QUOTE, _PRE, _LI, _CAPTION) and fused[i] >= 0.5 * mean for i in range(n)]
     score: dict[int, float] = {}
     sided: set[int] = set()
     for i in range(n):
@@ -210,23 +214,31 @@ def choose(f: dict, host_lines: set[int], web_lines: set[int]) -> list[int]:
     paths = {f["path"][i] for i in range(n) if content[i] and part[i] == home}
     more = {part[i] for i in range(start, n) if home > 0 and part[i] > 0 and part[i] not in sided and content[i] and f["path"][i] in paths}
     begin = dict.fromkeys(more, 0) | {own_part: start} | {home: start if home <= 0 and part[start] == home else 0}
-    return [i for i in range(n) if good[i] and i >= begin.get(part[i], n)]
+    return [i for i in range(n) if node[i] and i >= begin.get(part[i], n)]
 
 
-_FEATURES = pa.schema([("archive_id", pa.string()), ("host", pa.string()), ("about", pa.int64()), ("headline", pa.int32()), *((k, pa.list_(t)) for k, t in _LISTS.items())])
-_DDL = "archive_id string, host string, about bigint, headline int, " + ", ".join(f"{k} array<{ {pa.int8(): 'tinyint', pa.int32(): 'int', pa.int64(): 'bigint'}[t]}>" for k, t in _LISTS.items())
+_FEATURES = {"archive_id": pa.string(), "host": pa.string(), "about": pa.int64(), "headline": pa.int32(), **{k: pa.list_(t) for k, t in _LISTS.items()}, "found": pa.bool_(), "keys": pa.list_(pa.int64())}
+_NAMES = {pa.string(): "string", pa.int8(): "tinyint", pa.int32(): "int", pa.int64(): "bigint", pa.bool_(): "boolean"}
+_DDL = ", ".join(f"{k} array<{_NAMES[t.value_type]}>" if pa.types.is_list(t) else f"{k} {_NAMES[t]}" for k, t in (_FEATURES | LEAF).items())
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One reading of each page gives its features and, for problem 3, its statements' leaves."""
+    tree = Tree()
+    schema = _FEATURES | LEAF
     for batch in batches:
-        rows = [{"archive_id": a, "host": h, **page_features(d, t)} for a, h, t, d in zip(*(batch.column(i).to_pylist() for i in range(4)))]
-        cols = [pa.array([r[f.name] for r in rows], f.type) for f in _FEATURES]
-        yield pa.RecordBatch.from_arrays(cols, schema=_FEATURES)
+        rows = []
+        for archive, host, title, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            blocks = read_blocks(data)
+            slot, filler, *read = read_page(data, blocks)
+            rows.append({"archive_id": archive, "host": host or "", **page_features(blocks, title), "found": slot or filler, "keys": tree.read(*read, host)})
+        yield batch_of(schema, {k: [r[k] for r in rows] for k in _FEATURES})
+    yield batch_of(schema, tree.flush())
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """The features of every page that has data, kept as a table."""
-    rows = pages.filter(F.col("data").isNotNull()).select("archive_id", F.coalesce("host", F.lit("")).alias("host"), "title", "data")
+    """The features of every page that has data, and the leaves of their statements' tree (leaf set), kept as a table."""
+    rows = pages.filter(F.col("data").isNotNull()).select("archive_id", "host", "title", "data")
     return materialize(rows.mapInArrow(_read, _DDL), "pages")
 
 
@@ -265,12 +277,19 @@ def _decide(web_lines: set[int]):
     return run
 
 
-def article_blocks(pages: DataFrame) -> DataFrame:
-    """(archive_id, block_no) of the blocks that belong to each page's article; pages of residue give none."""
-    features = read_pages(pages)
+def article_blocks(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(archive_id, block_no) of the blocks that belong to each page's article; pages of residue give none.
+
+    Messages stand alone in parts much more often than in pages with their menus: ``parts`` tells them apart.
+    """
+    table = read_pages(pages)
+    features = table.filter("leaf IS NULL").select(*_FEATURES)
+    leaves = table.filter("leaf IS NOT NULL").select(*LEAF)
+    if parts is not None:
+        leaves = leaves.unionByName(mined(part_values(parts)).filter("leaf IS NOT NULL").select(*LEAF))
     hosts, web = repeated_lines(features)
     # at most a page's mean number of lines / WEB_SHARE rows, a few thousand numbers at any size
     web_lines = {r[0] for r in web.collect()}
-    residue = verdicts(page_values(pages)).select("archive_id")
-    kept = features.join(residue, "archive_id", "left_anti").join(hosts, "host", "left")
+    residue = holders(features, leaves, "archive_id")
+    kept = features.drop("found", "keys").join(residue, "archive_id", "left_anti").join(hosts, "host", "left")
     return kept.mapInArrow(_decide(web_lines), "archive_id string, block_no int").distinct()

@@ -43,7 +43,7 @@ def p4_restored(spark: SparkSession, base: str) -> DataFrame:
 
 @query("p5_found")
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    return maincontent.article_blocks(read_table(spark, base, "page_data"))
+    return maincontent.article_blocks(read_table(spark, base, "page_data"), read_table(spark, base, "parts"))
 
 
 @query("p6_placement")

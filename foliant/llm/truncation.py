@@ -48,7 +48,8 @@ _ELLIPSIS = r"(\.\.\.|…)$"
 
 def value_kind(data: Column, content_type: Column) -> Column:
     """What a value is by its own first characters: png, svg, markup, json, style, script or text."""
-    head = F.ltrim(F.substring(data, 1, 200))
+    # the patterns look at the beginning only, behind any number of blanks
+    head = F.ltrim(data, F.lit(" \t\r\n"))
     declared = F.lower(F.coalesce(content_type, F.lit("")))
     return (
         F.when(data.rlike(r"^( {4}|\t)"), "text")
@@ -56,8 +57,9 @@ def value_kind(data: Column, content_type: Column) -> Column:
         .when(head.startswith("<svg") | (head.startswith("<?xml") & head.contains("<svg")), "svg")
         .when(head.rlike(_TAG_START), "markup")
         .when(head.rlike(r'^(\{\s*"|\{\s*\}|\[\s*(\[\s*)*[{"\d\]])'), "json")
-        .when(head.rlike(r"^([.#@*]?[A-Za-z][\w.:#>\[\]=\"' ,()-]*\{|/\*)") & ~declared.contains("javascript") & ~declared.startswith("text/plain"), "style")
+        .when(head.rlike(r"^([.#@*]?[A-Za-z][\w.:#>\[\]=\"' ,()-]{0,200}\{|/\*)") & ~declared.contains("javascript") & ~declared.startswith("text/plain"), "style")
         .when(declared.contains("javascript") & head.rlike(r"^(function|let|const|var|window|if|for|while|import|export|class|return|\(|//|/\*|[\w.$]+\s*[=(.])"), "script")
+        .when(head.rlike(r"^((let|const|var)\s+[\w$]+\s*=|function\s*[\w$]*\s*\(|window\.[\w$]+\s*=)") & ~declared.startswith("text/plain"), "script")
         .otherwise("text")
     )
 

@@ -23,11 +23,13 @@ def test_articles_only(spark):
         for n in range(4):
             title, html = page(site, 10 * k + n, "flat" if k % 2 else "boxed")
             rows.append((f"{site}{n}", f"{site}.example", f"{title} | {site.title()} News", html, "x"))
-    rows += [rows[0], ("null", "x.example", None, None, "x"), ("empty", "x.example", "T", "", "x"), ("junk", "y.example", "404", "<html><body><h1>404</h1><p>Page not found.</p></body></html>", "x")]
+    # the message stands alone in parts, in pages it has the site around it
+    parts = spark.createDataFrame([(f"p{i}", 0, f"h{i}.example", "text/plain", "Page not found. Nothing is here.") for i in range(4)], "archive_id string, part_no int, host string, content_type string, data string")
+    rows += [rows[0], ("null", "x.example", None, None, "x"), ("empty", "x.example", "T", "", "x"), ("junk", "y.example", "404", "<html><body><h1>404</h1><p>Page not found. Nothing is here.</p></body></html>", "x")]
     rows.append(("bare", "z.example", None, rows[0][3].replace("Story number 0", "Another story")[:], "x"))
     pages = spark.createDataFrame(rows, "archive_id string, host string, title string, data string, tag string")
     got: dict = {}
-    for r in m.article_blocks(pages).collect():
+    for r in m.article_blocks(pages, parts).collect():
         got.setdefault(r["archive_id"], []).append(r["block_no"])
     assert set(got) == {f"{s}{n}" for s in SITES for n in range(4)} | {"bare"}
     for found in got.values():
@@ -36,7 +38,7 @@ def test_articles_only(spark):
 
 def test_scores_choose_the_container_behind_a_headline():
     def found(body, title="A long winter at the mill"):
-        return m.choose(m.page_features(f"<html><body>{body}</body></html>", title), set(), set())
+        return m.choose(m.page_features(read_blocks(f"<html><body>{body}</body></html>"), title), set(), set())
 
     head, text = "<h1>A long winter at the mill</h1><p>By Ann Lee, staff.</p>", f"<p>{PROSE}</p><p>{PROSE} More.</p>"
     side = '<h3>Most read</h3><ul><li><a href="/1">The garden committee asked for a quieter bell</a></li></ul>'
@@ -59,3 +61,15 @@ def test_blocks_are_numbered_in_document_order():
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "archive_id string, host string, title string, data string")
     assert m.article_blocks(pages).count() == 0
+
+
+def test_long_lines_repeat_as_well(spark):
+    notice = "We and our partners keep small files on your device and read them to measure how this site is used. " * 30
+    rows = []
+    for n in range(4):
+        title, html = page("alpha", n, "flat")
+        rows.append((f"a{n}", "alpha.example", title, html.replace("<h1>", f"<p>{notice}</p><h1>", 1).replace("<h3>", f"<p>{notice}</p><h3>", 1)))
+    got: dict = {}
+    for r in m.article_blocks(spark.createDataFrame(rows, "archive_id string, host string, title string, data string")).collect():
+        got.setdefault(r["archive_id"], []).append(r["block_no"])
+    assert {k: sorted(v) for k, v in got.items()} == {f"a{n}": [5, 6, 8, 9, 10] for n in range(4)}
