@@ -1,9 +1,10 @@
 """Problem 1: text cut off by field limits or by a broken transfer.
 
-Method: per source and kind of column the lengths in characters and in bytes are counted; a length that stands far above
-its neighbourhood is a field limit. A value of a limit's length is cut if it fails its kind's stricter end test: terminal
-punctuation for prose, elements, brackets and comments that are all closed for markup, styles and scripts. Beside that, a
-value whose own syntax is left open (tag, SVG root, JSON, rule, statement, PNG) was cut wherever the transfer broke.
+Method: per source the lengths in characters and in bytes are counted. A length that stands far above its neighbourhood, and
+whose values mostly fail the end test of their kind, is a field limit; a value of a limit's length that fails the test is cut
+(``by_limit``). The end tests are terminal punctuation for prose, elements, brackets and comments that are all closed for
+markup, styles and scripts, the end of the file for images. A transfer breaks at any length, so beside the limits a value
+whose own syntax is left open (tag, SVG root, JSON, rule, statement, PNG, sentence) is cut as well (``broken``).
 
 Everything is a Catalyst expression: no Python worker sees a row.
 
@@ -20,10 +21,10 @@ from foliant.runtime import materialize
 
 #: Lengths this near to a limit belong to it: a cut inside a multi-byte character loses or adds a few bytes.
 BYTE_SLACK = 3
-#: A limit holds at least this many values, and this many times the mean count of the lengths around it.
-MIN_SPIKE, SPIKE_RATIO, NEIGHBOURS = 5, 12.0, 48
-#: So many limits are broadcast; beyond that they are joined by source.
-BROADCAST_LIMITS = 50_000
+#: A limit holds this many times the mean count of the lengths around it (taken as LEAST_MEAN where they are empty).
+SPIKE_RATIO, NEIGHBOURS, LEAST_MEAN = 12.0, 48, 0.4
+#: ... and this share of its values fails the end test; at lengths that are frequent by nature most values are whole.
+FAILING_SHARE = 0.5
 
 #: The last base64 characters of a complete PNG, for each alignment of its final IEND chunk.
 PNG_ENDS = ("AElFTkSuQmCC", "JRU5ErkJggg", "SUVORK5CYII")
@@ -37,13 +38,30 @@ ANOMALY_TYPES = (
 )
 
 _TAG_START = r"^(?i)<(!doctype|!--|\?xml|/?(html|head|body|title|meta|p|div|h[1-6]|ul|ol|li|table|center|main|article|section|span|a|b|pre|blockquote|header|footer|nav|aside|noscript|br|img|style|script|svg|figure|form)\b)"
-_TERMINAL = r"[.!?…。！？][\"”»’')\]]*$"
+_STOPS, _CLOSERS = ".!?…。！？", "\"”»’')]"
 #: Elements that need an end tag; their start tags, if not closed in themselves, and their end tags.
 _PAIRED = r"(a|abbr|article|aside|b|blockquote|button|center|code|div|dl|em|fieldset|figcaption|figure|footer|form|h[1-6]|header|i|iframe|label|main|nav|noscript|ol|pre|script|section|select|span|strong|style|sub|sup|svg|table|textarea|title|u|ul|video)"
 _PAIR_START, _PAIR_END = rf"(?i)<{_PAIRED}(\s[^<>]*)?(?<!/)>", rf"(?i)</{_PAIRED}\s*>"
 _SVG_START, _SVG_END = r"(?i)<svg(\s[^<]*)?(?<!/)>", r"(?i)</svg\s*>"
 _MARKUP_COMMENT = r"(?s)<!--.*?-->"
-_ELLIPSIS = r"(\.\.\.|…)$"
+_BLANKS = " \t\r\n\f"
+
+
+def _end(data: Column) -> Column:
+    """The value without blanks behind it."""
+    return F.rtrim(data, F.lit(_BLANKS))
+
+
+def _terminal(data: Column) -> Column:
+    """True where the value ends with terminal punctuation, closing quotes and brackets aside."""
+    last = F.substring(F.rtrim(_end(data), F.lit(_CLOSERS)), -1, 1)
+    return F.lit(_STOPS).contains(last) & (last != "")
+
+
+def _ends_with_tag(data: Column, pattern: str) -> Column:
+    """True where the value ends with a tag and the tag without its ``<`` fits the pattern."""
+    end = _end(data)
+    return end.endswith(">") & end.contains("<") & F.substring_index(end, "<", -1).rlike(pattern)
 
 
 def value_kind(data: Column, content_type: Column) -> Column:
@@ -69,74 +87,81 @@ def _more(data: Column, start: str, end: str) -> Column:
     return F.regexp_count(data, F.lit(start)) > F.regexp_count(data, F.lit(end))
 
 
-def _open_at_limit(data: Column, kind: Column, terminal: Column) -> Column:
+def _open_at_limit(data: Column, kind: Column) -> Column:
     """True where a value of a limit's length isn't whole, though its syntax may not show that at any other length.
 
     JSON, SVG and PNG need no such test: no beginning of theirs passes the test of their syntax.
     """
     bare = F.regexp_replace(data, _MARKUP_COMMENT, "")
-    last = F.element_at(F.split(F.rtrim(F.substring(data, -200, 200)), "\n"), -1)
+    last = F.substring_index(_end(data), "\n", -1)
     comment = _more(data, r"(^|[\s;{}(),])/\*", r"\*/")
     brackets = _more(data, r"\(", r"\)") | _more(data, r"\[", r"\]")
     return (
-        F.when(kind == "markup", ~F.lower(F.substring(data, -40, 40)).rlike(r"</html>\s*$") & (bare.contains("<!--") | _more(bare, _PAIR_START, _PAIR_END)))
+        F.when(kind == "markup", (F.lower(F.substring(_end(data), -7, 7)) != "</html>") & (bare.contains("<!--") | _more(bare, _PAIR_START, _PAIR_END)))
         .when(kind == "style", comment | brackets)
-        .when(kind == "script", comment | brackets | (last.rlike(r"^\s*//[^#@]") & ~terminal))
-        .when(kind == "text", ~terminal)
+        .when(kind == "script", comment | brackets | (last.rlike(r"^\s*//[^#@]") & ~_terminal(data)))
+        .when(kind == "text", ~_terminal(data))
         .otherwise(F.lit(False))
     )
 
 
 def _open_syntax(data: Column, kind: Column) -> Column:
     """True where the value's own syntax is left open."""
-    end = F.regexp_replace(F.substring(data, -200, 200), r"\s+$", "")
+    end = _end(data)
     braces = F.length(F.replace(data, F.lit("{"), F.lit(""))) != F.length(F.replace(data, F.lit("}"), F.lit("")))
     bare = F.rtrim(end, F.lit("="))
     png = F.lit(True)
     for tail in PNG_ENDS:
         png = png & ~bare.endswith(tail)
-    last = F.element_at(F.split(end, "\n"), -1)
+    last = F.substring_index(end, "\n", -1)
     # the last line of prose: a list item, a signature, an address or code needs no full stop
     whole_line = (
         last.rlike(r"^\s*([-*•]|\d+[.)])\s")
         | last.rlike(r"^\s*(https?|ftp)://\S+$")
         | last.rlike(r"^(    |\t|```|~~~)")
-        | end.rlike(r"(^|\n)-- ?\n[^\n]*$")
-        | end.rlike(r"^[^\n]{0,200}$") & (F.length(data) < 40)
+        | F.substring_index(end, "\n", -2).rlike(r"^-- ?\n")
+        | ~end.contains("\n") & (F.length(data) < 40)
     )
-    text = ~end.rlike(_TERMINAL) & ~whole_line & ~end.rlike(r"</?\w+[^<>]*>$")
-
+    text = ~_terminal(data) & ~whole_line & ~_ends_with_tag(data, r"^/?\w+[^<>]*>$")
 
     def times(piece: str) -> Column:
         return (F.length(data) - F.length(F.replace(data, F.lit(piece), F.lit("")))) / len(piece)
 
+    def ends_with(*pieces: str) -> Column:
+        out = F.lit(False)
+        for piece in pieces:
+            out = out | end.endswith(piece)
+        return out
+
     # html and body may be left open, containers that need an end tag may not
     boxes = F.lit(False)
     for tag in ("div", "ul", "ol", "table", "center", "main", "article", "section", "blockquote"):
         boxes = boxes | (times(f"<{tag}>") + times(f"<{tag} ") > times(f"</{tag}>"))
-    markup = ~end.endswith(">") | (~F.lower(end).endswith("</html>") & (end.rlike(r"(?i)<(?!/|!|\?|br|hr|img|meta|link|input|html|body|head)[^<>]*[^<>/]>$|</(a|b|i|em|strong|span|code|li|td|tr)>$") | boxes))
+    inside = _ends_with_tag(data, r"(?i)^(?!/|!|\?|br|hr|img|meta|link|input|html|body|head)[^<>]*[^<>/]>$|^/(a|b|i|em|strong|span|code|li|td|tr)>$")
+    markup = ~end.endswith(">") | ((F.lower(F.substring(end, -7, 7)) != "</html>") & (inside | boxes))
     opened = (
         F.when(kind == "png", png)
         .when(kind == "svg", ~end.endswith(">") | _more(F.regexp_replace(data, _MARKUP_COMMENT, ""), _SVG_START, _SVG_END))
         .when(kind == "markup", markup)
         .when(kind == "json", F.expr("try_parse_json(data) IS NULL"))
-        .when(kind == "style", braces | ~end.rlike(r"(\}|\*/|;)$"))
-        .when(kind == "script", braces | ~end.rlike(r"(\}|;|\*/)$") & ~last.startswith("//"))
+        .when(kind == "style", braces | ~ends_with("}", "*/", ";"))
+        .when(kind == "script", braces | ~ends_with("}", ";", "*/") & ~last.startswith("//"))
         .otherwise(text)
     )
-    return F.when(F.trim(data) == "", F.lit(False)).otherwise(opened)
+    return F.when(end == "", F.lit(False)).otherwise(opened)
 
 
 def length_limits(values: DataFrame) -> DataFrame:
-    """(source, unit, limit, n, ellipsis_share) of the lengths that stand out.
+    """(source, unit, limit, n, failing, ellipsis_share) of the lengths that stand out and at which values end too early.
 
-    ``values`` has source, kind, chars, bytes and ellipsis. The histogram has at most one row per source and length; the
-    limits are fewer still, as each holds at least ``MIN_SPIKE`` values and ``SPIKE_RATIO`` times its surroundings.
+    ``values`` has source, chars, bytes, failing and ellipsis. The histogram has at most one row per source and length; the
+    limits are far fewer, as each holds ``SPIKE_RATIO`` times its surroundings.
     """
+    units = F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("len")) for u in ("chars", "bytes")))
     lengths = (
-        values.select("source", "ellipsis", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("len")))).alias("u"))
-        .groupBy("source", F.col("u.unit").alias("unit"), F.col("u.len").alias("len"))
-        .agg(F.count("*").alias("n"), F.sum(F.col("ellipsis").cast("long")).alias("n_ellipsis"))
+        values.select("source", "failing", "ellipsis", F.inline(units))
+        .groupBy("source", "unit", "len")
+        .agg(F.count("*").alias("n"), F.sum(F.col("failing").cast("long")).alias("failing"), F.sum(F.col("ellipsis").cast("long")).alias("n_ellipsis"))
     )
     around = Window.partitionBy("source", "unit").orderBy("len")
     below = F.coalesce(F.sum("n").over(around.rangeBetween(-NEIGHBOURS, -BYTE_SLACK - 1)), F.lit(0))
@@ -144,17 +169,17 @@ def length_limits(values: DataFrame) -> DataFrame:
     mean = (below + above) / F.lit(2.0 * (NEIGHBOURS - BYTE_SLACK))
     return (
         lengths.withColumn("mean", mean)
-        .filter((F.col("n") >= MIN_SPIKE) & (F.col("len") >= 64) & (F.col("n") >= SPIKE_RATIO * F.greatest(F.col("mean"), F.lit(0.2))))
-        .select("source", "unit", F.col("len").alias("limit"), "n", (F.col("n_ellipsis") / F.col("n")).alias("ellipsis_share"))
+        .filter((F.col("n") >= SPIKE_RATIO * F.greatest(F.col("mean"), F.lit(LEAST_MEAN))) & (F.col("failing") >= FAILING_SHARE * F.col("n")))
+        .select("source", "unit", F.col("len").alias("limit"), "n", "failing", (F.col("n_ellipsis") / F.col("n")).alias("ellipsis_share"))
     )
 
 
 def cut_values(parts: DataFrame) -> DataFrame:
-    """(archive_id, part_no, source, kind, cut, at_limit, open_end, by_limit) for each part that has data, repeated rows once.
+    """(archive_id, part_no, source, kind, cut, at_limit, by_limit, broken) for each part that has data, repeated rows once.
 
-    A value is cut if its own end tells so at any length (``open_end``; prose too is judged by its end) or ``by_limit``.
+    A value is cut ``by_limit`` if it has a limit's length and fails its end test, and ``broken`` if it has another length and
+    its own end tells so.
     """
-    terminal = F.substring("data", -40, 40).rlike(_TERMINAL)
     rows = (
         parts.filter(F.col("data").isNotNull())
         .select("archive_id", "part_no", "source", value_kind(F.col("data"), F.col("content_type")).alias("kind"), "data")
@@ -166,31 +191,31 @@ def cut_values(parts: DataFrame) -> DataFrame:
             F.length("data").alias("chars"),
             F.octet_length("data").alias("bytes"),
             _open_syntax(F.col("data"), F.col("kind")).alias("open_end"),
-            F.substring("data", -8, 8).rlike(_ELLIPSIS).alias("ellipsis"),
-            _open_at_limit(F.col("data"), F.col("kind"), terminal).alias("unended"),
+            (F.col("data").endswith("...") | F.col("data").endswith("…")).alias("ellipsis"),
+            _open_at_limit(F.col("data"), F.col("kind")).alias("unended"),
         )
         .groupBy("archive_id", "part_no")
         .agg(*(F.first(c).alias(c) for c in ("source", "kind", "chars", "bytes", "open_end", "ellipsis", "unended")))
     )
-    # read by the histogram and by the decision: kept once, without the values. Complete images are so
-    # alike in length that they would make limits of their own; their end tells all without a limit
-    rows = materialize(rows, "lengths")
-    limits = materialize(length_limits(rows.filter(F.col("kind").isin("text", "markup", "json", "style", "script"))), "limits")
-    by_source = limits.groupBy(F.col("source").alias("limit_source")).agg(
-        F.array_sort(F.collect_set(F.when(F.col("unit") == "chars", F.col("limit")))).alias("char_limits"),
-        F.array_sort(F.collect_set(F.when(F.col("unit") == "bytes", F.col("limit")))).alias("byte_limits"),
-        F.array_sort(F.collect_set(F.when((F.col("unit") == "chars") & (F.col("ellipsis_share") > 0.5), F.col("limit")))).alias("marked_limits"),
+    # read by the histogram and by the decision: kept once, without the values
+    rows = materialize(rows.withColumn("failing", F.col("open_end") | F.col("unended") | F.col("ellipsis")), "lengths")
+    by_source = (
+        length_limits(rows)
+        .groupBy(F.col("source").alias("limit_source"))
+        .agg(
+            F.array_sort(F.collect_set(F.when(F.col("unit") == "chars", F.col("limit")))).alias("char_limits"),
+            F.array_sort(F.collect_set(F.when(F.col("unit") == "bytes", F.col("limit")))).alias("byte_limits"),
+            F.array_sort(F.collect_set(F.when((F.col("unit") == "chars") & (F.col("ellipsis_share") > 0.5), F.col("limit")))).alias("marked_limits"),
+        )
     )
-    # a few rows per source; broadcast only if that is so
-    if limits.count() <= BROADCAST_LIMITS:
-        by_source = F.broadcast(by_source)
+    # a row per source that has limits: broadcast if its size, known by then, allows it
     joined = rows.join(by_source, F.col("source").eqNullSafe(F.col("limit_source")), "left")
     near = F.coalesce(F.exists("byte_limits", lambda x: F.abs(F.col("bytes") - x) <= BYTE_SLACK), F.lit(False))
-    at_limit = F.coalesce(F.array_contains("char_limits", F.col("chars")), F.lit(False)) | near
-    marked = F.coalesce(F.array_contains("marked_limits", F.col("chars")), F.lit(False)) & F.col("ellipsis")
     exact = F.coalesce(F.array_contains("char_limits", F.col("chars")), F.lit(False)) | F.coalesce(F.array_contains("byte_limits", F.col("bytes")), F.lit(False))
-    by_limit = marked | (F.col("unended") & exact)
-    return joined.select("archive_id", "part_no", "source", "kind", (F.col("open_end") | by_limit).alias("cut"), at_limit.alias("at_limit"), "open_end", by_limit.alias("by_limit"))
+    marked = F.coalesce(F.array_contains("marked_limits", F.col("chars")), F.lit(False)) & F.col("ellipsis")
+    told = joined.withColumn("at_limit", exact | near)
+    told = told.withColumn("by_limit", F.col("at_limit") & F.col("open_end") | exact & F.col("unended") | marked).withColumn("broken", F.col("open_end") & ~F.col("at_limit"))
+    return told.select("archive_id", "part_no", "source", "kind", (F.col("by_limit") | F.col("broken")).alias("cut"), "at_limit", "by_limit", "broken")
 
 
 def cut_anomalies(archives: DataFrame, parts: DataFrame) -> DataFrame:
@@ -216,24 +241,13 @@ def cut_anomalies(archives: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def truncation_report(parts: DataFrame) -> DataFrame:
-    """(source, n_parts, n_cut, n_at_limit, n_end_only, n_limit_only, cut_share): how often each source truncates, and which
-    test alone tells so; both tell the rest."""
+    """(source, n_parts, n_cut, n_at_limit, n_by_limit, n_broken, cut_share): how often each source truncates, and what tells so."""
 
-    def number(which: Column) -> Column:
-        return F.sum(which.cast("long"))
+    def number(which: str) -> Column:
+        return F.sum(F.col(which).cast("long"))
 
-    return (
-        cut_values(parts)
-        .groupBy("source")
-        .agg(
-            F.count("*").alias("n_parts"),
-            number(F.col("cut")).alias("n_cut"),
-            number(F.col("at_limit")).alias("n_at_limit"),
-            number(F.col("open_end") & ~F.col("by_limit")).alias("n_end_only"),
-            number(F.col("by_limit") & ~F.col("open_end")).alias("n_limit_only"),
-        )
-        .withColumn("cut_share", F.col("n_cut") / F.col("n_parts"))
-    )
+    counts = cut_values(parts).groupBy("source").agg(F.count("*").alias("n_parts"), *(number(c).alias(f"n_{c}") for c in ("cut", "at_limit", "by_limit", "broken")))
+    return counts.withColumn("cut_share", F.col("n_cut") / F.col("n_parts"))
 
 
 def truncated_records(parts: DataFrame, archives: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def test_report_tells_the_tests_apart(spark):
     rows = [("a", i, "s", "text/plain", ("- " + "word " * 100)[: 100 if i < 30 else 110 + i]) for i in range(60)]
     rows += [("b", i, "s", "text/plain", ("Prose " + "word " * 100)[: 300 + 40 * i]) for i in range(4)]
     report = t.truncation_report(parts(spark, rows)).collect()[0]
-    assert (report["n_cut"], report["n_end_only"], report["n_limit_only"]) == (34, 4, 30)
+    assert (report["n_cut"], report["n_broken"], report["n_by_limit"]) == (34, 4, 30)
 
 
 def test_anomalies(spark):
@@ -79,3 +79,18 @@ def test_empty(spark):
     p = parts(spark, [("a", 0, "s", "t", "x")]).limit(0)
     a = spark.createDataFrame([], "archive_id string, anomalies array<struct<type:string,id:string>>")
     assert t.truncated_records(p, a).count() == t.truncation_report(p).count() == 0
+
+
+def test_short_limits_and_frequent_whole_lengths(spark):
+    # a limit of 24 characters; names of 9 characters are as frequent, but whole
+    rows = [("a", i, "s", "text/css", f"a.n{i:03d}{{color:red;margin:auto}}"[:24]) for i in range(30)]
+    rows += [("a", 100 + i, "s", "text/css", "a{b:c;d:e}"[: 10]) for i in range(30)] + [("a", 200 + i, "s", "text/css", f"a.n{'x' * i}{{color:red}}") for i in range(40)]
+    got = {r["part_no"]: r for r in t.cut_values(parts(spark, rows)).collect()}
+    assert {n for n, r in got.items() if r["cut"]} == {n for n, r in got.items() if r["by_limit"]} == set(range(30))
+    assert t.length_limits(spark.createDataFrame([("s", 24, 24, True, False)] * 3, "source string, chars int, bytes int, failing boolean, ellipsis boolean")).count() == 0
+
+
+def test_last_lines_and_blanks_of_any_length(spark):
+    item = "Things to bring.\n\n- " + "a rope and a lamp and " * 100 + "a boat"
+    rows = [("a", 0, "s", "text/plain", item), ("a", 1, "s", "text/plain", " " * 3000 + "<p>a</p>" + "\n" * 3000), ("a", 2, "s", "text/plain", "It ends well." + "\"" * 300), ("a", 3, "s", "text/html", "<p>a</p>" + " " * 3000 + "<img alt='" + "x" * 3000)]
+    assert cut(spark, rows) == {3}
