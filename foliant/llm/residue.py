@@ -32,7 +32,7 @@ from foliant.runtime import materialize
 #: A statement stands alone if its value has fewer characters of other text than this.
 OTHER_CHARS = 60
 #: A message stands alone at least so often, on two hosts, in this share of its values; beginnings like its own as well.
-MIN_ALONE, MIN_SHARE = 2, 0.15
+MIN_ALONE, MIN_SHARE = 2, 0.2
 #: ... on one host only, in this share.
 ONE_HOST_SHARE = 0.6
 #: Templates kept by one partition before they are sent on; the rest follows in further partial rows.
@@ -43,6 +43,7 @@ _CODE_SIGNS = ("<pre", "<code", "<script", "<style", "<!--", "<kbd", "<samp", "<
 _FENCED = re.compile(r"^(```|~~~).*?(?:^\1[^\n]*$|\Z)|^(?: {4}|\t)[^\n]*$|`[^`\n]+`", re.S | re.M)
 _MASKED = re.compile(r"\d|[/\\_@]|\w\.\w")
 _THROWN = re.compile(r"(?:Exception|Error)\b:?$")
+_ALNUM = re.compile(r"[^\W_]")
 _PARAGRAPHS = re.compile(r"\n[ \t\r]*\n")
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKUP = re.compile(r"(?! {4}|\t)\s*<(?:!doctype|\?xml|html|head|body|title|p|div|h[1-6]|ul|ol|table|center|main|article|section|header|footer|nav|noscript)\b", re.I)
@@ -64,11 +65,18 @@ def _hash(*pieces: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(pieces)) - (1 << 63)
 
 
+def _unspaced(statement: str) -> bool:
+    return " " not in statement and not statement.isascii()
+
+
+def size_of(statement: str) -> int:
+    """Its characters; those of scripts that set no spaces say about three times as much."""
+    return 3 * len(statement) if _unspaced(statement) else len(statement)
+
+
 def tokens_of(statement: str) -> list[str]:
     """The words of a statement with folded spaces; pairs of characters where a script sets no spaces."""
-    if " " in statement or statement.isascii():
-        return statement.split(" ")
-    return [statement[i : i + 2] for i in range(0, len(statement), 2)]
+    return [statement[i : i + 2] for i in range(0, len(statement), 2)] if _unspaced(statement) else statement.split(" ")
 
 
 def tree_path(statement: str) -> tuple[int, int]:
@@ -118,7 +126,7 @@ def read_value(data: str) -> tuple[bool, bool, dict[str, int], list[str], int]:
         prose = _FENCED.sub(" ", data) if "`" in data or "~~~" in data or "    " in data or "\t" in data else data
         for paragraph in _PARAGRAPHS.split(data):
             if text := " ".join(paragraph.split()):
-                statements[text] = statements.get(text, 0) + len(text)
+                statements[text] = statements.get(text, 0) + size_of(text)
         return holds_slot(prose), is_filler(prose), statements, [], sum(statements.values())
     start = data.find("<body")
     body = data[start:] if start > 0 else data
@@ -139,14 +147,16 @@ def read_value(data: str) -> tuple[bool, bool, dict[str, int], list[str], int]:
         if text:
             filler = filler or is_filler(text)
             if tag[0] != "h":
-                chars += len(text)
-                statements[text] = statements.get(text, 0) + len(text)
+                size = size_of(text)
+                chars += size
+                statements[text] = statements.get(text, 0) + size
     for inner in _STRAY.findall(body):
         text = plain(inner)
         if text:
-            chars += len(text)
+            size = size_of(text)
+            chars += size
             filler = filler or is_filler(text)
-            statements[text] = statements.get(text, 0) + len(text)
+            statements[text] = statements.get(text, 0) + size
     return slot, filler, statements, notices, chars
 
 
@@ -170,9 +180,10 @@ def read_page(data: str, blocks: list[Block]) -> tuple[bool, bool, dict[str, int
         slot = slot or holds_slot(raw)
         if not text or b.tag[0] == "h" or (b.tag == "li" and "<a" in raw):
             continue
-        chars += len(text)
+        size = size_of(text)
+        chars += size
         filler = filler or is_filler(text)
-        statements[text] = statements.get(text, 0) + len(text)
+        statements[text] = statements.get(text, 0) + size
     return slot, filler, statements, notices, chars
 
 
@@ -190,6 +201,8 @@ class Tree:
         if chars < OTHER_CHARS:
             shown += [(text, True) for text in notices if text]
         for text, alone in shown:
+            if not _ALNUM.search(text):
+                continue
             node, leaf = tree_path(text)
             if leaf in keys:
                 continue
