@@ -17,6 +17,7 @@ can't be restored; extra columns are ignored; empty tables give empty results.
 from __future__ import annotations
 
 import codecs
+import html
 import math
 import re
 from collections import Counter
@@ -32,16 +33,12 @@ from foliant.runtime import materialize
 #: Charsets a text can have been written in, and read in. Fixed values.
 WRITTEN = ("utf-8", "cp1252", "cp1251", "koi8-r", "cp1250", "iso8859-2", "cp866", "mac-roman", "cp437", "shift_jis", "euc_jp")
 READ = ("cp1252", "cp1251", "cp1250", "koi8-r", "cp437", "cp850", "cp866", "mac-roman", "mac-cyrillic", "iso8859-2", "iso8859-5", "iso8859-15")
-#: Different aligned runs a transformation needs.
-MIN_RUNS = 3
-#: ... and the share of all aligned occurrences, or of all different runs, that it must hold.
-MIN_WEIGHT, MIN_SHARE_OF_RUNS = 0.001, 0.02
+#: Different aligned runs a transformation needs, in which the clean side reads better by so much and is not garbled itself.
+MIN_RUNS, MIN_GAIN = 3, 0.3
 #: A twin is taken for clean by number alone if it comes so many times more often.
 CLEAN_RATIO = 2
 #: Pairs of characters of a smaller share than this count as unseen.
 MIN_SHARE = 2e-6
-#: Longest line that is used as a twin; longer ones are read token by token.
-MAX_TWIN = 140
 
 _RUN = re.compile(r"[A-Za-z]*[^\x00-\x7f][^\x00-\x40\x5b-\x60\x7b-\x7f]*")
 _OUTSIDE = re.compile(r"[^\x00-\x7f]+")
@@ -52,6 +49,20 @@ _BYTES = re.compile("[\xa1-\xff]{6,}")
 _SYMBOLS = re.compile("[\xa1-\xbf\xd7\xf7]")
 _KANA = re.compile("[\u3040-\u30ff]")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
+_ENTITY = re.compile(r"&(?:#[0-9]{3,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+#: The same for a filter in the plan.
+ENTITIES = r"&(#[0-9]{3,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def without_entities(data: str) -> str:
+    """The value with the references to characters outside ASCII replaced by these: garbled text may have been escaped."""
+
+    def one(m: re.Match) -> str:
+        c = html.unescape(m[0])
+        # numbers beyond the last character stand for none
+        return m[0] if c.isascii() or (c == "\ufffd" and m[0].lower() not in ("&#65533;", "&#xfffd;")) else c
+
+    return _ENTITY.sub(one, data) if "&" in data else data
 
 
 def _table(name: str) -> str:
@@ -126,14 +137,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for data in batch.column(0).to_pylist():
+        for data in map(without_entities, batch.column(0).to_pylist()):
             found = _RUN.findall(data)
             texts.update(found)
             # lines of other scripts have no ASCII letters in their words: their names and numbers are the skeleton
             joined = "".join(found)
             if len(joined) > 1.5 * len(_OUTSIDE.sub("", joined)) + 8:
                 for line in _LINES.split(data):
-                    if 12 <= len(line) <= MAX_TWIN and not line.isascii() and len(_ALNUM.findall(line)) >= 6:
+                    if not line.isascii() and len(_ALNUM.findall(line)) >= 6:
                         lines[line] += 1
         if len(texts) + len(lines) > 200_000:
             yield flush()
@@ -155,14 +166,14 @@ def _align(model: dict[str, float], floor: float):
         for batch in batches:
             out: list[tuple] = []
             for bad, good, n, n_good in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if n_good < CLEAN_RATIO * n:  # too near to tell by number: the clean one reads better
-                    better = mean(good) - mean(bad)
-                    if abs(better) < 0.5 or (better < 0 and n_good > n):
-                        continue
-                    if better < 0:
-                        bad, good = good, bad
+                better = mean(good) - mean(bad)
+                if n_good < CLEAN_RATIO * n and better < 0:  # too near to tell by number: the clean one reads better
+                    if better <= -MIN_GAIN and n_good <= n:
+                        bad, good, better = good, bad, -better
+                if better < MIN_GAIN:
+                    continue
                 for x, y in zip(_OUTSIDE.findall(bad), _OUTSIDE.findall(good)):
-                    if x != y and len(x) <= 64:
+                    if x != y:
                         if (x, y) not in cache:
                             cache[x, y] = list(_explain(x, y))
                         out += [(w, r, x, y, n) for w, r in cache[x, y]]
@@ -172,9 +183,15 @@ def _align(model: dict[str, float], floor: float):
     return run
 
 
+def outside_ascii(values: DataFrame) -> DataFrame:
+    """The values with characters outside ASCII, or with references to characters."""
+    data = F.col("data")
+    return values.filter((F.length(data) != F.octet_length(data)) | (data.contains("&") & data.rlike(ENTITIES)))
+
+
 def counts(values: DataFrame) -> DataFrame:
     """The counts of tokens, lines and character pairs of all values with characters outside ASCII, kept as a table."""
-    rows = values.filter(F.length("data") != F.octet_length("data")).select("data")
+    rows = outside_ascii(values).select("data")
     return materialize(rows.mapInArrow(_count, "skeleton bigint, text string, n bigint"), "charsets")
 
 
@@ -182,20 +199,22 @@ def learn(table: DataFrame, model: dict[str, float], floor: float) -> list[tuple
     """The learned transformations (written, read), best supported first.
 
     An aligned run that several transformations explain counts for the one that explains the most runs, so that look-alikes
-    of a true transformation don't live on its evidence. What is kept has ``MIN_RUNS`` runs of its own and a share of
-    all that is the same at every size of the input.
+    of a true transformation don't live on its evidence. Runs whose clean side is the garbled one of other pairs more often are
+    no evidence. What is kept has ``MIN_RUNS`` runs of its own, whatever the others have.
     """
     texts = table.filter(F.col("skeleton").isNotNull()).groupBy("skeleton", "text").agg(F.sum("n").alias("n"))
     clean = texts.groupBy("skeleton").agg(F.max_by("text", F.struct("n", "text")).alias("good"), F.max("n").alias("n_good"), F.count("*").alias("twins")).filter(F.col("twins") > 1).drop("twins")
     pairs = texts.join(clean, "skeleton").filter(F.col("text") != F.col("good")).select("text", "good", "n", "n_good")
     found = pairs.mapInArrow(_align(model, floor), "written string, read string, bad string, good string, n bigint")
-    runs = found.groupBy("written", "read", "bad", "good").agg(F.sum("n").alias("n"))
-    runs = materialize(runs, "runs")
+    every = materialize(found.groupBy("written", "read", "bad", "good").agg(F.sum("n").alias("n")), "runs")
+    sides = every.select("n", F.inline(F.array(F.struct(F.col("good").alias("side"), F.lit(1).alias("as_good")), F.struct(F.col("bad").alias("side"), F.lit(-1).alias("as_good")))))
+    garbled = sides.groupBy("side").agg(F.sum(F.col("n") * F.col("as_good")).alias("balance")).filter("balance < 0")
+    runs = every.join(garbled.select(F.col("side").alias("good")), "good", "left_anti")
     totals = runs.groupBy("written", "read").agg(F.count("*").alias("explained"))
-    best = runs.join(F.broadcast(totals), ["written", "read"]).groupBy("bad", "good").agg(F.max("n").alias("n"), F.max_by(F.struct("written", "read"), F.struct("explained", "written", "read")).alias("by"))
-    own = best.groupBy("by.written", "by.read").agg(F.count("*").alias("runs"), F.sum("n").alias("n")).collect()  # a row per pair of charsets at most
-    weight, runs_in_all = sum(r["n"] for r in own), sum(r["runs"] for r in own)
-    return [(r["written"], r["read"]) for r in sorted(own, key=lambda r: (-r["runs"], r["written"], r["read"])) if r["runs"] >= MIN_RUNS and (r["n"] >= MIN_WEIGHT * weight or r["runs"] >= MIN_SHARE_OF_RUNS * runs_in_all)]
+    # a row per pair of charsets at most
+    best = runs.join(F.broadcast(totals), ["written", "read"]).groupBy("bad", "good").agg(F.max_by(F.struct("written", "read"), F.struct("explained", "written", "read")).alias("by"))
+    own = best.groupBy("by.written", "by.read").agg(F.count("*").alias("runs")).filter(F.col("runs") >= MIN_RUNS).collect()
+    return [(r["written"], r["read"]) for r in sorted(own, key=lambda r: (-r["runs"], r["written"], r["read"]))]
 
 
 def pair_model(table: DataFrame) -> tuple[dict[str, float], float]:
@@ -276,13 +295,14 @@ class Restorer:
 
     def check(self, data: str) -> bool:
         """True if the value holds garbled characters."""
+        data = without_entities(data)
         if _LOST.search(data):
             return True
         return any(self.fix(t) is not None for t in set(_RUN.findall(data)))
 
     def restore(self, data: str) -> str:
-        """The value with every garbled token put right, as far as it can be."""
-        return _RUN.sub(lambda m: self.fix(m[0]) or m[0], data)
+        """The value with every garbled token put right, as far as it can be; references to its characters become these."""
+        return _RUN.sub(lambda m: self.fix(m[0]) or m[0], without_entities(data))
 
 
 def _values(parts: DataFrame, archives: DataFrame) -> DataFrame:
@@ -310,7 +330,7 @@ def garbled_records(parts: DataFrame, archives: DataFrame) -> DataFrame:
             keep = pa.array([restorer.check(d) for d in batch.column(2).to_pylist()], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
 
-    rows = values.filter(F.length("data") != F.octet_length("data")).select("archive_id", "part_no", "data")
+    rows = outside_ascii(values).select("archive_id", "part_no", "data")
     return rows.mapInArrow(run, "archive_id string, part_no int").distinct()
 
 
@@ -330,5 +350,5 @@ def restored_records(parts: DataFrame, archives: DataFrame) -> DataFrame:
                 names=["archive_id", "part_no", "header", "restored", "whole"],
             )
 
-    rows = values.filter(F.length("data") != F.octet_length("data"))
+    rows = outside_ascii(values)
     return rows.mapInArrow(run, "archive_id string, part_no int, header string, restored string, whole boolean").distinct()

@@ -48,3 +48,27 @@ def test_reread():
 def test_empty(spark):
     p, a = tables(spark, [None])
     assert m.garbled_records(p.limit(0), a).count() == m.restored_records(p, a).count() == 0
+
+
+def test_escaped_text(spark):
+    clean = sentences(WORDS, 120) + sentences(WORDS, 120)
+    bad = ["".join(m._TABLES["cp1252"][b] for b in s.encode("utf-8")) for s in sentences(WORDS, 12)]
+    escaped = ["".join(c if c < "\x80" else f"&#{ord(c)};" for c in b) for b in bad if not b.isascii()]
+    fine = ["La panader&iacute;a est&aacute; cerrada &amp; fr&#237;a", "a &lt;b&gt; &nbsp; c", "&bogus; &#9999999;"]
+    p, a = tables(spark, [*clean, *bad, *escaped, *fine])
+    found = {r["part_no"] for r in m.garbled_records(p, a).collect()}
+    first = len(clean) + len(bad)
+    assert found == {len(clean) + i for i, b in enumerate(bad) if not b.isascii()} | set(range(first, first + len(escaped)))
+    restored = {r["part_no"]: r["restored"] for r in m.restored_records(p, a).collect()}
+    assert restored[first] == next(s for s in sentences(WORDS, 12) if not s.isascii())
+
+
+def test_lines_and_runs_of_any_length(spark):
+    # twins of 2,000 characters and runs of 700, whose only common ASCII are names and numbers
+    line = " ".join(f"{w} Tismar {i}" for i, w in enumerate(RUSSIAN * 8))
+    bad = "".join(m._TABLES["cp1252"][b] for b in line.encode("cp1251"))
+    p, a = tables(spark, [line] * 4 + [bad] + sentences(RUSSIAN, 60))
+    assert len(line) > 1400 and ("cp1251", "cp1252") in m.fit(m._values(p, a))[0]
+    assert {r["part_no"] for r in m.garbled_records(p, a).collect()} == {4}
+    run = "".join(RUSSIAN * 9)
+    assert len(run) > 700 and ("utf-8", "cp1251") in set(m._explain("".join(m._TABLES["cp1251"][b] for b in run.encode("utf-8")), run))
