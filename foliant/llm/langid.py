@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of the sample the machines are fitted on.
@@ -30,6 +30,8 @@ DOCS_PER_LANGUAGE, SENTENCES_PER_DOC = 500, 8
 #: A language needs this many labelled sentences to be learned.
 MIN_SENTENCES = 12
 DIMENSIONS = 1 << 16
+#: Words a task keeps the sums of; beyond that it starts anew.
+VOCABULARY_ROWS = 300_000
 #: A sentence of fewer words doesn't change a text's language by itself.
 MIN_WORDS = 3
 #: ... nor does one whose margin over the surrounding language is smaller than this.
@@ -108,7 +110,12 @@ class Discriminator:
     def __init__(self, families: list[str], members: dict[str, list[str]], pairs: list[tuple[str, str]], weights: np.ndarray, bias: np.ndarray, scale: float = 4.0):
         self.families, self.members, self.pairs, self.weights, self.bias, self.scale = families, members, pairs, weights, bias, scale
         self.languages = [x for f in families for x in members[f]]
-        self.cache: dict[str, tuple[np.ndarray, int]] = {}
+        self.by_gram = np.ascontiguousarray(weights.T)
+        self.kin = np.array([k for k, f in enumerate(families) for _ in members[f]])
+        # the vocabulary met so far: a word's row of sums over its n-grams, and their number
+        self.rows: dict[str, int] = {}
+        self.sums = np.zeros((0, len(bias)), dtype=np.float32)
+        self.sizes = np.zeros(0)
         # per language the machines that speak on it and their signs; unused places repeat the family's
         place = {p: len(families) + i for i, p in enumerate(pairs)}
         votes = []
@@ -119,20 +126,40 @@ class Discriminator:
         self.votes = np.array([[v[min(j, len(v) - 1)][0] for j in range(width)] for v in votes], dtype=np.int64)
         self.signs = np.array([[v[min(j, len(v) - 1)][1] for j in range(width)] for v in votes])
 
-    def vector(self, word: str) -> tuple[np.ndarray, int]:
-        v = self.cache.get(word)
-        if v is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            ids = word_features(word)
-            v = self.cache[word] = (self.weights[:, ids].sum(axis=1), len(ids))
-        return v
+    def learn_words(self, words: list[str]) -> None:
+        """Adds words that aren't in the vocabulary yet."""
+        if len(self.rows) > VOCABULARY_ROWS:
+            self.rows.clear()
+            self.sums, self.sizes = self.sums[:0], self.sizes[:0]
+        features = [word_features(w) for w in words]
+        sizes = np.array([len(f) for f in features])
+        sums = np.add.reduceat(self.by_gram[np.array([g for f in features for g in f])], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
+        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
+        self.sums, self.sizes = np.concatenate((self.sums, sums.astype(np.float32))), np.concatenate((self.sizes, sizes))
+
+    def read(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(best language, margins) of each sentence: its family is decided first, the language within it by duels.
+
+        A language's margin is the least of its family's and of its duels.
+        """
+        if not sentences:
+            return np.zeros(0, dtype=np.int64), np.zeros((0, len(self.languages)))
+        # the vocabulary may start anew, so that the words of this batch are all in it
+        new = {w for s in sentences for w in s}.difference(self.rows)
+        if new:
+            if len(self.rows) > VOCABULARY_ROWS:
+                new = {w for s in sentences for w in s}
+            self.learn_words(sorted(new))
+        ids = np.array([self.rows[w] for s in sentences for w in s])
+        starts = np.concatenate(([0], np.cumsum([len(s) for s in sentences])[:-1]))
+        total = np.add.reduceat(self.sums[ids], starts, axis=0) / np.sqrt(np.add.reduceat(self.sizes[ids], starts))[:, None] + self.bias
+        margins = (total[:, self.votes] * self.signs).min(axis=2)
+        family = total[:, : len(self.families)].argmax(axis=1)
+        return np.where(self.kin[None, :] == family[:, None], margins, -np.inf).argmax(axis=1), margins
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """A margin for each language: the least of its family's and of its duels within the family."""
-        found = [self.vector(w) for w in words]
-        total = np.add.reduce([v for v, _ in found]) / np.sqrt(sum(n for _, n in found)) + self.bias
-        return (total[self.votes] * self.signs).min(axis=1)
+        """A margin for each language."""
+        return self.read([words])[1][0]
 
     def confidence(self, margins: np.ndarray, language: int) -> float:
         odds = np.exp(self.scale * (margins - margins.max()))
@@ -178,72 +205,115 @@ def _words(samples: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return rows, words, np.sqrt(np.bincount(rows, weights=counts[words], minlength=len(samples))), grams
 
 
-def fit(samples: list[tuple[str, list[str]]]) -> Discriminator | None:
-    """Fits the machines on (language, words); sentences that machines fitted on the others disown are left out.
+def clean_votes(samples: list[tuple[str, list[str]]]) -> tuple[list[tuple[str, list[str]]], set[tuple[str, ...]]]:
+    """The sentences with one label each, and those whose label needs no judgement.
 
-    A sentence that comes several times counts four times at most, with the label it has most often (none if two are as frequent); with
-    three votes and a clear majority it needs no such judgement.
+    A sentence that comes several times counts four times at most, with the label it has most often (none if two are as
+    frequent); with three votes and a clear majority it is sure.
     """
     tally: dict[tuple[str, ...], dict[str, int]] = {}
     for lang, words in samples:
         votes = tally.setdefault(tuple(words), {})
         votes[lang] = votes.get(lang, 0) + 1
-    samples, sure = [], set()
+    out, sure = [], set()
     for words, votes in sorted(tally.items()):
         first, *rest = sorted(votes.items(), key=lambda x: -x[1])
         if not rest or rest[0][1] < first[1]:
-            samples += [(first[0], list(words))] * min(4, first[1])
+            out += [(first[0], list(words))] * min(4, first[1])
             if first[1] >= 3 and first[1] >= 2 * sum(n for _, n in rest):
                 sure.add(words)
+    return out, sure
+
+
+def fit(samples: list[tuple[str, list[str]]], spark: SparkSession | None = None) -> Discriminator | None:
+    """Fits the machines on (language, words); sentences that machines fitted on the others disown are left out.
+
+    With ``spark`` the machines are fitted in parallel tasks on the broadcast sample, whose size is bounded.
+    """
+    samples, sure = clean_votes(samples)
     # each half is judged by the machines of the other, which can't have learned its wrong labels by heart
+    halves = [samples[::2], samples[1::2]]
     kept: list[tuple[str, list[str]]] = []
-    halves = samples[::2], samples[1::2]
-    for own, other in (halves, halves[::-1]):
-        judge = _fit_once(other)
+    for own, judge in zip(halves[::-1], _fit_all(halves, spark)):
         if judge is not None:
-            kept += [(lang, words) for lang, words in own if tuple(words) in sure or lang not in judge.languages or judge.languages[int(judge.margins(words).argmax())] == lang]
-    fitted = _fit_once(sorted(kept)) or _fit_once(samples)
+            best, _ = judge.read([words for _, words in own])
+            kept += [(lang, words) for (lang, words), k in zip(own, best) if tuple(words) in sure or lang not in judge.languages or judge.languages[k] == lang]
+    fitted = _fit_all([sorted(kept)], spark)[0] or _fit_all([samples], spark)[0]
     if fitted is None:
         return None
     named = [(lang, words) for lang, words in (kept or samples) if lang in fitted.languages]
     # the confidence's scale: the largest under which it is, on the mean, not surer than right
-    held = [(fitted.languages.index(lang), fitted.margins(words)) for lang, words in named[::7] if lang in fitted.languages]
-    right = sum(int(m.argmax()) == k for k, m in held) / max(1, len(held))
+    held = named[::7]
+    best, margins = fitted.read([words for _, words in held])
+    right = sum(fitted.languages[k] == lang for k, (lang, _) in zip(best, held)) / max(1, len(held))
     fitted.scale = 1.0
     for scale in (2.0, 3.0, 4.0, 6.0, 8.0, 12.0):
         before, fitted.scale = fitted.scale, scale
-        if sum(fitted.confidence(m, int(m.argmax())) for _, m in held) / max(1, len(held)) > right:
+        if sum(fitted.confidence(m, int(k)) for k, m in zip(best, margins)) / max(1, len(held)) > right:
             fitted.scale = before
             break
     return fitted
 
 
-def _fit_once(samples: list[tuple[str, list[str]]]) -> Discriminator | None:
-    count: dict[str, int] = {}
-    for lang, _ in samples:
-        count[lang] = count.get(lang, 0) + 1
-    known = sorted(x for x, n in count.items() if n >= MIN_SENTENCES)
-    if not known:
-        return None
-    samples = [s for s in samples if s[0] in known]
-    members: dict[str, list[str]] = {}
-    for lang in known:
-        members.setdefault(LANGUAGES[lang][0], []).append(lang)
-    families = sorted(members)
-    pairs = [p for f in families for p in combinations(members[f], 2)]
-    rows, words, size, grams = _words([w for _, w in samples])
-    langs = np.array([lang for lang, _ in samples])
-    kin = np.array([LANGUAGES[x][0] for x in langs])
-    machines = []
-    for f in families:
-        y = np.where(kin == f, 1.0, -1.0)
-        machines.append(_fit_machine(rows, words, size, grams, y) if len(families) > 1 else (np.zeros(DIMENSIONS), 1.0))
-    for a, b in pairs:
-        keep = (langs == a) | (langs == b)
+class _Sample:
+    """One sample's sentences as arrays, its languages, and the machines it needs."""
+
+    def __init__(self, samples: list[tuple[str, list[str]]]):
+        count: dict[str, int] = {}
+        for lang, _ in samples:
+            count[lang] = count.get(lang, 0) + 1
+        known = sorted(x for x, n in count.items() if n >= MIN_SENTENCES)
+        samples = [s for s in samples if s[0] in known]
+        self.members: dict[str, list[str]] = {}
+        for lang in known:
+            self.members.setdefault(LANGUAGES[lang][0], []).append(lang)
+        self.families = sorted(self.members)
+        self.pairs = [p for f in self.families for p in combinations(self.members[f], 2)]
+        self.arrays = _words([w for _, w in samples]) if known else None
+        self.langs = np.array([lang for lang, _ in samples])
+        self.kin = np.array([LANGUAGES[x][0] for x in self.langs])
+
+    def __len__(self) -> int:
+        return len(self.families) + len(self.pairs)
+
+    def machine(self, k: int) -> tuple[np.ndarray, float]:
+        """The k-th machine: families first, then pairs."""
+        rows, words, size, grams = self.arrays
+        if k < len(self.families):
+            if len(self.families) == 1:
+                return np.zeros(DIMENSIONS), 1.0
+            return _fit_machine(rows, words, size, grams, np.where(self.kin == self.families[k], 1.0, -1.0))
+        a, b = self.pairs[k - len(self.families)]
+        keep = (self.langs == a) | (self.langs == b)
         number = np.cumsum(keep) - 1
         inside = keep[rows]
-        machines.append(_fit_machine(number[rows[inside]], words[inside], size[keep], grams, np.where(langs[keep] == a, 1.0, -1.0)))
-    return Discriminator(families, members, pairs, np.array([m[0] for m in machines]), np.array([m[1] for m in machines]))
+        return _fit_machine(number[rows[inside]], words[inside], size[keep], grams, np.where(self.langs[keep] == a, 1.0, -1.0))
+
+
+def _fit_all(samples: list[list[tuple[str, list[str]]]], spark: SparkSession | None) -> list[Discriminator | None]:
+    """The machines of each sample: here, or a task for each machine."""
+    data = [_Sample(x) for x in samples]
+    jobs = [(i, k) for i, d in enumerate(data) for k in range(len(d))]
+    if spark is None or not jobs:
+        found = {job: data[job[0]].machine(job[1]) for job in jobs}
+    else:
+        shared = spark.sparkContext.broadcast(data)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    weights, bias = shared.value[i].machine(k)
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([k], pa.int32()), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([float(bias)], pa.float64())], names=["i", "k", "weights", "bias"])
+
+        # a row per machine, a few dozen
+        rows = spark.createDataFrame(jobs, "i int, k int").repartitionByRange(len(jobs), "i", "k").mapInArrow(run, "i int, k int, weights binary, bias double").collect()
+        found = {(r["i"], r["k"]): (np.frombuffer(r["weights"], dtype=np.float32).astype(float), r["bias"]) for r in rows}
+        shared.destroy()
+    out: list[Discriminator | None] = []
+    for i, d in enumerate(data):
+        machines = [found[i, k] for k in range(len(d))]
+        out.append(Discriminator(d.families, d.members, d.pairs, np.array([m[0] for m in machines]), np.array([m[1] for m in machines])) if machines else None)
+    return out
 
 
 def labelled_sentences(documents: DataFrame) -> list[tuple[str, list[str]]]:
@@ -272,11 +342,21 @@ def labelled_sentences(documents: DataFrame) -> list[tuple[str, list[str]]]:
 
 def segments(text: str, machines: Discriminator) -> list[tuple[int, int, str, float, int]]:
     """(start, end, language, confidence, whole sentences) of the stretches of one language, in order."""
-    read = []
-    for start, end, words in sentences(text):
-        margins = machines.margins(words)
-        size = len(words) / 3 if _CJK.match(words[0]) else len(words)
-        read.append([start, end, int(margins.argmax()), margins, size])
+    return next(segments_of([text], machines))
+
+
+def segments_of(texts: list[str], machines: Discriminator) -> Iterator[list[tuple[int, int, str, float, int]]]:
+    """The segments of each text; all their sentences are judged at once."""
+    found = [sentences(t) for t in texts]
+    best, margins = machines.read([words for f in found for _, _, words in f])
+    at = 0
+    for f in found:
+        yield _segments(f, best[at : at + len(f)].tolist(), margins[at : at + len(f)], machines)
+        at += len(f)
+
+
+def _segments(found: list[tuple[int, int, list[str]]], best_of: list[int], margins_of: np.ndarray, machines: Discriminator) -> list[tuple[int, int, str, float, int]]:
+    read = [[start, end, best, margins, len(words) / 3 if _CJK.match(words[0]) else len(words)] for (start, end, words), best, margins in zip(found, best_of, margins_of)]
     if not read:
         return []
     # weight of each language over the text, to lean on where a sentence is too short to tell
@@ -284,6 +364,8 @@ def segments(text: str, machines: Discriminator) -> list[tuple[int, int, str, fl
     for _, _, best, margins, size in read:
         weight[best] = weight.get(best, 0.0) + size * max(0.05, margins[best])
     main = max(weight, key=lambda x: weight[x])
+    # a text without any whole sentence is one of its main language
+    short = all(item[4] < MIN_WORDS for item in read)
     for i, item in enumerate(read):
         best, margins, size = item[2:]
         if best != main and (size < MIN_WORDS or margins[best] - margins[main] < MIN_MARGIN):
@@ -293,7 +375,7 @@ def segments(text: str, machines: Discriminator) -> list[tuple[int, int, str, fl
     out: list[tuple[int, int, str, float, int]] = []
     for start, end, best, margins, size in read:
         sure = machines.confidence(margins, best)
-        whole = int(size >= MIN_WORDS or len(read) == 1)
+        whole = int(size >= MIN_WORDS or short)
         name = machines.languages[best]
         if out and out[-1][2] == name:
             s, _, _, c, n = out[-1]
@@ -308,8 +390,8 @@ _SEGMENTS = "doc_id bigint, label string, segment_no int, start int, end int, la
 
 def language_segments(documents: DataFrame) -> DataFrame:
     """A row per stretch of one language: its place, language, confidence and number of whole sentences."""
-    machines = fit(labelled_sentences(documents))
     spark = documents.sparkSession
+    machines = fit(labelled_sentences(documents), spark)
     if machines is None:
         return spark.createDataFrame([], _SEGMENTS)
     state = spark.sparkContext.broadcast((machines.families, machines.members, machines.pairs, machines.weights.astype(np.float32), machines.bias.astype(np.float32), machines.scale))
@@ -318,9 +400,12 @@ def language_segments(documents: DataFrame) -> DataFrame:
         own = Discriminator(*state.value)
         for batch in batches:
             out: list[tuple] = []
-            for doc, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                label = normal_label(lang)
-                out += [(doc, label, k, *x) for k, x in enumerate(segments(text, own))]
+            docs, labels, texts = (batch.column(i).to_pylist() for i in range(3))
+            for start in range(0, len(docs), 512):
+                part = slice(start, start + 512)
+                for doc, lang, found in zip(docs[part], labels[part], segments_of(texts[part], own)):
+                    label = normal_label(lang)
+                    out += [(doc, label, k, *x) for k, x in enumerate(found)]
             cols = list(zip(*out)) if out else [[]] * 8
             types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "label", "segment_no", "start", "end", "lang", "confidence", "whole_sentences"])

@@ -68,3 +68,21 @@ def test_sentences_skip_code_and_links():
 def test_nothing_to_learn_from(spark):
     rows = spark.createDataFrame([(1, "Some text here.", None)], "doc_id bigint, text string, lang string")
     assert lid.mislabelled_documents(rows).count() == lid.mislabelled_documents(rows.limit(0)).count() == 0
+
+
+def test_short_texts_of_short_sentences(docs, spark):
+    rows = docs.union(spark.createDataFrame([(2000, "Straße nass.\n\nDer chor.\n\nGäste.", "en", "x"), (2001, "Straße nass. Der chor.", "de", "x")], docs.schema))
+    got = {(r["doc_id"], r["lang"]) for r in lid.mislabelled_documents(rows).collect() if r["doc_id"] >= 2000}
+    assert got == {(2000, "de")}
+
+
+def test_batches_and_single_sentences_agree():
+    rnd = random.Random(5)
+    machines = lid.fit([(lang, lid.sentences(text(lang, rnd, 1))[0][2]) for lang in WORDS for _ in range(40)])
+    batch = [lid.sentences(text(lang, rnd, 1))[0][2] for lang in WORDS for _ in range(9)]
+    best, margins = machines.read(batch)
+    lid.VOCABULARY_ROWS, before = 5, lid.VOCABULARY_ROWS  # starts anew at every call
+    again = [machines.read([words]) for words in batch]
+    lid.VOCABULARY_ROWS = before
+    assert [int(b[0]) for b, _ in again] == best.tolist() and abs(sum(float(abs(m[0] - n).max()) for (_, m), n in zip(again, margins))) < 1e-3
+    assert all(machines.kin[k] == (machines.sums[[machines.rows[w] for w in words]].sum(0) / machines.sizes[[machines.rows[w] for w in words]].sum() ** 0.5 + machines.bias)[: len(machines.families)].argmax() for k, words in zip(best, batch) if all(w in machines.rows for w in words))
