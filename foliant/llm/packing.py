@@ -25,6 +25,10 @@ from foliant.runtime import materialize
 #: Most lengths in one enumerated pattern, patterns enumerated per leading length, and waste a pattern may leave.
 PATTERN_ITEMS, PATTERNS_PER_LENGTH, PATTERN_WASTE = 4, 6, 0.004
 
+#: Ranges of ranks that are broadcast; more are joined by length.
+BROADCAST_SLOTS = 500_000
+KIND = ("container_kind", "capacity_tokens")
+
 Pattern = tuple[tuple[int, int], ...]  # (length, copies) pairs
 
 
@@ -139,18 +143,20 @@ def length_ranks(sizes: DataFrame) -> DataFrame:
     Rows are counted per hash bucket first; only the counts are ordered, and the order inside a bucket is a small window.
     """
     buckets = sizes.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(4096)))
-    counts = buckets.groupBy("container_kind", "size", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("container_kind", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("container_kind", "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("container_kind", "size", "bucket").orderBy("doc_id", "piece")
-    return buckets.withColumn("inside", F.row_number().over(inside) - 1).join(offsets, ["container_kind", "size", "bucket"]).withColumn("rank", F.col("offset") + F.col("inside")).drop("bucket", "inside", "offset")
+    counts = buckets.groupBy(*KIND, "size", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*KIND, "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*KIND, "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*KIND, "size", "bucket").orderBy("doc_id", "piece")
+    return buckets.withColumn("inside", F.row_number().over(inside) - 1).join(offsets, [*KIND, "size", "bucket"]).withColumn("rank", F.col("offset") + F.col("inside")).drop("bucket", "inside", "offset")
 
 
-_SLOTS = "container_kind string, size int, first_rank bigint, end_rank bigint, copies int, base bigint"
+_SLOTS = "container_kind string, capacity_tokens int, size int, first_rank bigint, end_rank bigint, copies int, base bigint"
 
 
 def container_placement(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
-    """(container_kind, container_no, doc_id, piece, tokens): where each text goes, for each kind of container.
+    """(container_kind, capacity_tokens, container_no, doc_id, piece, tokens): where each text goes, for each kind of container.
+
+    A kind that is listed with several capacities is packed for each.
 
     ``piece`` numbers the parts of a text larger than the container, and is 0 for a whole text.
     """
@@ -158,7 +164,7 @@ def container_placement(documents: DataFrame, containers: DataFrame, vocabulary:
     # a handful of kinds, written by a person
     kinds = sorted({(r["container_kind"], r["capacity_tokens"]) for r in containers.filter("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().collect()})
     if not kinds:
-        return spark.createDataFrame([], "container_kind string, container_no bigint, doc_id bigint, piece int, tokens int")
+        return spark.createDataFrame([], "container_kind string, capacity_tokens int, container_no bigint, doc_id bigint, piece int, tokens int")
     counted = materialize(token_counts(documents, vocabulary, folder).groupBy("doc_id").agg(F.max("tokens").alias("tokens")).filter("tokens > 0"), "tokens")
     # each text once for each kind: as many rows as the result has
     each = counted.select("doc_id", "tokens", F.inline(F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("int").alias("capacity_tokens")) for k, c in kinds))))
@@ -177,21 +183,22 @@ def container_placement(documents: DataFrame, containers: DataFrame, vocabulary:
             for size, copies in pattern:
                 first = used.get(size, 0)
                 used[size] = first + copies * repeats
-                slots.append((kind, size, first, used[size], copies, base))
+                slots.append((kind, capacity, size, first, used[size], copies, base))
             base += repeats
-    table = spark.createDataFrame(pd.DataFrame(slots, columns=["container_kind", "size", "first_rank", "end_rank", "copies", "base"]) if slots else [], _SLOTS)
-    ranked = length_ranks(items.select("container_kind", "doc_id", "piece", "size"))
+    table = spark.createDataFrame(pd.DataFrame(slots, columns=["container_kind", "capacity_tokens", "size", "first_rank", "end_rank", "copies", "base"]) if slots else [], _SLOTS)
+    ranked = length_ranks(items.select(*KIND, "doc_id", "piece", "size"))
     # a row per kind and length with its ranges of ranks in order: bounded by the patterns (a few per length), not by the
-    # texts, so it is broadcast; a text finds its range in the array, without being multiplied by the ranges first
+    # texts, and broadcast if its size, known to the driver that made it, allows it; a text finds its range in the array,
+    # without being multiplied by the ranges first
     slot = F.struct("end_rank", "first_rank", "copies", "base")
-    ranges = table.groupBy("container_kind", "size").agg(F.array_sort(F.collect_list(slot)).alias("slots"))
-    joined = ranked.join(F.broadcast(ranges), ["container_kind", "size"]).withColumn("slot", F.filter("slots", lambda s: (F.col("rank") >= s["first_rank"]) & (F.col("rank") < s["end_rank"]))[0])
+    ranges = table.groupBy(*KIND, "size").agg(F.array_sort(F.collect_list(slot)).alias("slots"))
+    joined = ranked.join(F.broadcast(ranges) if len(slots) <= BROADCAST_SLOTS else ranges, [*KIND, "size"]).withColumn("slot", F.filter("slots", lambda s: (F.col("rank") >= s["first_rank"]) & (F.col("rank") < s["end_rank"]))[0])
     number = F.col("slot.base") + F.floor((F.col("rank") - F.col("slot.first_rank")) / F.col("slot.copies"))
-    return joined.select("container_kind", number.cast("bigint").alias("container_no"), "doc_id", "piece", F.col("size").alias("tokens"))
+    return joined.select(*KIND, number.cast("bigint").alias("container_no"), "doc_id", "piece", F.col("size").alias("tokens"))
 
 
 def container_fill(placement: DataFrame, containers: DataFrame) -> DataFrame:
     """(container_kind, capacity_tokens, n_containers, n_items, tokens, fill): how full the containers of each kind are."""
-    used = placement.groupBy("container_kind", "container_no").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
-    per = used.groupBy("container_kind").agg(F.count("*").alias("n_containers"), F.sum("items").alias("n_items"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"))
-    return per.join(F.broadcast(containers.select("container_kind", "capacity_tokens").distinct()), "container_kind").withColumn("fill", F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
+    used = placement.groupBy(*KIND, "container_no").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
+    per = used.groupBy(*KIND).agg(F.count("*").alias("n_containers"), F.sum("items").alias("n_items"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"))
+    return per.join(F.broadcast(containers.select(*KIND).distinct()), list(KIND)).withColumn("fill", F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")))

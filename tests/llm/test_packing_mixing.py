@@ -105,3 +105,34 @@ def test_tokenizers(name):
 def test_both_forms_of_one_vocabulary_agree():
     a, b = counter("/opt/tokenizers/byte_bpe_50k.tiktoken"), counter("/opt/tokenizers/byte_bpe_50k.json")
     assert all(a(t) == b(t) for t in texts(20) + ["Ünïcode 日本語 text\n\n  x  "])
+
+
+def test_one_kind_with_two_capacities(spark):
+    docs = spark.createDataFrame(list(enumerate(texts(200))), "doc_id bigint, text string")
+    kinds = spark.createDataFrame([("a", 64), ("a", 512)], "container_kind string, capacity_tokens int")
+    placed = packing.container_placement(docs, kinds)
+    size = {r["doc_id"]: r["tokens"] for r in token_counts(docs).collect()}
+    for capacity in (64, 512):
+        own = placed.filter(f"capacity_tokens = {capacity}").collect()
+        assert sum(r["tokens"] for r in own) == sum(size.values())
+    assert {(r["container_kind"], r["capacity_tokens"]) for r in packing.container_fill(placed, kinds).collect()} == {("a", 64), ("a", 512)}
+
+
+def test_few_texts_share_well(spark):
+    docs = [(i, t, "big" if i % 10 else "small") for i, t in enumerate(texts(400, 9))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("big", 0.93, 1), ("small", 0.07, 9)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mixture(d, targets)
+    share = {r["source"]: r for r in mixing.mixture_shares(mixed, targets).collect()}
+    assert abs(share["small"]["share"] - 0.07) < 0.02 * 0.07 and abs(share["big"]["share"] - 0.93) < 0.02 * 0.93
+    assert mixed.count() == mixed.select("doc_id").distinct().count()
+
+
+def test_a_total_that_cant_be_met_is_reported(spark):
+    d = spark.createDataFrame([(i, t, "big" if i % 10 else "small") for i, t in enumerate(texts(400, 9))], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
+    total = 4 * sum(r["tokens"] for r in token_counts(d).collect())
+    rows = mixing.mixture(d, targets, total_tokens=total)
+    share = {r["source"]: r for r in mixing.mixture_shares(rows, targets, total).collect()}
+    assert share["small"]["most_repeats"] == 2 and share["big"]["most_repeats"] == 1 and rows.count() == 400
+    assert all(r["missing_tokens"] == total // 2 - r["tokens"] > 0 for r in share.values())
