@@ -1,10 +1,9 @@
-"""Command line: ``python -m foliant.cli [--output FILE] [--enable-scripts] [--fetch-missing-resources --web TABLE] ARCHIVE...``"""
+"""Command line: ``python -m foliant.cli [--output FILE] [--enable-scripts] [--fetch-missing-resources [--web TABLE]] ARCHIVE...``"""
 
 from __future__ import annotations
 
 import argparse
 import glob
-import os
 import sys
 
 from foliant import __version__
@@ -16,7 +15,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", help="the page's file, for exactly one archive that is no glob")
     p.add_argument("--enable-scripts", action="store_true")
     p.add_argument("--fetch-missing-resources", action="store_true")
-    p.add_argument("--web", help="Parquet table of answers (url, status, content_type, body, retry_after, fetched_at) to fetch from")
+    p.add_argument("--web", help="Parquet table of answers (url, status, content_type, body, retry_after, fetched_at) to fetch from, instead of the network")
+    p.add_argument("--max-retries", type=int, default=2)
+    p.add_argument("--max-parallel-requests", type=int, default=16)
     p.add_argument("--version", action="version", version=__version__)
     return p
 
@@ -27,39 +28,37 @@ def main(args: list[str] | None = None) -> int:
         parser().print_usage(sys.stderr)
         return 1
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
     from foliant.operators import archives as ops
-    from foliant.runtime import ship
-    from foliant.sources.archivefiles import read_archives, write_pages
+    from foliant.runtime import materialize, ship
+    from foliant.sources import fetching
+    from foliant.sources.archivefiles import expand, put_file, read_archives, write_pages
 
     spark = SparkSession.builder.appName("foliant").getOrCreate()
     ship(spark)
-    paths = sorted({p for pattern in options.archives for p in (glob.glob(pattern) if glob.has_magic(pattern) else [pattern])})
-    missing = [p for p in paths if not os.path.exists(p)]
+    paths, missing = expand(spark, options.archives)
     for p in missing:
         print(f"Error processing {p}: no such file", file=sys.stderr)
-    paths = [p for p in paths if p not in missing]
     if not paths:
         return 1
     read = read_archives(spark, paths, pattern=None)
-    if options.fetch_missing_resources and options.web:
-        parsed = ops.parse_archives(read)
-        parts, _ = ops.fetch_rounds(ops.archive_parts(parsed), spark.read.parquet(options.web))
+    if options.fetch_missing_resources:
+        parsed = materialize(ops.parse_archives(read), "parsed")
+        web = spark.read.parquet(options.web) if options.web else fetching.http()
+        parts, _ = ops.fetch_rounds(ops.archive_parts(parsed), web, max_retries=options.max_retries, max_parallel=options.max_parallel_requests)
         pages = ops.convert_parts(parts, parsed, options.enable_scripts)
     else:
         pages = ops.convert_archives(read, options.enable_scripts)
-    pages = pages.persist()
+    pages = materialize(pages, "pages")
     for row in pages.filter("error IS NOT NULL").select("archive_id", "error").toLocalIterator():
         print(f"Error processing {row['archive_id']}: {row['error']}", file=sys.stderr)
     if options.output and len(options.archives) == 1 and not glob.has_magic(options.archives[0]):
         target = options.output if options.output.lower().endswith(".html") else options.output + ".html"
         page = pages.filter("error IS NULL").select("html").first()
         if page is not None:
-            with open(target, "w", encoding="utf-8") as f:
-                f.write(page["html"])
+            put_file(target, page["html"].encode("utf-8", "replace"))
     else:
-        write_pages(pages.filter(F.col("error").isNull()))
+        write_pages(pages)
     return 0
 
 

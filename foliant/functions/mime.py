@@ -20,6 +20,7 @@ MISLABELED, BOUNDARY_UNUSED, NO_DELIMITERS, SYNTHESIZED, LEFT_ENCODED = (
 )
 _BLANK_LINE = re.compile(rb"(?:\A|\n)\r?\n")
 _HEADER = re.compile(r"[!-9;-~]+:")
+_MARKUP, _WIDE_MARKUP = re.compile(rb"[ \t\r\n]*<"), re.compile(rb"[\x00 \t\r\n]*<")
 
 
 @dataclass
@@ -65,10 +66,8 @@ class Archive:
 def starts_with_markup(data: bytes) -> bool:
     """True where a tag is the first thing in ``data``, blanks and a byte order mark aside."""
     name = charset.mark_charset(data)
-    head = data[3 if name == "utf-8" else 2 if name else 0 :][:4096]
-    if name and name != "utf-8":
-        head = head.replace(b"\x00", b"")
-    return head.lstrip(b" \t\r\n").startswith(b"<")
+    start = 3 if name == "utf-8" else 2 if name else 0
+    return (_WIDE_MARKUP if start == 2 else _MARKUP).match(data, start) is not None
 
 
 def read_headers(lines: list[str]) -> dict[str, str]:
@@ -92,6 +91,12 @@ def header_block(data: bytes) -> tuple[list[bytes], int]:
     return [x for x in block.replace(b"\r\n", b"\n").split(b"\n") if x], end.end() if end else -1
 
 
+def _part_headers(lines: list[bytes]) -> bool:
+    """True where the lines are headers, one of them of a part's content."""
+    text = [x.decode("latin-1") for x in lines]
+    return all(x[:1] in (" ", "\t") or _HEADER.match(x) for x in text) and any(x[:8].lower() == "content-" for x in text)
+
+
 def delimiter_pattern(boundary: bytes) -> re.Pattern:
     """Delimiters, also behind text on their line; longer look-alikes are none. Group 1 marks the closing one."""
     return re.compile(rb"--" + re.escape(boundary) + rb"(--)?[ \t]*(?:\r?\n|\Z)")
@@ -139,8 +144,6 @@ class _Reader:
         """Adds the parts between the delimiters; False where there are none."""
         marks = list(delimiter_pattern(boundary).finditer(body))
         for i, mark in enumerate(marks):
-            if mark[1] and i:
-                break  # what follows the closing delimiter is no part
             stop = marks[i + 1].start() if i + 1 < len(marks) else len(body)
             region = body[mark.end() : stop]
             lines, start = header_block(region)
@@ -148,6 +151,8 @@ class _Reader:
                 if not lines or i + 1 == len(marks):
                     continue
                 start = len(region)
+            if mark[1] and i and not _part_headers(lines):
+                continue  # text behind the closing delimiter is no part, unless headers make it one
             self.add(read_headers([charset.decode(x) for x in lines]), _trim_end(region[start:]), depth)
         return bool(marks)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -17,8 +18,6 @@ from foliant.functions import charset, contenttype, css, markup, mimeheader, mim
 from foliant.functions.events import HANDLERS
 from foliant.functions.markup import Node
 
-#: Frames inside frames are followed so far, and never into themselves.
-MAX_FRAMES = 16
 #: The policy of a converted page, and relations that only hint at fetches.
 POLICY = "default-src 'none'; connect-src 'self' data:; font-src 'self' data:; img-src 'self' data:; style-src 'self' 'unsafe-inline' data:; frame-src 'self' data:; media-src 'self' data:; object-src 'self' data:; "
 SCRIPTS_ON, SCRIPTS_OFF = "script-src 'self' 'unsafe-inline' data:;", "script-src 'none';"
@@ -59,14 +58,18 @@ def page_base(doc: markup.Document, address: str) -> tuple[str, Node | None]:
 
 
 def page_references(doc: markup.Document, base: str) -> list[Reference]:
-    """All references of a page, in document order."""
+    """All references of a page, in document order; what stands in a template is not loaded with the page."""
     out: list[Reference] = []
+    inert: set[int] = set()
 
     def add(node: Node, attribute: str, kind: str, raw: str, binary: bool = True) -> None:
         out.append(Reference(node, node.tag, attribute, kind, raw, urls.resolve(raw, base), binary))
 
     for node in doc.root.walk():
         a = node.attrs
+        if node.parent is not None and (node.parent.tag == "template" or id(node.parent) in inert):
+            inert.add(id(node))
+            continue
         if a.get("style"):
             for span in css.references(a["style"]):
                 if not span.path.startswith("data:"):
@@ -307,7 +310,7 @@ class _Converter:
             part = self.part(resolved, raw)
         if part is None:
             self.set(node, attribute, self.miss(resolved))
-        elif node.tag in ("embed", "object") or contenttype.is_media(part.content_type) or part.ordinal in open_frames or len(open_frames) > MAX_FRAMES:
+        elif node.tag in ("embed", "object") or contenttype.is_media(part.content_type) or part.ordinal in open_frames:
             self.set(node, attribute, data_address(part))
         else:
             own = f"<{resolved[4:]}>" if resolved.startswith("cid:") else resolved
@@ -335,6 +338,8 @@ def synthesized(parts: list[mime.Part]) -> mime.Part | None:
 
 def convert(archive: mime.Archive, scripts: bool = False) -> Page:
     """The archive as one page. An archive without anything to show gives an error, never an exception."""
+    # frames may be nested as deep as an archive has parts
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + 50 * len(archive.parts)))
     converter = _Converter(archive, scripts)
     anomalies = list(archive.anomalies)
     part = archive.parts[archive.index] if archive.index is not None else None

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import columns, markup, mime, pages
-from foliant.runtime import materialize
+from foliant.sources import fetching
+from foliant.runtime import materialize, release
 
 PART = "ordinal int, depth int, id string, written_id string, content_id string, content_type string, transfer_encoding string, charset string, container boolean, data string"
 PARSED = f"archive_id string, error string, headers map<string,string>, index_id string, index_ordinal int, anomalies array<struct<type:string,id:string>>, parts array<struct<{', '.join(x.replace(' ', ':', 1) for x in PART.split(', '))}>>"
@@ -185,53 +186,64 @@ def fetched_parts(fetched: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def fetch_rounds(parts: DataFrame, web: DataFrame, max_rounds: int | None = None, max_retries: int = 2) -> tuple[DataFrame, DataFrame]:
+def fetch_with(missing: DataFrame, client: fetching.Fetch, max_retries: int = fetching.MAX_RETRIES, max_parallel: int = fetching.MAX_PARALLEL, partitions: int | None = None) -> DataFrame:
+    """The missing resources with the answers of a client, in the form of ``fetch``: each address is asked for once."""
+    asked = fetching.fetch_addresses(missing, client, partitions, max_parallel, max_retries)
+    joined = missing.join(asked, "address").withColumn("url", columns.unwrap_urn(F.col("address")))
+    return joined.select("archive_id", "address", "encoding", "url", "ok", "status", F.coalesce("content_type", F.lit("application/octet-stream")).alias("content_type"), "body", F.col("attempts").alias("answers"))
+
+
+def fetch_rounds(parts: DataFrame, web: DataFrame | fetching.Fetch, max_rounds: int | None = None, max_retries: int = 2, max_parallel: int = fetching.MAX_PARALLEL, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(parts, failed): parts are added until no reference is missing that hasn't failed.
 
-    Each round reads only the parts the last one added; lineage is cut with a table per round in the shared folder. Every
-    address of an archive is tried once and each round but the last fetches one at least, so the rounds end of themselves.
-    With ``max_rounds``, an error says that addresses are left after so many rounds.
+    ``web`` is a table of answers or a client. Each round reads only the parts the last one added, and looks up only their
+    references and those still open; lineage is cut with a table per round in the shared folder. Every address of an archive
+    is tried once and each round but the last fetches one at least, so the rounds end of themselves. With ``max_rounds``, an
+    error says that addresses are left after so many rounds.
     """
     columns_ = [c.split()[0] for c in PART.split(", ")]
     parts = parts.select("archive_id", *columns_)
-    everything, fresh = parts, parts
-    failed = tried = None
-    refs_all = None
+    everything = known = fresh = parts
+    open_refs = failed = tried = None
     for k in itertools.count():
-        refs = materialize(references(fresh), f"refs{k}")
-        refs_all = refs if refs_all is None else refs_all.unionByName(refs)
-        resolved = resolve_references(refs_all, addresses(everything))
-        wanted = missing_resources(resolved, tried)
+        resolved = resolve_references(references(fresh), addresses(everything))
+        if open_refs is not None:  # the open ones can only be found among the new parts
+            resolved = resolved.unionByName(resolve_references(open_refs.drop("part"), addresses(fresh)))
+        last, open_refs = open_refs, materialize(resolved.filter("part IS NULL"), f"open{k}")
+        if last is not None:
+            release(last)
+        wanted = missing_resources(open_refs, tried)
         if k == max_rounds and (left := wanted.count()):
             raise RuntimeError(f"{left} resources are still to be fetched after {max_rounds} rounds")
-        answers = materialize(fetch(wanted, web, max_retries), f"fetched{k}")
+        answers = fetch_with(wanted, web, max_retries, max_parallel, partitions) if callable(web) else fetch(wanted, web, max_retries)
+        answers = materialize(answers, f"fetched{k}")
         asked = answers.select("archive_id", "address")
         tried = asked if tried is None else tried.unionByName(asked)
         bad = answers.filter("NOT ok").select("archive_id", "address")
         failed = bad if failed is None else failed.unionByName(bad)
-        fresh = fetched_parts(answers, everything)
         if not answers.filter("ok").limit(1).count():
+            release(open_refs)
             break
-        fresh = materialize(fresh, f"parts{k}")
+        fresh = materialize(fetched_parts(answers, everything), f"parts{k}")
         everything = everything.unionByName(fresh)
     return everything, failed
 
 
-def import_closure(imports: DataFrame, max_depth: int = 32) -> DataFrame:
+def import_closure(imports: DataFrame) -> DataFrame:
     """(archive_id, sheet, imported) of all sheets reached from each sheet; cycles end of themselves.
 
     ``imports`` are direct ones. Pairs at most double their reach in a round, so few rounds do; each is kept as a table.
     """
     reached = materialize(imports.select("archive_id", "sheet", "imported").distinct(), "imports")
     size = reached.count()
-    for k in range(max_depth):
+    for k in itertools.count():
         step = reached.alias("a").join(reached.alias("b"), (F.col("a.archive_id") == F.col("b.archive_id")) & (F.col("a.imported") == F.col("b.sheet"))).select("a.archive_id", "a.sheet", "b.imported")
-        reached = materialize(reached.unionByName(step).distinct(), f"closure{k}")
+        last, reached = reached, materialize(reached.unionByName(step).distinct(), f"closure{k}")
+        release(last)
         now = reached.count()
         if now == size:
-            break
+            return reached
         size = now
-    return reached
 
 
 def _page(page: pages.Page) -> dict:

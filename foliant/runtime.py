@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = os.path.join(tempfile.gettempdir(), f"foliant-{os.getuid()}-{spark.sparkContext.applicationId}")
     os.makedirs(local, exist_ok=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{local}")
@@ -31,13 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_foliant_path", None)
+        if path in _written:
+            _delete(df.sparkSession, path)
+            _written.remove(path)
+
+
 def _clear(spark: SparkSession) -> None:
     """Deletes the tables of ``materialize``, as far as the session still lives."""
     try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in _written:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            _delete(spark, path)
     except Exception:  # noqa: BLE001 - the session has ended; the folder's owner clears it
         pass
 
@@ -46,7 +60,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Used where a plan needs the same expensive rows twice. The files outlive a lost executor, so nothing is recomputed
-    from a single copy; they are deleted when the driver's process ends.
+    from a single copy; they are deleted by ``release``, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{label}-{uuid.uuid4().hex}"
@@ -54,7 +68,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     if not _written:
         atexit.register(_clear, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._foliant_path = path
+    return table
 
 
 def ship(spark: SparkSession) -> None:

@@ -9,6 +9,8 @@ from __future__ import annotations
 import base64
 import email.utils
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
@@ -16,7 +18,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from foliant.functions import charset, urls
+from foliant.functions import urls
 
 #: The requests of one pool, the further attempts, the first wait and the longest one in seconds.
 MAX_PARALLEL, MAX_RETRIES, FIRST_WAIT, LONGEST_WAIT = 16, 2, 0.5, 5.0
@@ -99,5 +101,19 @@ def fetch_addresses(missing: DataFrame, fetch: Fetch, partitions: int | None = N
 
 
 def part_data(answer: Answer, binary: bool) -> str:
-    """An answer's body as a part carries it: base64, or text."""
-    return base64.b64encode(answer.body).decode("ascii") if binary else charset.decode(answer.body, charset.charset_parameter(answer.content_type))
+    """An answer's body as a part carries it: base64, or UTF-8 text (as ``archives.fetched_parts`` reads it)."""
+    return base64.b64encode(answer.body).decode("ascii") if binary else answer.body.decode("utf-8", "replace")
+
+
+def http(timeout: float = 30.0) -> Fetch:
+    """A client of the standard library, for http and https addresses."""
+
+    def fetch(url: str) -> Answer:
+        request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0 (compatible; foliant)"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as r:  # noqa: S310 - only fetchable addresses come here
+                return Answer(r.status, r.headers.get("Content-Type"), r.read())
+        except urllib.error.HTTPError as e:
+            return Answer(e.code, retry_after=e.headers.get("Retry-After"))
+
+    return fetch

@@ -117,3 +117,12 @@ def test_files_stream_and_command_line(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).filter("title = 'T'").count() == 2
     assert main([str(folder / "a.mht"), "--output", str(tmp_path / "page")]) == 0 and (tmp_path / "page.html").exists()
     assert main([]) == 1 and main([str(folder / "missing.mht")]) == 1
+
+
+def test_pages_of_one_name_in_a_folder(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "x.mht").write_bytes(one())
+    read = read_archives(spark, str(tmp_path / "in"))
+    assert write_pages(ops.convert_archives(read), str(tmp_path / "out")) == 2
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.html")) == ["a/x.html", "b/x.html"]

@@ -66,4 +66,19 @@ def test_spark(spark):
 
 
 def test_part_data():
-    assert part_data(Answer(200, "text/css; charset=latin1", b"\xe9"), False) == "é" and part_data(Answer(200, None, b"\xe9"), True) == "6Q=="
+    # text is read as UTF-8, as in rounds that read a table of answers
+    assert part_data(Answer(200, "text/css; charset=latin1", "é".encode()), False) == "é" and part_data(Answer(200, None, b"\xe9"), True) == "6Q=="
+
+
+def test_rounds_with_a_client(spark):
+    from foliant.operators import archives as ops
+
+    page = b'Content-Type: text/html\nContent-Location: https://e.com/p\n\n<link rel="stylesheet" href="s.css"><img src="gone.png"><template><img src="inert.png"></template>'
+    parts = ops.archive_parts(ops.parse_archives(spark.createDataFrame([("a", bytearray(page)), ("b", bytearray(page))], "archive_id string, content binary")))
+
+    def client(url):
+        return {"https://e.com/s.css": Answer(200, "text/css", b'@import "t.css";'), "https://e.com/t.css": Answer(200, "text/css", b"a{}")}.get(url, Answer(404))
+
+    found, failed = ops.fetch_rounds(parts, client, partitions=2)
+    assert sorted(tuple(r) for r in found.select("archive_id", "id").collect()) == [(a, f"https://e.com/{n}") for a in "ab" for n in ("p", "s.css", "t.css")]
+    assert sorted(tuple(r) for r in failed.collect()) == [("a", "https://e.com/gone.png"), ("b", "https://e.com/gone.png")]

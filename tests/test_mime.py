@@ -126,3 +126,23 @@ def test_boundary_in_quotes_may_hold_a_semicolon():
 
 def test_unknown_labels_are_utf8():
     assert decode("é".encode(), "no-such-charset") == "é" and decode(b"\x93", "latin1") == "“" and decode(b"\xff") == "�"
+
+
+def test_parts_behind_a_closing_delimiter():
+    data = b"Content-Type: multipart/related; boundary=B\n\n--B\nContent-Type: text/plain\n\nx\n--B--\nContent-Type: text/plain\n\ny\n--B--\nbye\n\nnow\n--B\nContent-Type: text/css\n\nz\n--B--\n"
+    assert [p.data for p in mime.parse(data).parts] == ["x", "y", "z"]
+
+
+def test_markup_behind_any_number_of_blanks():
+    assert [t for t, _ in mime.parse(b" \n" * 25_000 + b"<html>x").anomalies] == ["document-mislabeled-as-archive"]
+    assert mime.starts_with_markup(b"\xff\xfe" + (" " * 9_000 + "<p>").encode("utf-16-le")) and not mime.starts_with_markup(b" " * 9_000 + b"a<p>")
+
+
+@pytest.mark.parametrize("label", ["utf-7", "unicode_escape", "raw_unicode_escape", "punycode", "idna", "cp037", "rot13", "hex", "utf-32", "cp437"])
+def test_labels_of_no_web_charset_are_utf8(label):
+    assert decode(b"+ADw-script \\u003c \xc3\xa9", label) == "+ADw-script \\u003c é"
+
+
+@pytest.mark.parametrize("label,raw,text", [("gb2312", "中文".encode("gbk"), "中文"), ("EUC-KR", "한국".encode("euc-kr"), "한국"), ("big5", "中文".encode("big5"), "中文"), ("iso-2022-jp", "日本".encode("iso2022_jp"), "日本"), ("latin2", "ł".encode("latin2"), "ł"), ("koi8-r", "Мир".encode("koi8-r"), "Мир"), ("iso-8859-9", "ğ".encode("cp1254"), "ğ"), ("ibm866", "Мир".encode("cp866"), "Мир"), ("macintosh", "é".encode("mac-roman"), "é")])
+def test_labels_of_web_charsets(label, raw, text):
+    assert decode(raw, label) == text

@@ -86,3 +86,12 @@ def test_conversion_changes_nothing_it_is_given():
 def test_template_shadow_mode_and_missing_type():
     p = convert('<template shadowmode="open"><img src="u"></template>', part(b"x", None, location="https://e.com/u"))
     assert 'shadowrootmode="open"' in p.data and "data:application/octet-stream;base64,eA==" in p.data
+
+
+def test_frames_are_followed_to_any_depth():
+    from foliant.functions import mime, pages
+
+    n = 170
+    parts = [mime.Part(i, f"https://e.com/{i}", f"https://e.com/{i}", None, "text/html", None, f'<p>level {i}</p><frameset><frame src="{i + 1}"></frameset>' if i == 0 else f"<p>level</p><iframe src={i + 1}></iframe>") for i in range(n)]
+    page = pages.convert(mime.Archive({}, parts, 0))
+    assert page.error is None and page.unfound == [f"https://e.com/{n}"]
