@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -12,7 +13,9 @@ from foliant.functions import charset, columns, mimeheader, srcset, urls
 from foliant.operators import archives as ops
 from foliant.operators import records
 from foliant.plans import build
-from foliant.runtime import read_table, ship
+from foliant.runtime import read_table, shared_dir, ship
+from foliant.sources.archivefiles import put_files, read_archives, write_pages
+from foliant.streaming.ingest import convert_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +39,32 @@ def query(name: str, sql: str | None = None, into: dict | None = None, sql_into:
     return register
 
 
-@query("p2_found")
+def _fields(sep: str, column: str) -> tuple[str, str]:
+    """SQL: whether all quoting is sound, and the list of the fields, for one separator."""
+    field = f"""("(?:[^"]|"")*"|[^"{sep}]*)"""
+    return f"regexp_full_match({column}, '(?s){field}({sep}{field})*')", f"regexp_extract_all('{sep}' || {column}, '(?s){sep}{field}', 1)"
+
+
+_COMMA, _TAB = _fields(",", "line"), _fields("\t", "line")
+#: DuckDB lets a comma stand before a closing bracket, the standard doesn't; strings are emptied before it is looked for.
+_STRICT = """json_valid({0}) AND NOT regexp_matches(regexp_replace({0}, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g'), ',\\s*[}}\\]]')"""
+_KNOWN_TYPES = "('document-mislabeled-as-archive', 'declared-boundary-unused', 'multipart-without-delimiters', 'index-synthesized', 'base64-left-encoded')"
+_RECORDS = f"""r AS (SELECT DISTINCT line_id, lower(coalesce(file_name, '')) LIKE '%.tsv' AS tabs, coalesce(line, '') AS line FROM part_lines),
+    q AS (SELECT line_id, CASE WHEN tabs THEN {_TAB[0]} ELSE {_COMMA[0]} END AS quoted, list_transform(CASE WHEN tabs THEN {_TAB[1]} ELSE {_COMMA[1]} END, lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM r),
+    c AS (SELECT line_id, f[1] AS archive_id, f[2] AS part_no, f[3] AS content_type, lower(trim(f[4], ' ' || chr(9))) AS transfer_encoding, f[5] AS n_bytes, f[6] AS captured_at, f[7] AS headers, f[8] AS anomalies FROM q WHERE quoted AND len(f) = 8),
+    j AS (SELECT *, CASE WHEN {_STRICT.format('headers')} THEN headers END AS h, CASE WHEN {_STRICT.format('anomalies')} THEN anomalies END AS a FROM c),
+    bad AS (SELECT line_id, 'quoting' AS reason FROM q WHERE NOT quoted UNION ALL SELECT line_id, 'column_count' FROM q WHERE quoted AND len(f) <> 8
+    UNION ALL SELECT line_id, 'archive_id' FROM c WHERE NOT regexp_full_match(archive_id, 'arc-[0-9]{{10}}')
+    UNION ALL SELECT line_id, 'part_no' FROM c WHERE NOT regexp_full_match(part_no, '[0-9]+')
+    UNION ALL SELECT line_id, 'n_bytes' FROM c WHERE NOT regexp_full_match(n_bytes, '[0-9]+')
+    UNION ALL SELECT line_id, 'transfer_encoding' FROM c WHERE transfer_encoding NOT IN ('', 'base64', 'quoted-printable', '7bit', '8bit', 'binary')
+    UNION ALL SELECT line_id, 'captured_at' FROM c WHERE NOT regexp_full_match(captured_at, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])') OR try_cast(captured_at[:10] AS DATE) IS NULL
+    UNION ALL SELECT line_id, 'headers' FROM j WHERE h IS NULL OR json_type(h) <> 'OBJECT' OR len(list_filter(json_keys(h), lambda k: json_type(h -> ('$."' || k || '"')) <> 'VARCHAR')) > 0
+    UNION ALL SELECT line_id, 'anomalies' FROM j WHERE a IS NULL OR json_type(a) <> 'ARRAY' OR len(list_filter(CAST(CASE WHEN json_type(a) = 'ARRAY' THEN a ELSE '[]' END AS JSON[]), lambda x: coalesce(json_type(x) <> 'OBJECT'
+      OR json_type(x -> '$.type') IS DISTINCT FROM 'VARCHAR' OR (x ->> '$.type') NOT IN {_KNOWN_TYPES} OR (list_contains(json_keys(x), 'id') AND json_type(x -> '$.id') <> 'VARCHAR'), true))) > 0)"""
+
+
+@query("p2_found", f"WITH {_RECORDS} SELECT line_id, reason FROM bad")
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return records.rejected_records(read_table(spark, base, "part_lines"))
 
@@ -46,6 +74,22 @@ def p2_valid(spark: SparkSession, base: str) -> DataFrame:
     return records.valid_records(read_table(spark, base, "part_lines"))
 
 
+@query(
+    "p2_typed",
+    f"""WITH {_RECORDS} SELECT line_id, archive_id, CAST(part_no AS BIGINT) AS part_no, content_type, transfer_encoding, CAST(n_bytes AS BIGINT) AS n_bytes, epoch_us(CAST(captured_at AS TIMESTAMPTZ)) AS captured_us,
+        CAST(len(json_keys(h)) AS INT) AS n_headers, CAST(json_array_length(a) AS INT) AS n_anomalies FROM j WHERE line_id NOT IN (SELECT line_id FROM bad)""",
+)
+def p2_typed(spark: SparkSession, base: str) -> DataFrame:
+    valid = records.valid_records(read_table(spark, base, "part_lines"))
+    return valid.select("line_id", "archive_id", F.col("part_no").cast("bigint").alias("part_no"), "content_type", "transfer_encoding", F.col("n_bytes").cast("bigint").alias("n_bytes"), F.unix_micros("captured_at").alias("captured_us"), F.size("headers").alias("n_headers"), F.size("anomalies").alias("n_anomalies"))
+
+
+@query("p2_once", "SELECT DISTINCT line_id, 1::BIGINT AS n FROM part_lines")
+def p2_once(spark: SparkSession, base: str) -> DataFrame:
+    lines = read_table(spark, base, "part_lines")
+    return records.valid_records(lines).select("line_id").unionByName(records.rejected_records(lines).select("line_id").distinct()).groupBy("line_id").agg(F.count("*").alias("n"))
+
+
 # ---- parsing: archives built from documents, so that SQL over documents tells what must come back -------------------------
 
 
@@ -138,6 +182,15 @@ def nested_alternative(spark, base):
     return parts.select(F.col("archive_id").cast("bigint").alias("doc_id"), "ordinal", "depth", "content_type")
 
 
+@query("parts_behind_closing", "SELECT doc_id, o AS ordinal, CASE o WHEN 0 THEN text ELSE kind END AS text FROM documents, (VALUES (0), (1), (2)) v(o)")
+def parts_behind_closing(spark, base):
+    # a closing delimiter between two parts, a text behind it, and a delimiter with headers after that
+    b = build.BOUNDARY
+    more = F.concat(F.lit(f"--{b}--\r\nContent-Type: text/plain\r\n\r\n"), F.col("kind"), F.lit(f"\r\n--{b}--\r\nno part\r\n\r\nat all\r\n--{b}\r\nContent-Type: text/css\r\n\r\n"), F.col("kind"), F.lit("\r\n"))
+    parts = ops.archive_parts(_parse(_documents(spark, base), "doc_id", build.archive(build.part(F.col("text")), more)))
+    return parts.select(F.col("archive_id").cast("bigint").alias("doc_id"), "ordinal", F.col("data").alias("text"))
+
+
 _ANOMALY = "SELECT doc_id, '{}' AS type, {} AS id FROM documents"
 
 
@@ -147,7 +200,7 @@ def _anomalies(spark: SparkSession, base: str, text: Column) -> DataFrame:
 
 @query("anomaly_mislabelled", _ANOMALY.format("document-mislabeled-as-archive", "CAST(NULL AS VARCHAR)"))
 def anomaly_mislabelled(spark, base):
-    return _anomalies(spark, base, F.concat(F.lit("\r\n <html><body><p>"), columns.escape_text(F.col("text")), F.lit("</p></body></html>")))
+    return _anomalies(spark, base, F.concat(F.repeat(F.lit("\r\n "), 2000), F.lit("<html><body><p>"), columns.escape_text(F.col("text")), F.lit("</p></body></html>")))
 
 
 @query("anomaly_boundary_unused", _ANOMALY.format("declared-boundary-unused", "CAST(NULL AS VARCHAR)"))
@@ -216,6 +269,51 @@ def charset_mark(spark, base):
     return build.mapped(content, "doc_id", F.col("value"), lambda b: charset.decode(b, charset.mark_charset(b))).withColumnRenamed("value", "text")
 
 
+#: Labels with a phrase in their charset, and the place where a document names it.
+_PHRASES = {"koi8-r": "Привет, мир", "windows-1251": "Съешь ещё", "shift_jis": "日本語テスト", "euc-jp": "日本語の本", "gbk": "中文字符", "big5": "繁體中文", "euc-kr": "한국어", "iso-8859-2": "Zażółć", "macintosh": "déjà"}
+_PLACES = ("header", "meta", "http-equiv", "sheet")
+
+
+@query("charset_matrix", f"SELECT doc_id, l AS label, w AS place, p || ' ' || doc_id AS text FROM documents, (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _PHRASES.items())}) v(l, p), (VALUES {', '.join(f"('{w}')" for w in _PLACES)}) u(w)")
+def charset_matrix(spark, base):
+    def content(key: str) -> bytes:
+        label, place, n = key.split(" ")
+        text = f"{_PHRASES[label]} {n}"
+        if place == "sheet":
+            body, kind = f'@charset "{label}"; /*<{text}>*/', "text/css"
+        else:
+            meta = {"header": "", "meta": f'<meta charset="{label}">', "http-equiv": f'<meta http-equiv="Content-Type" content="text/html; charset={label}">'}[place]
+            body, kind = f"<html><head>{meta}</head><body><p>{text}</p></body></html>", "text/html" + (f"; charset={label}" if place == "header" else "")
+        return f"Content-Type: {kind}\r\n\r\n".encode() + body.encode({"macintosh": "mac-roman"}.get(label, label))
+
+    keys = F.explode(F.array(*(F.concat_ws(" ", F.lit(k), F.lit(w), F.col("doc_id").cast("string")) for k in _PHRASES for w in _PLACES)))
+    rows = build.mapped(_documents(spark, base).select(keys.alias("key")), "key", F.col("key"), content, "binary")
+    parts = ops.archive_parts(ops.parse_archives(rows.select(F.col("key").alias("archive_id"), F.col("value").alias("content"))))
+    words = F.split("archive_id", " ")
+    return parts.select(words[2].cast("bigint").alias("doc_id"), words[0].alias("label"), words[1].alias("place"), F.regexp_extract("data", "<(?:p>)?([^<>]*)(?:</p>|>\\*/)", 1).alias("text"))
+
+
+@query("raw_headers", "SELECT doc_id, l AS label, p || ' ' || doc_id AS sender FROM documents, (VALUES ('koi8-r', 'Привет'), ('windows-1251', 'Съешь'), ('shift_jis', '日本語')) v(l, p)")
+def raw_headers(spark, base):
+    def content(key: str) -> bytes:
+        label, n = key.split(" ")
+        sender = {"koi8-r": "Привет", "windows-1251": "Съешь", "shift_jis": "日本語"}[label]
+        return f"From: {sender} {n}\r\nContent-Type: text/html; charset={label}\r\n\r\n<p>x</p>".encode(label)
+
+    keys = F.explode(F.array(*(F.concat_ws(" ", F.lit(k), F.col("doc_id").cast("string")) for k in ("koi8-r", "windows-1251", "shift_jis"))))
+    rows = build.mapped(_documents(spark, base).select(keys.alias("key")), "key", F.col("key"), content, "binary")
+    heads = ops.archive_headers(ops.parse_archives(rows.select(F.col("key").alias("archive_id"), F.col("value").alias("content")))).filter("name = 'from'")
+    return heads.select(F.split("archive_id", " ")[1].cast("bigint").alias("doc_id"), F.split("archive_id", " ")[0].alias("label"), F.col("value").alias("sender"))
+
+
+@query("unknown_labels", "SELECT doc_id, l AS label, text FROM documents, (SELECT unnest(['utf-7', 'unicode_escape', 'punycode', 'cp037', 'no-such']) AS l)")
+def unknown_labels(spark, base):
+    labels = ("utf-7", "unicode_escape", "punycode", "cp037", "no-such")
+    rows = _documents(spark, base).select(F.explode(F.array(*(F.struct(F.concat_ws(" ", F.lit(x), F.col("doc_id").cast("string")).alias("key"), build.archive(build.part(F.col("text"), f"text/plain; charset={x}")).alias("value")) for x in labels))).alias("v")).select("v.*")
+    parts = ops.archive_parts(_parse(rows, "key", F.col("value")))
+    return parts.select(F.split("archive_id", " ")[1].cast("bigint").alias("doc_id"), F.split("archive_id", " ")[0].alias("label"), F.col("data").alias("text"))
+
+
 _PART_KEYS = "SELECT DISTINCT archive_id, part_no, content_type, transfer_encoding, id, content_id, data FROM parts"
 
 
@@ -351,10 +449,54 @@ def fetch_answers(spark, base):
     return answers.select("archive_id", "address", F.coalesce("status", F.lit(0)).alias("status"), "ok")
 
 
-@query("fetch_rounds")
+_OK = f"SELECT url, status FROM ({_LAST}) WHERE status BETWEEN 200 AND 299"
+
+
+@query(
+    "fetch_rounds",
+    f"""SELECT archive_id, part_no AS ordinal, id FROM ({_PART_KEYS}) UNION ALL
+        SELECT m.archive_id, l.last + row_number() OVER (PARTITION BY m.archive_id ORDER BY m.address), m.address FROM ({_MISSING}) m JOIN ({_OK}) o ON o.url = m.address JOIN (SELECT archive_id, max(part_no) AS last FROM parts GROUP BY archive_id) l ON l.archive_id = m.archive_id""",
+)
 def fetch_rounds(spark, base):
     parts, _ = ops.fetch_rounds(_parts(spark, base), read_table(spark, base, "web"))
-    return parts.select("archive_id", "ordinal", "id", "content_type", "transfer_encoding")
+    return parts.select("archive_id", "ordinal", "id")
+
+
+def _chain(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """A page for each address of web, which reaches it through a sheet and the sheet that this one imports."""
+    web = read_table(spark, base, "web")
+    urls_ = web.select("url").distinct().withColumn("key", F.sha1("url"))
+    page = F.concat(F.lit('<link rel="stylesheet" href="https://chain.example/'), "key", F.lit('/a.css"><img src="https://chain.example/none.png">'))
+    parts = urls_.select(
+        F.col("key").alias("archive_id"), F.lit(0).alias("ordinal"), F.lit(0).alias("depth"), F.lit("https://chain.example/").alias("id"), F.lit("https://chain.example/").alias("written_id"), F.lit(None).cast("string").alias("content_id"),
+        F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("transfer_encoding"), F.lit(None).cast("string").alias("charset"), F.lit(False).alias("container"), page.alias("data"),
+    )
+
+    def sheet(name: str, body: Column) -> DataFrame:
+        return urls_.select(F.concat(F.lit("https://chain.example/"), "key", F.lit(name)).alias("url"), F.lit(200).alias("status"), F.lit("text/css").alias("content_type"), F.encode(body, "utf-8").alias("body"), F.lit(None).cast("string").alias("retry_after"), F.lit(None).cast("timestamp").alias("fetched_at"))
+
+    sheets = sheet("/a.css", F.lit('@import "b.css";')).unionByName(sheet("/b.css", F.concat(F.lit('a{background:url("'), "url", F.lit('")}'))))
+    answers = web.select("url", "status", F.lit("image/png").alias("content_type"), "body", "retry_after", "fetched_at").unionByName(sheets)
+    return parts, answers
+
+
+_CHAIN = """(SELECT DISTINCT sha1(url) AS key, url FROM web)"""
+
+
+@query(
+    "fetch_chain",
+    f"""SELECT key AS archive_id, 'https://chain.example/' AS id, true AS ok FROM {_CHAIN} UNION ALL SELECT key, 'https://chain.example/' || key || '/' || n || '.css', true FROM {_CHAIN}, (VALUES ('a'), ('b')) v(n)
+        UNION ALL SELECT key, 'https://chain.example/none.png', false FROM {_CHAIN} UNION ALL SELECT c.key, c.url, o.status IS NOT NULL FROM {_CHAIN} c LEFT JOIN ({_OK}) o ON o.url = c.url""",
+)
+def fetch_chain(spark, base):
+    parts, failed = ops.fetch_rounds(*_chain(spark, base))
+    return parts.select("archive_id", "id", F.lit(True).alias("ok")).unionByName(failed.select("archive_id", F.col("address").alias("id"), F.lit(False).alias("ok")))
+
+
+@query("fetched_pages", f"SELECT c.key AS archive_id, CASE WHEN o.status IS NULL THEN 2 ELSE 1 END AS n_unfound FROM {_CHAIN} c LEFT JOIN ({_OK}) o ON o.url = c.url")
+def fetched_pages(spark, base):
+    parts, _ = ops.fetch_rounds(*_chain(spark, base))
+    return ops.convert_parts(parts).select("archive_id", F.size("unfound_resources").alias("n_unfound"))
 
 
 @query("retry_delays", f"SELECT DISTINCT url, attempt, coalesce(CASE WHEN delay <= 5000 THEN delay::BIGINT END, -1) AS delay FROM ({_ANSWERS})")
@@ -499,11 +641,8 @@ def converted_parts(spark, base):
 
 @query("converted_unfound", f"SELECT DISTINCT archive_id, resolved AS address FROM ({_HITS}) h JOIN (SELECT archive_id, min(part_no) AS ordinal FROM ({_DOCS.replace(' AND data IS NOT NULL', '')}) GROUP BY archive_id) USING (archive_id, ordinal) WHERE part < 0 AND resolved NOT LIKE 'data:%'")
 def converted_unfound(spark, base):
-    # style sheets and frames apart, conversion and the anti-join must leave the same holes
-    parts = _parts(spark, base)
-    index = ops.index_parts(parts).select("archive_id", F.col("ordinal").alias("index"))
-    plain = parts.join(index, "archive_id").withColumn("data", F.when((F.col("ordinal") == F.col("index")) | ~(columns.is_document(F.col("content_type")) | columns.is_stylesheet(F.col("content_type"))), F.col("data")).otherwise(F.lit(""))).drop("index")
-    return ops.page_unfound(ops.convert_parts(plain)).distinct()
+    # conversion and the anti-join must leave the same holes
+    return ops.page_unfound(ops.convert_parts(_parts(spark, base))).distinct()
 
 
 _TEXT_SQL = f"replace(replace({_SQ.format('text')}, '<', '&lt;'), '>', '&gt;')"
@@ -545,6 +684,117 @@ def inlined_icons(spark, base):
     return ops.page_favicons(_text_pages(spark, base, page, icon)).select(F.col("archive_id").cast("bigint").alias("doc_id"), "original_href", "href", "sizes")
 
 
+_IMAGE = "'data:image/png;base64,' || to_base64(encode(text))"
+#: Where an image stands in a page, and the pattern that finds its address behind the conversion.
+_IMAGE_PLACES = {
+    "style attribute": ('<p style="color:red; background:url(i.png)">x</p>', 'style="color:red; background:[^"]*url\\((data:[^)"]*)\\)"'),
+    "style element": ("<style>a{b:url('i.png')}</style>", "<style>a\\{b:[^}]*url\\((data:[^)]*)\\)\\}</style>"),
+    "src": ('<img src="i.png">', '<img src="(data:[^"]*)" data-original-src="i.png">|<img data-original-src="i.png" src="(data:[^"]*)">'),
+    "srcset": ('<img srcset="i.png 2x">', '<img [^>]*\\bsrcset="(data:[^ "]*) 2x"'),
+    "background": ('<table background="i.png"></table>', '<table [^>]*\\bbackground="(data:[^"]*)"'),
+    "input": ('<input type="image" src="i.png">', '<input [^>]*\\bsrc="(data:[^"]*)"'),
+    "embed": ('<embed src="i.png">', '<embed [^>]*\\bsrc="(data:[^"]*)"'),
+    "object": ('<object data="i.png"></object>', '<object [^>]*\\bdata="(data:[^"]*)"'),
+    "video": ('<video src="i.png"></video>', '<video [^>]*\\bsrc="(data:[^"]*)"'),
+    "frame of an image": ('<iframe src="i.png"></iframe>', '<iframe [^>]*\\bsrc="(data:[^"]*)"'),
+}
+
+
+def _image_part() -> Column:
+    return build.part(F.base64(F.encode("text", "utf-8")), "image/png", "base64", location=F.lit("https://e.example/i.png"))
+
+
+@query("inlined_images", f"SELECT doc_id, w AS place, {_IMAGE} AS address FROM documents, (SELECT unnest([{', '.join(repr(k) for k in _IMAGE_PLACES)}]) AS w)")
+def inlined_images(spark, base):
+    page = build.part(F.lit("".join(x for x, _ in _IMAGE_PLACES.values())), "text/html; charset=utf-8", location=F.lit("https://e.example/p"))
+    pages = _text_pages(spark, base, page, _image_part())
+    found = [F.struct(F.lit(k).alias("place"), F.concat(F.regexp_extract("html", x, 1), F.regexp_extract("html", x, 2) if "|" in x else F.lit("")).alias("address")) for k, (_, x) in _IMAGE_PLACES.items()]
+    return pages.select("doc_id", F.inline(F.array(*found)))
+
+
+@query("inlined_sheets", f"SELECT doc_id, 'print' AS media, 'https://e.example/s.css' AS original, {_IMAGE} AS image, 'b{{y:1}}' AS imported, {_IMAGE} AS nested FROM documents")
+def inlined_sheets(spark, base):
+    page = build.part(F.lit('<link rel="stylesheet" media="print" href="s.css">'), "text/html", location=F.lit("https://e.example/p"))
+    sheet = build.part(F.lit('@charset "utf-8"; @import "t.css"; a{x:url(i.png)}'), "text/css", location=F.lit("https://e.example/s.css"))
+    other = build.part(F.lit('b{y:1} @import url(s.css); c{z:url("i.png")}'), "text/css", location=F.lit("https://e.example/t.css"))
+    html = F.col("html")
+    style = _text_pages(spark, base, page, sheet, other, _image_part()).select("doc_id", html, F.regexp_extract(html, "(?s)<style ([^>]*)>(.*?)</style>", 2).alias("style"))
+    style = style.withColumn("inner", F.decode(F.unbase64(F.regexp_extract("style", "url\\(data:text/css[^,]*,([^)]*)\\)", 1)), "utf-8"))
+    return style.select(
+        "doc_id", F.regexp_extract(html, '<style [^>]*\\bmedia="([^"]*)"', 1).alias("media"), F.regexp_extract(html, '<style [^>]*\\bdata-original-href="([^"]*)"', 1).alias("original"), F.regexp_extract("style", "a\\{x:.*?url\\((data:image[^)]*)\\)\\}", 1).alias("image"),
+        F.regexp_extract("inner", "^(b\\{y:1\\})", 1).alias("imported"), F.regexp_extract("inner", "c\\{z:.*?url\\((data:image[^)]*)\\)\\}", 1).alias("nested"),
+    )
+
+
+@query("sheets_by_content_id", f"SELECT doc_id, {_IMAGE} AS image FROM documents")
+def sheets_by_content_id(spark, base):
+    # a sheet without an address of its own is seen from the page
+    page = build.part(F.lit('<link rel="stylesheet" href="cid:s@x">'), "text/html", location=F.lit("https://e.example/p"))
+    sheet = build.part(F.lit("a{x:url(i.png)}"), "text/css", location=F.lit("cid:s@x"), content_id=F.lit("<s@x>"))
+    return _text_pages(spark, base, page, sheet, _image_part()).select("doc_id", F.regexp_extract("html", "a\\{x:.*?url\\((data:image[^)]*)\\)\\}", 1).alias("image"))
+
+
+@query("frame_documents", f"SELECT doc_id, {_TEXT_SQL} AS body FROM documents")
+def frame_documents(spark, base):
+    page = build.part(F.lit('<html><head></head><frameset><frame src="f.html"></frameset></html>'), "text/html", location=F.lit("https://e.example/p"))
+    inner = build.part(F.concat(F.lit("<p>"), columns.escape_text(F.col("text")), F.lit("</p>")), "text/html; charset=utf-8", location=F.lit("https://e.example/f.html"))
+    address = F.url_decode(F.regexp_extract("html", '<frame [^>]*\\bsrc="data:text/html,([^"]*)"', 1))
+    return _text_pages(spark, base, page, inner).select("doc_id", F.regexp_extract(address, "(?s)<p>(.*)</p>", 1).alias("body"))
+
+
+@query("page_details", "SELECT doc_id, 'https://c.example/' || doc_id AS canonical, 1::BIGINT AS canonicals, true AS shadow, true AS untouched, coalesce(title, 'none') AS name, 'https://e.example/p' AS url, '<!DOCTYPE html>' AS doctype FROM documents")
+def page_details(spark, base):
+    n = F.col("doc_id").cast("string")
+    body = F.concat(F.lit('<!DOCTYPE html><link rel="canonical" href="https://c.example/'), n, F.lit('"><template shadowmode="open"><p>x</p></template><video poster="p.png"></video><p data-k="1" lang="en">y</p>'))
+    subject = F.concat(F.lit("Subject: =?utf-8?B?"), F.base64(F.encode(F.coalesce("title", F.lit("none")), "utf-8")), F.lit("?=\r\n"))
+    content = build.archive(build.part(body, "text/html", location=F.lit("https://e.example/p")), headers=subject)
+    rows = _documents(spark, base).select(n.alias("archive_id"), F.encode(content, "utf-8").alias("content"))
+    html = F.col("html")
+    info = F.replace(F.regexp_extract(html, '(?s)<script type="application/ld\\+json">(.*?)</script>', 1), F.lit("<\\/"), F.lit("</"))
+    return ops.convert_archives(rows).select(
+        F.col("archive_id").cast("bigint").alias("doc_id"), F.regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1).alias("canonical"), ((F.length(html) - F.length(F.replace(html, F.lit('rel="canonical"'), F.lit("")))) / 15).cast("bigint").alias("canonicals"),
+        html.contains('<template shadowrootmode="open"><p>x</p></template>').alias("shadow"), html.contains('<video poster="p.png"></video><p data-k="1" lang="en">y</p>').alias("untouched"),
+        F.get_json_object(info, "$.name").alias("name"), F.get_json_object(info, "$.url").alias("url"), F.regexp_extract(html, "^<![^>]*>", 0).alias("doctype"),
+    )
+
+
+@query("template_references", "SELECT doc_id, 'https://e.example/' || doc_id || '.png' AS address FROM documents")
+def template_references(spark, base):
+    n = F.col("doc_id").cast("string")
+    page = F.concat(F.lit('<img src="/'), n, F.lit('.png"><template><img src="/in.png"><div><link rel="stylesheet" href="/in.css"></div></template>'))
+    part = _documents(spark, base).select(n.alias("archive_id"), F.lit(0).alias("ordinal"), F.lit("https://e.example/p").alias("id"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("transfer_encoding"), page.alias("data"))
+    return ops.references(part).select(F.col("archive_id").cast("bigint").alias("doc_id"), F.col("resolved").alias("address"))
+
+
+def _files(spark: SparkSession, base: str, label: str) -> str:
+    """The threads as archive files in a folder of the shared place."""
+    folder = f"{shared_dir(spark)}/foliant-{label}-{uuid.uuid4().hex}"
+    _threads(spark, base).select(F.concat(F.lit(f"{folder}/"), F.pmod(F.hash("archive_id"), F.lit(7)).cast("string"), F.lit("/"), "archive_id", F.lit(".mhtml")).alias("name"), "content").mapInArrow(put_files, "name string").count()
+    return folder
+
+
+@query("archives_from_files", f"SELECT thread, count(*) AS n_parts FROM ({_THREAD}) GROUP BY thread")
+def archives_from_files(spark, base):
+    read = read_archives(spark, _files(spark, base, "files") + "/*")
+    parts = ops.archive_parts(ops.parse_archives(read))
+    return parts.groupBy(F.regexp_extract("archive_id", "([0-9]+)\\.mhtml$", 1).cast("bigint").alias("thread")).agg(F.count("*").alias("n_parts"))
+
+
+@query("archives_as_a_stream", f"SELECT DISTINCT thread, false AS failed FROM ({_THREAD})")
+def archives_as_a_stream(spark, base):
+    folder = _files(spark, base, "stream")
+    convert_stream(spark, folder, f"{folder}-out", f"{folder}-state").awaitTermination()
+    return spark.read.parquet(f"{folder}-out").select(F.regexp_extract("archive_id", "([0-9]+)\\.mhtml$", 1).cast("bigint").alias("thread"), F.lit(False).alias("failed"))
+
+
+@query("written_pages", f"SELECT DISTINCT thread FROM ({_THREAD})")
+def written_pages(spark, base):
+    folder = _files(spark, base, "pages")
+    write_pages(ops.convert_archives(read_archives(spark, folder)), f"{folder}-out")
+    pages = read_archives(spark, f"{folder}-out", pattern="*.html")
+    return pages.filter("length > 0").select(F.regexp_extract("path", "([0-9]+)\\.html$", 1).cast("bigint").alias("thread"))
+
+
 @query("synthesized_pages", f"SELECT doc_id, {_TEXT_SQL} AS body, 'index-synthesized' AS anomaly FROM documents")
 def synthesized_pages(spark, base):
     pages = _text_pages(spark, base, build.part(F.lit("a{}"), "text/css"), build.part(F.col("text"), "text/plain; charset=utf-8"))

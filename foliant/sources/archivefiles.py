@@ -65,6 +65,14 @@ def _uri(path: str) -> str:
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+def put_files(batches: Iterator) -> Iterator:
+    """Writes batches of (address, content) as files and gives their addresses."""
+    for batch in batches:
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            put_file(_uri(name), content)
+        yield batch.select([0])
+
+
 def write_pages(converted: DataFrame, folder: str | None = None) -> int:
     """Writes each page as one file beside its archive, or into ``folder``, which all executors must share.
 
