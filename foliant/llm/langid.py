@@ -51,10 +51,14 @@ LANGUAGES = {
 _NAMES = {name: code for code, (_, names) in LANGUAGES.items() for name in (code, *names.split())}
 
 _CODE = re.compile(r"^(```|~~~).*?(?:^\1[^\n]*$|\Z)|<(pre|code|script|style)\b[^>]*>.*?(?:</\2\s*>|\Z)|^(?: {4}|\t)[^\n]*$|`[^`\n]+`", re.S | re.M | re.I)
-_LINKS = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\w+|<[^<>\n]{1,200}>|\((?=[^()]*\d)[^()]{1,60}\)")
+#: What is no text, with the sign without which it isn't looked for: addresses of pages, of mail, tags, references with numbers.
+_LINKS = (
+    ("/", re.compile(r"(?:https?|ftp)://\S+")), ("www.", re.compile(r"www\.\S+")), ("@", re.compile(r"[^\s@]+@\S+\.\w+")), ("<", re.compile(r"<[^<>\n]{1,200}>")), ("(", re.compile(r"\((?=[^()]*\d)[^()]{1,60}\)")),
+)
 _MARKS = re.compile(r"^\s*(?:[>*+-]|\d+[.)])+\s+", re.M)
 _SENTENCE = re.compile(r"[^.!?…。！？\n]+(?:[.!?…](?![\s\"”»’')\]]|$)[^.!?…。！？\n]*)*[.!?…。！？]*[\"”»’')\]]*", re.M)
 _WORDS = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W\d_]+(?:['’][^\W\d_]+)*")
+_NOT_BREAK = re.compile(r"[^\n]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 
 
@@ -77,13 +81,14 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each sentence of the prose; code, links and markup are blanked, so that offsets hold."""
 
     def blank(m: re.Match) -> str:
-        return re.sub(r"[^\n]", " ", m[0])
+        return " " * len(m[0]) if "\n" not in m[0] else _NOT_BREAK.sub(" ", m[0])
 
     prose = text
     if "`" in prose or "<" in prose or "    " in prose or "\t" in prose or "~~~" in prose:
         prose = _CODE.sub(blank, prose)
-    if "/" in prose or "@" in prose or "<" in prose or "(" in prose:
-        prose = _LINKS.sub(blank, prose)
+    for sign, pattern in _LINKS:
+        if sign in prose:
+            prose = pattern.sub(blank, prose)
     prose = _MARKS.sub(blank, prose)
     found = []
     for m in _SENTENCE.finditer(prose):
@@ -161,9 +166,10 @@ class Discriminator:
         """A margin for each language."""
         return self.read([words])[1][0]
 
-    def confidence(self, margins: np.ndarray, language: int) -> float:
-        odds = np.exp(self.scale * (margins - margins.max()))
-        return float(odds[language] / odds.sum())
+    def confidences(self, margins: np.ndarray) -> np.ndarray:
+        """The share of each language in the odds that the margins of a sentence give."""
+        odds = np.exp(self.scale * (margins - margins.max(axis=1, keepdims=True, initial=-np.inf)))
+        return odds / odds.sum(axis=1, keepdims=True)
 
 
 def _fit_machine(rows: np.ndarray, words: np.ndarray, size: np.ndarray, grams: tuple[np.ndarray, np.ndarray], y: np.ndarray, steps: int = 120, rate: float = 0.05, decay: float = 5e-3) -> tuple[np.ndarray, float]:
@@ -249,7 +255,7 @@ def fit(samples: list[tuple[str, list[str]]], spark: SparkSession | None = None)
     fitted.scale = 1.0
     for scale in (2.0, 3.0, 4.0, 6.0, 8.0, 12.0):
         before, fitted.scale = fitted.scale, scale
-        if sum(fitted.confidence(m, int(k)) for k, m in zip(best, margins)) / max(1, len(held)) > right:
+        if fitted.confidences(margins)[np.arange(len(held)), best].sum() / max(1, len(held)) > right:
             fitted.scale = before
             break
     return fitted
@@ -349,34 +355,34 @@ def segments_of(texts: list[str], machines: Discriminator) -> Iterator[list[tupl
     """The segments of each text; all their sentences are judged at once."""
     found = [sentences(t) for t in texts]
     best, margins = machines.read([words for f in found for _, _, words in f])
-    at = 0
+    judged = zip(best.tolist(), margins.tolist(), machines.confidences(margins).tolist())
     for f in found:
-        yield _segments(f, best[at : at + len(f)].tolist(), margins[at : at + len(f)], machines)
-        at += len(f)
+        yield _segments([(start, end, k, m, c, len(words) / 3 if _CJK.match(words[0]) else len(words)) for (start, end, words), (k, m, c) in zip(f, judged)], machines.languages)
 
 
-def _segments(found: list[tuple[int, int, list[str]]], best_of: list[int], margins_of: np.ndarray, machines: Discriminator) -> list[tuple[int, int, str, float, int]]:
-    read = [[start, end, best, margins, len(words) / 3 if _CJK.match(words[0]) else len(words)] for (start, end, words), best, margins in zip(found, best_of, margins_of)]
-    if not read:
+def _segments(judged: list[tuple[int, int, int, list[float], list[float], float]], languages: list[str]) -> list[tuple[int, int, str, float, int]]:
+    """The segments of one text from its sentences: (start, end, best language, margins, confidences, size)."""
+    if not judged:
         return []
+    read = [[start, end, best, margins, size, sure] for start, end, best, margins, sure, size in judged]
     # weight of each language over the text, to lean on where a sentence is too short to tell
     weight: dict[int, float] = {}
-    for _, _, best, margins, size in read:
+    for _, _, best, margins, size, _ in read:
         weight[best] = weight.get(best, 0.0) + size * max(0.05, margins[best])
     main = max(weight, key=lambda x: weight[x])
     # a text without any whole sentence is one of its main language
     short = all(item[4] < MIN_WORDS for item in read)
     for i, item in enumerate(read):
-        best, margins, size = item[2:]
+        best, margins, size = item[2:5]
         if best != main and (size < MIN_WORDS or margins[best] - margins[main] < MIN_MARGIN):
             near = {read[j][2] for j in (i - 1, i + 1) if 0 <= j < len(read) and read[j][4] >= MIN_WORDS}
             if size < MIN_WORDS or near != {best}:
                 item[2] = next(iter(near)) if len(near) == 1 else main
     out: list[tuple[int, int, str, float, int]] = []
-    for start, end, best, margins, size in read:
-        sure = machines.confidence(margins, best)
+    for start, end, best, margins, size, confidences in read:
+        sure = confidences[best]
         whole = int(size >= MIN_WORDS or short)
-        name = machines.languages[best]
+        name = languages[best]
         if out and out[-1][2] == name:
             s, _, _, c, n = out[-1]
             out[-1] = (s, end, name, (c * max(1, n) + sure) / (max(1, n) + 1), n + whole)
