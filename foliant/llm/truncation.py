@@ -151,18 +151,23 @@ def _open_syntax(data: Column, kind: Column) -> Column:
     return F.when(end == "", F.lit(False)).otherwise(opened)
 
 
+def length_histogram(values: DataFrame) -> DataFrame:
+    """(source, unit, len, n, failing, n_ellipsis): how many values of each source have each length in characters and bytes."""
+    units = F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("len")) for u in ("chars", "bytes")))
+    return (
+        values.select("source", "failing", "ellipsis", F.inline(units))
+        .groupBy("source", "unit", "len")
+        .agg(F.count("*").alias("n"), F.sum(F.col("failing").cast("long")).alias("failing"), F.sum(F.col("ellipsis").cast("long")).alias("n_ellipsis"))
+    )
+
+
 def length_limits(values: DataFrame) -> DataFrame:
     """(source, unit, limit, n, failing, ellipsis_share) of the lengths that stand out and at which values end too early.
 
     ``values`` has source, chars, bytes, failing and ellipsis. The histogram has at most one row per source and length; the
     limits are far fewer, as each holds ``SPIKE_RATIO`` times its surroundings.
     """
-    units = F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("len")) for u in ("chars", "bytes")))
-    lengths = (
-        values.select("source", "failing", "ellipsis", F.inline(units))
-        .groupBy("source", "unit", "len")
-        .agg(F.count("*").alias("n"), F.sum(F.col("failing").cast("long")).alias("failing"), F.sum(F.col("ellipsis").cast("long")).alias("n_ellipsis"))
-    )
+    lengths = length_histogram(values)
     around = Window.partitionBy("source", "unit").orderBy("len")
     below = F.coalesce(F.sum("n").over(around.rangeBetween(-NEIGHBOURS, -BYTE_SLACK - 1)), F.lit(0))
     above = F.coalesce(F.sum("n").over(around.rangeBetween(BYTE_SLACK + 1, NEIGHBOURS)), F.lit(0))
@@ -174,12 +179,8 @@ def length_limits(values: DataFrame) -> DataFrame:
     )
 
 
-def cut_values(parts: DataFrame) -> DataFrame:
-    """(archive_id, part_no, source, kind, cut, at_limit, by_limit, broken) for each part that has data, repeated rows once.
-
-    A value is cut ``by_limit`` if it has a limit's length and fails its end test, and ``broken`` if it has another length and
-    its own end tells so.
-    """
+def value_lengths(parts: DataFrame) -> DataFrame:
+    """(archive_id, part_no, source, kind, chars, bytes, open_end, ellipsis, unended, failing) of each value, repeated rows once."""
     rows = (
         parts.filter(F.col("data").isNotNull())
         .select("archive_id", "part_no", "source", value_kind(F.col("data"), F.col("content_type")).alias("kind"), "data")
@@ -197,8 +198,17 @@ def cut_values(parts: DataFrame) -> DataFrame:
         .groupBy("archive_id", "part_no")
         .agg(*(F.first(c).alias(c) for c in ("source", "kind", "chars", "bytes", "open_end", "ellipsis", "unended")))
     )
+    return rows.withColumn("failing", F.col("open_end") | F.col("unended") | F.col("ellipsis"))
+
+
+def cut_values(parts: DataFrame) -> DataFrame:
+    """(archive_id, part_no, source, kind, cut, at_limit, by_limit, broken) for each part that has data, repeated rows once.
+
+    A value is cut ``by_limit`` if it has a limit's length and fails its end test, and ``broken`` if it has another length and
+    its own end tells so.
+    """
     # read by the histogram and by the decision: kept once, without the values
-    rows = materialize(rows.withColumn("failing", F.col("open_end") | F.col("unended") | F.col("ellipsis")), "lengths")
+    rows = materialize(value_lengths(parts), "lengths")
     by_source = (
         length_limits(rows)
         .groupBy(F.col("source").alias("limit_source"))
