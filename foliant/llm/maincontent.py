@@ -172,21 +172,25 @@ def choose(f: dict, host_lines: set[int], web_lines: set[int]) -> list[int]:
             marks[p] = marks.get(p, 0.0) + f["punct"][i]
     ratio = [text.get(p, 0.0) / nodes[p] * (1.0 + marks.get(p, 0.0) / nodes[p]) for p in f["path"]]
     own = [ratio[i] * (0.2 + size[i] / (1.0 + text.get(f["path"][i], 0.0) / nodes[f["path"][i]])) if good[i] else 0.0 for i in range(n)]
-    smooth = [0.25 * (own[i - 1] if i else 0.0) + 0.5 * own[i] + 0.25 * (own[i + 1] if i + 1 < n else 0.0) for i in range(n)]
-    for a, b in _runs(tag):  # a list is as near to the text around it as its first and last item
-        edge = 0.25 * max(own[a - 1] if a else 0.0, own[b] if b < n else 0.0)
-        smooth[a:b] = [max(x, edge) for x in smooth[a:b]]
+    # smoothed over what is neither a menu nor a repeated line; a list is as near to the text around it as its ends
+    kept = [i for i in range(n) if good[i]]
+    around = [0.0, *(own[i] for i in kept), 0.0]
+    smooth = [0.0] * n
+    for k, i in enumerate(kept):
+        smooth[i] = 0.25 * around[k] + 0.5 * around[k + 1] + 0.25 * around[k + 2]
+    for a, b in _runs([tag[i] for i in kept]):
+        edge = 0.25 * max(around[a], around[b + 1])
+        for i in kept[a:b]:
+            smooth[i] = max(smooth[i], edge)
     mean = sum(smooth) / max(1, n)
-    # fused: smoothed ratios of what is neither a menu nor a repeated line
-    fused = [smooth[i] if good[i] else 0.0 for i in range(n)]
-    node = [fused[i] > THRESHOLD * mean for i in range(n)]
+    node = [smooth[i] > THRESHOLD * mean for i in range(n)]
 
     # a part is a container, or the blocks outside of containers up to the next side column
     part, columns = [], 0
     for i in range(n):
         columns += side_start[i]
         part.append(box[i] or -columns)
-    content = [node[i] and tag[i] in (_P, _QUOTE, _PRE, _LI, _CAPTION) and fused[i] >= 0.5 * mean for i in range(n)]
+    content = [node[i] and tag[i] in (_P, _QUOTE, _PRE, _LI, _CAPTION) and smooth[i] >= 0.5 * mean for i in range(n)]
     score: dict[int, float] = {}
     sided: set[int] = set()
     for i in range(n):
