@@ -1,7 +1,8 @@
 """Reading HTML into a light tree and writing it back (no Spark import).
 
 The tree follows the HTML parsing rules that matter for archives: void, raw and escapable text elements, implied html,
-head and body, implied end tags of p, li, dd, dt, option and table parts. Misnested formatting isn't reordered.
+head and body, implied end tags of p, li, dd, dt, option and table parts, implied table parts, formatting that is closed out of
+order or left open over the end of a block, and content that stands in a table outside of its cells.
 """
 
 from __future__ import annotations
@@ -20,6 +21,12 @@ _IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
+#: Elements of formatting, elements that formatting is reopened in, elements that keep it inside, parts of tables.
+_FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+_SPECIAL = _CLOSES_P | frozenset("body button caption col colgroup frameset head html iframe marquee object tbody td template textarea tfoot th thead title tr".split())
+_MARKERS = frozenset("applet caption marquee object td template th".split())
+_TABLE = frozenset("table tbody tfoot thead tr".split())
+_IN_TABLE = frozenset("caption colgroup col tbody tfoot thead tr td th style script template form".split())
 _TAG = re.compile(r"</?[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _BAD_NAME = re.compile(r"[\"'>/=\s]")
@@ -141,13 +148,116 @@ def parse(text: str) -> Document:
         if not value:
             return
         value = value if raw or "&" not in value else html.unescape(value)
+        if not raw and not value.isspace():
+            reopen()
         if not raw and doc.body is None and not any(n.tag in _ESCAPABLE or n.tag in RAW or n.tag == "template" for n in stack):
             if not value.strip():
                 if doc.head is not None:
                     (current() if current().tag == "head" else doc.root).append(Node("#text", text=value))
                 return
             open_body()
-        current().append(Node("#text", text=value))
+        place(Node("#text", text=value), not value.isspace())
+
+    active: list[Node | None] = []  # open formatting, with a marker (None) for each element that keeps it inside
+
+    def place(node: Node, foster: bool) -> Node:
+        """Puts the node where it belongs: before the table if it can't stand in one."""
+        if foster and current().tag in _TABLE:
+            table = next(n for n in reversed(stack) if n.tag in ("table", "template") or n is stack[0])
+            if table.tag == "table" and table.parent is not None:
+                at_ = next(i for i, c in enumerate(table.parent.children) if c is table)
+                return table.parent.insert(at_, node)
+        return current().append(node)
+
+    def reopen() -> None:
+        """Formatting that the end of a block has closed goes on in the next one."""
+        if not active or active[-1] is None or active[-1] in stack:
+            return
+        first = len(active)
+        while first and active[first - 1] is not None and active[first - 1] not in stack:
+            first -= 1
+        for i in range(first, len(active)):
+            node = Node(active[i].tag, dict(active[i].attrs))
+            place(node, True)
+            stack.append(node)
+            active[i] = node
+
+    def format_with(node: Node) -> None:
+        """Keeps an open formatting element; of equal ones only the last three."""
+        equal = []
+        for other in reversed(active):
+            if other is None:
+                break
+            if other.tag == node.tag and other.attrs == node.attrs:
+                equal.append(other)
+        if len(equal) >= 3:
+            active.remove(equal[-1])
+        active.append(node)
+
+    def end_formatting(tag: str) -> None:
+        """Closes a formatting element; blocks it was opened before and closed in keep their own copy of it."""
+        if current().tag == tag and current() not in active:
+            stack.pop()
+            return
+        for _ in range(8):
+            outer = None
+            for other in reversed(active):
+                if other is None:
+                    break
+                if other.tag == tag:
+                    outer = other
+                    break
+            if outer is None:
+                return
+            if outer not in stack:
+                active.remove(outer)
+                return
+            i = stack.index(outer)
+            if any(n.tag in _MARKERS or n.tag == "table" for n in stack[i + 1 :]):
+                return
+            block = next((n for n in stack[i + 1 :] if n.tag in _SPECIAL), None)
+            if block is None:
+                del stack[i:]
+                active.remove(outer)
+                return
+            common, mark = stack[i - 1], active.index(outer)
+            last, k, steps = block, stack.index(block), 0
+            while True:
+                steps += 1
+                k -= 1
+                node = stack[k]
+                if node is outer:
+                    break
+                if steps > 3 and node in active:
+                    mark -= active.index(node) < mark
+                    active.remove(node)
+                if node not in active:
+                    del stack[k]
+                    continue
+                copy = Node(node.tag, dict(node.attrs))
+                active[active.index(node)] = stack[k] = copy
+                if last is block:
+                    mark = active.index(copy) + 1
+                last.remove()
+                last = copy.append(last) and copy
+            last.remove()
+            common.append(last)
+            copy = Node(outer.tag, dict(outer.attrs))
+            for child in list(block.children):
+                copy.append(child)
+            block.children = []
+            block.append(copy)
+            mark -= active.index(outer) < mark
+            active.remove(outer)
+            active.insert(mark, copy)
+            stack.remove(outer)
+            stack.insert(stack.index(block) + 1, copy)
+
+    def leave(node: Node) -> None:
+        """Forgets the formatting inside an element that keeps it."""
+        if node.tag in _MARKERS:
+            while active and active.pop() is not None:
+                pass
 
     while at < size:
         lt = text.find("<", at)
@@ -195,8 +305,13 @@ def parse(text: str) -> Document:
                 if doc.head is not None and doc.body is None:
                     del stack[1:]
                 continue
+            if tag in _FORMATTING and any(n is not None and n.tag == tag for n in active):
+                end_formatting(tag)
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    for n in reversed(stack[i:]):
+                        leave(n)
                     del stack[i:]
                     break
                 if stack[i] is doc.body:
@@ -241,13 +356,32 @@ def parse(text: str) -> Document:
                 if stack[i].tag in stops or stack[i] is doc.body or stack[i].tag == "template":
                     break
                 if stack[i].tag in ends:
+                    for n in reversed(stack[i:]):
+                        leave(n)
                     del stack[i:]
                     if tag != "tr" and not tag.startswith("t"):
                         break
                     # table parts close every open part between
                     if i > 1 and stack[-1].tag not in ends:
                         break
-        node = current().append(Node(tag, attrs))
+        if current().tag == "colgroup" and tag not in ("col", "template"):
+            stack.pop()
+        # parts of tables that are left out
+        if tag in ("tr", "td", "th") and current().tag == "table":
+            stack.append(current().append(Node("tbody")))
+        if tag in ("td", "th") and current().tag in ("tbody", "thead", "tfoot"):
+            stack.append(current().append(Node("tr")))
+        if tag == "col" and current().tag == "table":
+            stack.append(current().append(Node("colgroup")))
+        if tag == "a" and any(n is not None and n.tag == "a" for n in active):
+            end_formatting("a")
+        if tag not in _SPECIAL and tag not in _HEAD and tag not in RAW:
+            reopen()
+        node = place(Node(tag, attrs), tag not in _IN_TABLE)
+        if tag in _FORMATTING:
+            format_with(node)
+        elif tag in _MARKERS:
+            active.append(None)
         if tag in VOID or (inside.rstrip().endswith("/") and any(n.tag in ("svg", "math") for n in stack)):
             continue
         if tag in RAW or tag in _ESCAPABLE:

@@ -795,6 +795,15 @@ def written_pages(spark, base):
     return pages.filter("length > 0").select(F.regexp_extract("path", "([0-9]+)\\.html$", 1).cast("bigint").alias("thread"))
 
 
+@query("repaired_markup", f"SELECT doc_id, {_TEXT_SQL} || '<b>1</b><p><b>' || kind || '</b>3</p><table><tbody><tr><td><i>y</i></td></tr></tbody></table>' AS body FROM documents")
+def repaired_markup(spark, base):
+    # formatting closed out of order, and text that stands in a table outside of its cells
+    page = F.concat(F.lit("<html><head></head><body><div><b>1<p>"), F.col("kind"), F.lit("</b>3</p><table>"), columns.escape_text(F.col("text")), F.lit("<td><i>y</table></div></body></html>"))
+    pages = _text_pages(spark, base, build.part(page, "text/html; charset=utf-8", location=F.lit("https://e.example/p")))
+    found = F.regexp_extract("html", "(?s)<div>(<b>1</b>.*?</p>)(.*)(<table>.*</table>)</div>", 2)
+    return pages.select("doc_id", F.concat(found, F.regexp_extract("html", "(?s)<div>(<b>1</b>.*?3</p>)", 1), F.regexp_extract("html", "(?s)(<table>.*</table>)</div>", 1)).alias("body"))
+
+
 @query("synthesized_pages", f"SELECT doc_id, {_TEXT_SQL} AS body, 'index-synthesized' AS anomaly FROM documents")
 def synthesized_pages(spark, base):
     pages = _text_pages(spark, base, build.part(F.lit("a{}"), "text/css"), build.part(F.col("text"), "text/plain; charset=utf-8"))

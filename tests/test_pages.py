@@ -1,3 +1,5 @@
+import pytest
+
 from foliant.functions import mime, pages
 from tests.test_mime import archive, part
 
@@ -95,3 +97,37 @@ def test_frames_are_followed_to_any_depth():
     parts = [mime.Part(i, f"https://e.com/{i}", f"https://e.com/{i}", None, "text/html", None, f'<p>level {i}</p><frameset><frame src="{i + 1}"></frameset>' if i == 0 else f"<p>level</p><iframe src={i + 1}></iframe>") for i in range(n)]
     page = pages.convert(mime.Archive({}, parts, 0))
     assert page.error is None and page.unfound == [f"https://e.com/{n}"]
+
+
+@pytest.mark.parametrize(
+    "given,expected",
+    [
+        ("<b>1<p>2</b>3</p>", "<b>1</b><p><b>2</b>3</p>"), ("<p><b>x</p><p>y</b>z", "<p><b>x</b></p><p><b>y</b>z</p>"), ("<a href=1>x<a href=2>y</a>", '<a href="1">x</a><a href="2">y</a>'),
+        ("<b><i>1</b>2</i>3", "<b><i>1</i></b><i>2</i>3"), ("<b>1<div>2<i>3</b>4</i></div>", "<b>1</b><div><b>2<i>3</i></b><i>4</i></div>"), ("<i>1</i></i>2", "<i>1</i>2"),
+        ("<table>x<tr><td>y</table>z", "x<table><tbody><tr><td>y</td></tr></tbody></table>z"), ("<table><b>x</b><td><i>y</table>z", "<b>x</b><table><tbody><tr><td><i>y</i></td></tr></tbody></table>z"),
+        ("<table><col><tr><th>a<td>b<tr><td>c</table>", "<table><colgroup><col></colgroup><tbody><tr><th>a</th><td>b</td></tr><tr><td>c</td></tr></tbody></table>"), ("<div><em>a</div>b", "<div><em>a</em></div><em>b</em>"),
+    ],
+)
+def test_repairs(given, expected):
+    from foliant.functions import markup
+
+    assert markup.parse(f"<html><head></head><body>{given}</body></html>").serialize() == f"<html><head></head><body>{expected}</body></html>"
+
+
+def test_repairs_of_random_markup_keep_all_text():
+    import random
+
+    from foliant.functions import markup
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = "".join(rnd.choice(["<b>", "</b>", "<i>", "</i>", "<a>", "</a>", "<p>", "</p>", "<div>", "</div>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<li>", "<object>", "</object>", "x", "y "]) for _ in range(60))
+        doc = markup.parse(text)
+        assert sorted(c for n in [doc.root, *doc.root.walk()] for t in n.children if t.tag == "#text" for c in t.text if not c.isspace()) == sorted(c for c in markup_text(text) if not c.isspace())
+        assert markup.parse(doc.serialize()) is not None
+
+
+def markup_text(text):
+    import re
+
+    return re.sub("<[^>]*>", "", text)
