@@ -42,13 +42,10 @@ def main(args: list[str] | None = None) -> int:
     if not paths:
         return 1
     read = read_archives(spark, paths, pattern=None)
+    web = None
     if options.fetch_missing_resources:
-        parsed = materialize(ops.parse_archives(read), "parsed")
         web = spark.read.parquet(options.web) if options.web else fetching.http()
-        parts, _ = ops.fetch_rounds(ops.archive_parts(parsed), web, max_retries=options.max_retries, max_parallel=options.max_parallel_requests)
-        pages = ops.convert_parts(parts, parsed, options.enable_scripts)
-    else:
-        pages = ops.convert_archives(read, options.enable_scripts)
+    pages = ops.convert_archives(read, options.enable_scripts, web, options.max_retries, options.max_parallel_requests)
     pages = materialize(pages, "pages")
     for row in pages.filter("error IS NOT NULL").select("archive_id", "error").toLocalIterator():
         print(f"Error processing {row['archive_id']}: {row['error']}", file=sys.stderr)

@@ -22,8 +22,12 @@ from foliant.functions.markup import Node
 POLICY = "default-src 'none'; connect-src 'self' data:; font-src 'self' data:; img-src 'self' data:; style-src 'self' 'unsafe-inline' data:; frame-src 'self' data:; media-src 'self' data:; object-src 'self' data:; "
 SCRIPTS_ON, SCRIPTS_OFF = "script-src 'self' 'unsafe-inline' data:;", "script-src 'none';"
 _HINTS = re.compile(r"preconnect|prerender|dns-prefetch|preload|prefetch|manifest|modulepreload", re.I)
-_MEDIA_TAGS = frozenset(("img", "audio", "video", "source", "script"))
-_FRAMES = {"iframe": "src", "frame": "src", "embed": "src", "object": "data"}
+_RESOURCE, _CANDIDATES, _BACKGROUND = ("src", "resource"), ("srcset", "candidates"), ("background", "resource")
+#: What a page loads with itself: per element its attributes ("" for its text) and what they hold.
+LOADS = {
+    "audio": (_RESOURCE,), "body": (_BACKGROUND,), "embed": (("src", "frame"),), "frame": (("src", "frame"),), "iframe": (("src", "frame"),), "img": (_RESOURCE, _CANDIDATES), "input": (_RESOURCE,), "link": (("href", "link"),), "object": (("data", "frame"),),
+    "script": (_RESOURCE,), "source": (_RESOURCE, _CANDIDATES), "style": (("", "sheet"),), "table": (_BACKGROUND,), "td": (_BACKGROUND,), "th": (_BACKGROUND,), "video": (_RESOURCE,),
+}
 _ORIGINAL = "data-original-"
 
 
@@ -57,48 +61,40 @@ def page_base(doc: markup.Document, address: str) -> tuple[str, Node | None]:
     return address, found[0] if found else None
 
 
+def loads(node: Node) -> list[tuple[str, str]]:
+    """(attribute, kind) of what the element loads; a link is a stylesheet, an icon or another link by its relation."""
+    a = node.attrs
+    out = [("style", "css")] if a.get("style") else []
+    for attribute, kind in LOADS.get(node.tag, ()):
+        value = a.get(attribute) if attribute else ""
+        if attribute and not value or attribute == "background" and value.startswith("data:") or node.tag == "input" and a.get("type", "").lower() != "image":
+            continue
+        if kind == "link":
+            rel = a.get("rel", "").lower()
+            if not rel:
+                continue
+            kind = "stylesheet" if "stylesheet" in rel.split() else "icon" if "icon" in rel else "link"
+        out.append((attribute, kind))
+    return out
+
+
 def page_references(doc: markup.Document, base: str) -> list[Reference]:
     """All references of a page, in document order; what stands in a template is not loaded with the page."""
     out: list[Reference] = []
     inert: set[int] = set()
-
-    def add(node: Node, attribute: str, kind: str, raw: str, binary: bool = True) -> None:
-        out.append(Reference(node, node.tag, attribute, kind, raw, urls.resolve(raw, base), binary))
-
     for node in doc.root.walk():
-        a = node.attrs
         if node.parent is not None and (node.parent.tag == "template" or id(node.parent) in inert):
             inert.add(id(node))
             continue
-        if a.get("style"):
-            for span in css.references(a["style"]):
-                if not span.path.startswith("data:"):
-                    add(node, "style", "css", span.path)
-        tag = node.tag
-        if tag == "link" and a.get("href") and a.get("rel"):
-            rel = a["rel"].lower()
-            if "stylesheet" in rel.split():
-                add(node, "href", "stylesheet", a["href"], False)
-            elif "icon" in rel:
-                add(node, "href", "icon", a["href"])
-        elif tag == "style":
-            for span in css.references(node.own_text()):
-                if not span.path.startswith("data:"):
-                    add(node, "", span.kind if span.kind == "import" else "css", span.path, span.kind != "import")
-        elif tag in _MEDIA_TAGS:
-            if a.get("src"):
-                add(node, "src", "resource", a["src"])
-            if tag in ("img", "source") and a.get("srcset"):
-                for c in srcset.parse(a["srcset"]):
-                    add(node, "srcset", "resource", c.url)
-        elif tag in ("body", "table", "td", "th"):
-            if a.get("background") and not a["background"].startswith("data:"):
-                add(node, "background", "resource", a["background"])
-        elif tag == "input":
-            if a.get("type", "").lower() == "image" and a.get("src"):
-                add(node, "src", "resource", a["src"])
-        elif tag in _FRAMES and a.get(_FRAMES[tag]):
-            add(node, _FRAMES[tag], "frame", a[_FRAMES[tag]], False)
+        for attribute, kind in loads(node):
+            if kind in ("css", "sheet"):
+                spans = css.references(node.attrs["style"] if kind == "css" else node.own_text())
+                found = [("import" if s.kind == "import" and kind == "sheet" else "css", s.path, s.kind != "import" or kind == "css") for s in spans if not s.path.startswith("data:")]
+            elif kind == "candidates":
+                found = [("resource", c.url, True) for c in srcset.parse(node.attrs[attribute])]
+            else:
+                found = [(kind, node.attrs[attribute], kind not in ("stylesheet", "frame"))] if kind != "link" else []
+            out += [Reference(node, node.tag, attribute, k, raw, urls.resolve(raw, base), binary) for k, raw, binary in found]
     return out
 
 
@@ -186,52 +182,22 @@ class _Converter:
         removed: list[Node] = []
         canonical = False
         for node in list(doc.root.walk()):
-            a = node.attrs
-            if a.get("style"):
-                a["style"] = self.sheet_text(a["style"], base)
-            a.pop("integrity", None)
-            if not self.scripts:
-                for name in [n for n in a if n in HANDLERS]:
-                    del a[name]
-            tag = node.tag
-            if tag == "link" and a.get("href") and a.get("rel"):
-                canonical |= self.link(node, base, address, result, removed, sheet_base)
-            elif tag == "style":
-                text = self.sheet_text(node.own_text(), base)
-                node.attrs = {k: a[k] for k in ("media", "title") if a.get(k)}
-                node.children = []
-                node.append(Node("#text", text=text))
-            elif tag in _MEDIA_TAGS:
-                if a.get("src"):
-                    self.inline(node, "src", base)
-                if tag in ("img", "source") and a.get("srcset"):
-                    out = []
-                    for c in srcset.parse(a["srcset"]):
-                        resolved = urls.resolve(c.url, base)
-                        found = self.part(resolved, c.url)
-                        out.append(c._replace(url=data_address(found) if found else self.miss(resolved)))
-                    self.set(node, "srcset", srcset.serialize(out))
-                if tag == "script" and not self.scripts and a.get("type", "").lower() != "application/ld+json":
-                    removed.append(node)
-            elif tag in ("body", "table", "td", "th"):
-                if a.get("background") and not a["background"].startswith("data:"):
-                    self.inline(node, "background", base)
-            elif tag == "input":
-                if a.get("type", "").lower() == "image" and a.get("src"):
-                    self.inline(node, "src", base)
-            elif tag in _FRAMES:
-                if a.get(_FRAMES[tag]):
-                    self.frame(node, _FRAMES[tag], base, open_frames)
-            elif tag in ("a", "area"):
-                if a.get("href"):
-                    a["href"] = urls.same_page(a["href"], base)
-                a.pop("ping", None)
-            elif tag == "meta":
-                if a.get("http-equiv", "").lower() in ("refresh", "content-security-policy"):
-                    removed.append(node)
-            elif tag == "template" and a.get("shadowmode"):
-                a["shadowrootmode"] = a.pop("shadowmode")
-            elif tag == "title" and node.parent is doc.head and result.title is None and node.own_text():
+            for attribute, kind in loads(node):
+                if kind == "css":
+                    node.attrs["style"] = self.sheet_text(node.attrs["style"], base)
+                elif kind == "sheet":
+                    self.style(node, base)
+                elif kind == "candidates":
+                    self.candidates(node, base)
+                elif kind == "resource":
+                    self.inline(node, attribute, base)
+                elif kind == "frame":
+                    self.frame(node, attribute, base, open_frames)
+                else:
+                    canonical |= self.link(node, base, address, result, removed, sheet_base)
+            if self.sanitise(node, base):
+                removed.append(node)
+            if node.tag == "title" and node.parent is doc.head and result.title is None and node.own_text():
                 result.title = node.own_text()
         for node in removed:
             node.remove()
@@ -246,6 +212,37 @@ class _Converter:
         result.data = doc.serialize()
         return result
 
+    def sanitise(self, node: Node, base: str) -> bool:
+        """Takes from an element what a saved page must not do; True for one that must go."""
+        a = node.attrs
+        a.pop("integrity", None)
+        if not self.scripts:
+            for name in [n for n in a if n in HANDLERS]:
+                del a[name]
+        if node.tag in ("a", "area"):
+            a.pop("ping", None)
+            if a.get("href"):
+                a["href"] = urls.same_page(a["href"], base)
+        if node.tag == "template" and a.get("shadowmode"):
+            a["shadowrootmode"] = a.pop("shadowmode")
+        if node.tag == "script":
+            return not self.scripts and a.get("type", "").lower() != "application/ld+json"
+        return node.tag == "meta" and a.get("http-equiv", "").lower() in ("refresh", "content-security-policy")
+
+    def style(self, node: Node, base: str) -> None:
+        text = self.sheet_text(node.own_text(), base)
+        node.attrs = {k: node.attrs[k] for k in ("media", "title") if node.attrs.get(k)}
+        node.children = []
+        node.append(Node("#text", text=text))
+
+    def candidates(self, node: Node, base: str) -> None:
+        out = []
+        for c in srcset.parse(node.attrs["srcset"]):
+            resolved = urls.resolve(c.url, base)
+            found = self.part(resolved, c.url)
+            out.append(c._replace(url=data_address(found) if found else self.miss(resolved)))
+        self.set(node, "srcset", srcset.serialize(out))
+
     def set(self, node: Node, attribute: str, value: str | None) -> None:
         """Sets an attribute and keeps the address it had."""
         old = node.attrs.get(attribute)

@@ -250,9 +250,21 @@ def _page(page: pages.Page) -> dict:
     return {"error": page.error, "html": page.data, "title": page.title, "favicons": page.favicons, "unfound_resources": page.unfound, "anomalies": _named(page.anomalies)}
 
 
-def convert_archives(archives: DataFrame, scripts: bool = False) -> DataFrame:
-    """(archive_id, content) to one self-contained page each. No shuffle: an archive is converted where it is read."""
-    return archives.select("archive_id", "content").mapInArrow(lambda b: _rows(b, lambda c: _page(pages.convert(mime.parse(c), scripts)), _PAGE, 16), PAGE)
+def convert_archives(archives: DataFrame, scripts: bool = False, web: DataFrame | fetching.Fetch | None = None, max_retries: int = fetching.MAX_RETRIES, max_parallel: int = fetching.MAX_PARALLEL, partitions: int | None = None) -> DataFrame:
+    """(archive_id, content) to one self-contained page each. No shuffle: an archive is converted where it is read.
+
+    With ``web``, a table of answers or a client, missing resources are fetched first, round by round; that needs a shuffle
+    by archive.
+    """
+    if web is None:
+        return archives.select("archive_id", "content").mapInArrow(lambda b: _rows(b, lambda c: _page(pages.convert(mime.parse(c), scripts)), _PAGE, 16), PAGE)
+    parsed = materialize(parse_archives(archives), "parsed")
+    parts, _ = fetch_rounds(archive_parts(parsed), web, None, max_retries, max_parallel, partitions)
+    found = convert_parts(parts, parsed, scripts)
+    own = parsed.select("archive_id", F.col("error").alias("parse_error"), F.col("anomalies").alias("parse_anomalies"))
+    joined = own.join(found, "archive_id", "left").withColumn("error", F.coalesce("parse_error", "error", F.when(F.col("html").isNull(), F.lit("Index page not found"))))
+    more = F.coalesce("anomalies", F.array().cast(found.schema["anomalies"].dataType))
+    return joined.withColumn("anomalies", F.concat(F.coalesce("parse_anomalies", F.array().cast(found.schema["anomalies"].dataType)), more)).select(*found.columns)
 
 
 def convert_parts(parts: DataFrame, headers: DataFrame | None = None, scripts: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.delimited import BROKEN, START, STATES, chunk_table, read_chunk, tokenize
+from foliant.functions.delimited import BROKEN, QUOTED, START, STATES, chunk_table, read_chunk, tokenize
 
 COLUMNS = ("archive_id", "part_no", "content_type", "transfer_encoding", "n_bytes", "captured_at", "headers", "anomalies")
 #: Transfer encodings and anomaly types a record can name.
@@ -195,11 +195,12 @@ def _fold(rows, state: int, count: int):
 
 
 def split_records(chunks: DataFrame, sep: str = ",") -> DataFrame:
-    """(file_name, record_no, record) of raw files given as (file_name, chunk_no, text), chunks numbered from 0.
+    """(file_name, record_no, record, n_chars, closed) of raw files given as (file_name, chunk_no, text), chunks numbered from 0.
 
     Three passes: every chunk's transition from every state; the composition, first inside blocks of ``BLOCK_CHUNKS``
-    chunks and then over a file's blocks; the pieces of records each chunk holds, joined by record number. A broken
-    quote makes the rest of its file one last record, so that its offset stays exact.
+    chunks and then over a file's blocks; the pieces of records each chunk holds, joined by record number. A broken or never
+    closed quote makes the rest of its file one last record that is not closed; its text is not brought together (``record``
+    is null), only measured, so that no task has to hold the rest of a file.
     """
     import pandas as pd
 
@@ -216,36 +217,39 @@ def split_records(chunks: DataFrame, sep: str = ",") -> DataFrame:
 
     def fold_file(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block_no")
-        found = list(_fold(zip(rows["to_state"], rows["n_ends"]), START, 0))[:-1]
-        return pd.DataFrame({"file_name": rows["file_name"], "block_no": rows["block_no"], "state": [x[0] for x in found], "records": [x[1] for x in found]})
+        *found, (end, total) = _fold(zip(rows["to_state"], rows["n_ends"]), START, 0)
+        # the number of the record that is never closed, if there is one
+        unclosed = total if end in (BROKEN, QUOTED) else -1
+        return pd.DataFrame({"file_name": rows["file_name"], "block_no": rows["block_no"], "state": [x[0] for x in found], "records": [x[1] for x in found], "unclosed": unclosed})
 
-    at_block = whole.groupBy("file_name").applyInPandas(fold_file, "file_name string, block_no bigint, state int, records bigint")
+    at_block = whole.groupBy("file_name").applyInPandas(fold_file, "file_name string, block_no bigint, state int, records bigint, unclosed bigint")
 
     def fold_chunks(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("chunk_no")
         found = list(_fold(zip(rows["to_state"], rows["n_ends"]), int(rows["state"].iloc[0]), int(rows["records"].iloc[0])))[:-1]
-        return pd.DataFrame({"file_name": rows["file_name"], "chunk_no": rows["chunk_no"], "state": [x[0] for x in found], "records": [x[1] for x in found]})
+        return pd.DataFrame({"file_name": rows["file_name"], "chunk_no": rows["chunk_no"], "state": [x[0] for x in found], "records": [x[1] for x in found], "unclosed": rows["unclosed"]})
 
-    at_chunk = blocks.join(at_block, ["file_name", "block_no"]).groupBy("file_name", "block_no").applyInPandas(fold_chunks, "file_name string, chunk_no bigint, state int, records bigint")
+    at_chunk = blocks.join(at_block, ["file_name", "block_no"]).groupBy("file_name", "block_no").applyInPandas(fold_chunks, "file_name string, chunk_no bigint, state int, records bigint, unclosed bigint")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for name, number, text, state, before in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for name, number, text, state, before, unclosed in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 text = text or ""
                 ends = read_chunk(text, state, sep, True).record_ends if state != BROKEN else ()
                 last = 0
                 for k, end in enumerate((*ends, len(text))):
-                    out.append((name, before + k, number, text[last:end], k < len(ends)))
+                    out.append((name, before + k, number, None if before + k == unclosed else text[last:end], end - last, k < len(ends)))
                     last = end + 1
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["file_name", "record_no", "chunk_no", "piece", "closed"]
-            )
+            cols = list(zip(*out)) if out else [[]] * 6
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file_name", "record_no", "chunk_no", "piece", "size", "closed"])
 
-    parts = raw.join(at_chunk, ["file_name", "chunk_no"]).select("file_name", "chunk_no", "text", "state", "records").mapInArrow(pieces, "file_name string, record_no bigint, chunk_no bigint, piece string, closed boolean")
+    parts = raw.join(at_chunk, ["file_name", "chunk_no"]).select("file_name", "chunk_no", "text", "state", "records", "unclosed").mapInArrow(pieces, "file_name string, record_no bigint, chunk_no bigint, piece string, size bigint, closed boolean")
     joined = parts.groupBy("file_name", "record_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "piece"))), lambda x: x["piece"]), "").alias("record"), F.bool_or("closed").alias("closed")
-    )
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("chunk_no", "piece")))), lambda x: x["piece"]), "").alias("joined"),
+        F.count("piece").alias("pieces"), F.sum("size").alias("n_chars"), F.bool_or("closed").alias("closed"),
+    )
+    record = F.when(F.col("pieces") > 0, F.regexp_replace("joined", r"\r\z", ""))
     # the empty piece behind a file's last line feed is no record
-    return joined.filter((F.col("record") != "") | F.col("closed")).select("file_name", "record_no", F.regexp_replace("record", r"\r\z", "").alias("record"))
+    return joined.filter((F.col("n_chars") > 0) | F.col("closed")).select("file_name", "record_no", record.alias("record"), "n_chars", "closed")

@@ -82,3 +82,13 @@ def test_rounds_with_a_client(spark):
     found, failed = ops.fetch_rounds(parts, client, partitions=2)
     assert sorted(tuple(r) for r in found.select("archive_id", "id").collect()) == [(a, f"https://e.com/{n}") for a in "ab" for n in ("p", "s.css", "t.css")]
     assert sorted(tuple(r) for r in failed.collect()) == [("a", "https://e.com/gone.png"), ("b", "https://e.com/gone.png")]
+
+
+def test_conversion_fetches(spark):
+    from foliant.operators import archives as ops
+
+    page = b'Content-Type: text/html\nContent-Location: https://e.com/p\nSubject: S\n\n<link rel="stylesheet" href="s.css"><img src="gone.png">'
+    rows = spark.createDataFrame([("a", bytearray(page)), ("b", bytearray(b"")), ("c", None)], "archive_id string, content binary")
+    got = {r["archive_id"]: r for r in ops.convert_archives(rows, web=lambda url: Answer(200, "text/css", b"a{b:c}") if url.endswith(".css") else Answer(404), max_retries=0, max_parallel=2).collect()}
+    assert "a{b:c}" in got["a"]["html"] and got["a"]["unfound_resources"] == ["https://e.com/gone.png"] and got["a"]["error"] is None
+    assert got["b"]["error"] == "Index page not found" and got["c"]["error"] == "no content"
