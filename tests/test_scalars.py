@@ -92,7 +92,7 @@ def test_same_page_links():
     "text,expected",
     [
         ("a.png", "a.png"),
-        ("a.png 1.0x, b.png 2x", "a.png 1x, b.png 2x"),
+        ("small.webp 1.0x, wide.webp 2x", "small.webp 1x, wide.webp 2x"),
         ("a.png 10w 20h,b.png", "a.png 10w 20h, b.png"),
         ("a,b.png, c.png", "a,b.png, c.png"),
         ("a.png 1.5x 2w", "a.png 1.5x 2w"),
