@@ -37,7 +37,7 @@ def p1_lengths(spark: SparkSession, base: str) -> DataFrame:
 
 @query(
     "p1_anomalies",
-    """WITH a AS (SELECT DISTINCT archive_id, unnest(anomalies, recursive := true) FROM archives), t AS (SELECT unnest(['document-mislabeled-as-archive', 'declared-boundary-unused', 'multipart-without-delimiters', 'index-synthesized', 'base64-left-encoded']) AS name)
+    """WITH a AS (SELECT DISTINCT archive_id, x.type AS type, x.id AS id FROM (SELECT archive_id, unnest(anomalies) AS x FROM archives)), t AS (SELECT unnest(['document-mislabeled-as-archive', 'declared-boundary-unused', 'multipart-without-delimiters', 'index-synthesized', 'base64-left-encoded']) AS name)
        SELECT archive_id FROM a JOIN t ON starts_with(t.name, a.type) AND t.name <> a.type UNION SELECT a.archive_id FROM a WHERE a.id IS NOT NULL AND EXISTS (SELECT 1 FROM parts p WHERE p.archive_id = a.archive_id AND starts_with(p.id, a.id))
        AND NOT EXISTS (SELECT 1 FROM parts p WHERE p.archive_id = a.archive_id AND p.id = a.id)""",
 )
