@@ -235,7 +235,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for archive, host, title, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
             blocks = read_blocks(data)
             slot, filler, *read = read_page(data, blocks)
-            rows.append({"archive_id": archive, "host": host or "", **page_features(blocks, title), "found": slot or filler, "keys": tree.read(*read, host)})
+            rows.append({"archive_id": archive, "host": host or "", **page_features(blocks, title), "found": slot or filler, "keys": tree.read(*read, host, archive)})
         yield batch_of(schema, {k: [r[k] for r in rows] for k in _FEATURES})
     yield batch_of(schema, tree.flush())
 

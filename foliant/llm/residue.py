@@ -33,7 +33,7 @@ from foliant.runtime import materialize
 OTHER_CHARS = 60
 #: A message stands alone at least so often, on two hosts, in this share of its values; beginnings like its own as well.
 MIN_ALONE, MIN_SHARE = 2, 0.2
-#: ... on one host only, in this share.
+#: ... on one host only, in two archives of it and in this share.
 ONE_HOST_SHARE = 0.6
 #: Templates kept by one partition before they are sent on; the rest follows in further partial rows.
 PARTIAL_TEMPLATES = 50_000
@@ -188,15 +188,15 @@ def read_page(data: str, blocks: list[Block]) -> tuple[bool, bool, dict[str, int
 
 
 class Tree:
-    """A partition's part of the tree: per leaf the node, values, values it stands alone in, hosts of these, consensus."""
+    """A partition's part of the tree: per leaf the node, values, values it stands alone in, their hosts and archives, consensus."""
 
     def __init__(self):
         self.leaves: dict[int, list] = {}
 
-    def read(self, statements: dict[str, int], notices: list[str], chars: int, host: str | None) -> list[int]:
+    def read(self, statements: dict[str, int], notices: list[str], chars: int, host: str | None, archive: str | None) -> list[int]:
         """Counts one value's statements and gives their leaves. A notice counts only where there is no other content."""
         keys: dict[int, None] = {}
-        number = None
+        places: tuple[int, int] | None = None
         shown = [(text, chars - size < OTHER_CHARS) for text, size in statements.items()]
         if chars < OTHER_CHARS:
             shown += [(text, True) for text in notices if text]
@@ -209,15 +209,16 @@ class Tree:
             keys[leaf] = None
             known = self.leaves.get(leaf)
             if known is None:
-                known = self.leaves[leaf] = [node, 0, 0, None, None, None]
+                known = self.leaves[leaf] = [node, 0, 0, None, None, None, None, None]
             known[1] += 1
             if alone:
-                number = _hash(host or "") if number is None else number
-                tokens = [masked(t) for t in tokens_of(text)]
+                places = places or (_hash(host or ""), _hash(archive or ""))
                 known[2] += 1
-                known[3] = number if known[3] is None else min(known[3], number)
-                known[4] = number if known[4] is None else max(known[4], number)
-                known[5] = tokens if known[5] is None or known[5] == tokens else merge(known[5], tokens)
+                for k, place in ((3, places[0]), (5, places[1])):
+                    known[k] = place if known[k] is None else min(known[k], place)
+                    known[k + 1] = place if known[k + 1] is None else max(known[k + 1], place)
+                tokens = [masked(t) for t in tokens_of(text)]
+                known[7] = tokens if known[7] is None or known[7] == tokens else merge(known[7], tokens)
         return list(keys)
 
     def flush(self) -> dict[str, list]:
@@ -227,9 +228,9 @@ class Tree:
 
 
 #: The columns of a partial row of the tree, and of a record.
-LEAF = {"leaf": pa.int64(), "node": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "host_min": pa.int64(), "host_max": pa.int64(), "template": pa.list_(pa.string())}
+LEAF = {"leaf": pa.int64(), "node": pa.int64(), "n": pa.int64(), "alone": pa.int64(), "host_min": pa.int64(), "host_max": pa.int64(), "archive_min": pa.int64(), "archive_max": pa.int64(), "template": pa.list_(pa.string())}
 RECORD = {"archive_id": pa.string(), "part_no": pa.int32(), "found": pa.bool_(), "keys": pa.list_(pa.int64())}
-_LEAF_DDL = "leaf bigint, node bigint, n bigint, alone bigint, host_min bigint, host_max bigint, template array<string>"
+_LEAF_DDL = "leaf bigint, node bigint, n bigint, alone bigint, host_min bigint, host_max bigint, archive_min bigint, archive_max bigint, template array<string>"
 
 
 def batch_of(schema: dict[str, pa.DataType], values: dict[str, list]) -> pa.RecordBatch:
@@ -245,7 +246,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for archive, part, host, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
             slot, filler, *read = read_value(data)
-            keys = tree.read(*read, host)
+            keys = tree.read(*read, host, archive)
             if slot or filler or keys:
                 rows.append((archive, part, slot or filler, keys))
         yield batch_of(schema, dict(zip(RECORD, map(list, zip(*rows)))))
@@ -263,11 +264,14 @@ def mined(values: DataFrame) -> DataFrame:
 
 def messages(leaves: DataFrame) -> DataFrame:
     """(leaf, n, alone) of the templates that are messages, told from the partial leaves of all values."""
-    per_leaf = leaves.groupBy("leaf").agg(F.first("node").alias("node"), F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.min("host_min").alias("low"), F.max("host_max").alias("high"))
-    share = F.when(F.col("low") != F.col("high"), MIN_SHARE).otherwise(ONE_HOST_SHARE)
-    likely = per_leaf.filter((F.col("alone") >= MIN_ALONE) & (F.col("alone") >= share * F.col("n")))
+    # two hosts or archives show in the least and the greatest of their keys
+    per_leaf = leaves.groupBy("leaf").agg(
+        F.first("node").alias("node"), F.sum("n").alias("n"), F.sum("alone").alias("alone"), (F.min("host_min") != F.max("host_max")).alias("hosts"), (F.min("archive_min") != F.max("archive_max")).alias("archives")
+    )
+    needed = F.when(F.col("hosts"), MIN_SHARE).when(F.col("archives"), ONE_HOST_SHARE)
+    likely = per_leaf.withColumn("needed", needed).filter((F.col("alone") >= MIN_ALONE) & (F.col("alone") >= F.col("needed") * F.col("n")))
     per_node = leaves.groupBy("node").agg((F.sum("alone") / F.sum("n")).alias("node_share")).filter(F.col("node_share") >= MIN_SHARE)
-    return likely.join(per_node, "node").filter(F.col("node_share") >= F.when(F.col("low") != F.col("high"), MIN_SHARE).otherwise(ONE_HOST_SHARE)).select("leaf", "n", "alone")
+    return likely.join(per_node, "node").filter(F.col("node_share") >= F.col("needed")).select("leaf", "n", "alone")
 
 
 def message_templates(table: DataFrame) -> DataFrame:

@@ -57,8 +57,9 @@ def test_templates_are_told_by_standing_alone(spark):
 
 
 def test_one_short_text_is_no_message(spark):
-    rows = [("a", 0, "h", "text/plain", "The ferry crew lost the ledger.", None), ("b", 0, None, "text/plain", "Another short line.", None)] * 2
-    assert r.verdicts(spark.createDataFrame([rows[0], rows[1]], SCHEMA)).count() == 0
+    rows = [("a", 0, "h", "text/plain", "The ferry crew lost the ledger.", None), ("b", 0, None, "text/plain", "Another short line.", None)] * 3
+    rows += [("a", -1, "h", "text/html", "<p>The ferry crew lost the ledger.</p>", None)]
+    assert r.verdicts(spark.createDataFrame(rows, SCHEMA)).count() == 0
 
 
 def test_messages_of_any_length(spark):
