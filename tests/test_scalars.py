@@ -125,7 +125,7 @@ def test_sheets_keep_all_other_text():
         ("x", "<html><head></head><body>x</body></html>"),
         ("<!doctype HTML><title>a &amp; b</title>x", "<!DOCTYPE html>\n<html><head><title>a &amp; b</title></head><body>x</body></html>"),
         ("<p>a<p>b<ul><li>c<li>d</ul>", "<html><head></head><body><p>a</p><p>b</p><ul><li>c</li><li>d</li></ul></body></html>"),
-        ("<table><tr><td>a<td>b<tr><td>c</table>", "<html><head></head><body><table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table></body></html>"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "<html><head></head><body><table><tbody><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></tbody></table></body></html>"),
         ("<script>a</p></script><b>x", "<html><head><script>a<\\/p></script></head><body><b>x</b></body></html>"),
         ('<a b="c>d" e=\'f"\' g=h i>j</a>', '<html><head></head><body><a b="c>d" e="f&quot;" g="h" i="">j</a></body></html>'),
         ("a < b &lt; c &nbsp; d", "<html><head></head><body>a &lt; b &lt; c &nbsp; d</body></html>"),
