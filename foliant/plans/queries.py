@@ -58,7 +58,7 @@ _RECORDS = f"""r AS (SELECT DISTINCT line_id, lower(coalesce(file_name, '')) LIK
     UNION ALL SELECT line_id, 'part_no' FROM c WHERE NOT regexp_full_match(part_no, '[0-9]+')
     UNION ALL SELECT line_id, 'n_bytes' FROM c WHERE NOT regexp_full_match(n_bytes, '[0-9]+')
     UNION ALL SELECT line_id, 'transfer_encoding' FROM c WHERE transfer_encoding NOT IN ('', 'base64', 'quoted-printable', '7bit', '8bit', 'binary')
-    UNION ALL SELECT line_id, 'captured_at' FROM c WHERE NOT regexp_full_match(captured_at, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])') OR try_cast(captured_at[:10] AS DATE) IS NULL
+    UNION ALL SELECT line_id, 'captured_at' FROM c WHERE NOT regexp_full_match(captured_at, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])') OR try_cast(captured_at[:10] AS DATE) IS NULL
     UNION ALL SELECT line_id, 'headers' FROM j WHERE h IS NULL OR json_type(h) <> 'OBJECT' OR len(list_filter(json_keys(h), lambda k: json_type(h -> ('$."' || k || '"')) <> 'VARCHAR')) > 0
     UNION ALL SELECT line_id, 'anomalies' FROM j WHERE a IS NULL OR json_type(a) <> 'ARRAY' OR len(list_filter(CAST(CASE WHEN json_type(a) = 'ARRAY' THEN a ELSE '[]' END AS JSON[]), lambda x: coalesce(json_type(x) <> 'OBJECT'
       OR json_type(x -> '$.type') IS DISTINCT FROM 'VARCHAR' OR (x ->> '$.type') NOT IN {_KNOWN_TYPES} OR (list_contains(json_keys(x), 'id') AND json_type(x -> '$.id') <> 'VARCHAR'), true))) > 0)"""
@@ -639,6 +639,19 @@ def converted_parts(spark, base):
     return pages.select("archive_id", "error", "title", F.length("html").alias("n_chars"), F.size("favicons").alias("n_favicons"), F.size("unfound_resources").alias("n_unfound"))
 
 
+_TITLE_SQL = "nullif(replace(replace(replace(replace(regexp_extract({}, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '')"
+
+
+@query(
+    "converted_titles",
+    f"""SELECT a.archive_id, d.archive_id IS NULL AND s.archive_id IS NULL AS failed, {_TITLE_SQL.format('d.data')} AS title FROM (SELECT DISTINCT archive_id FROM parts) a
+        LEFT JOIN (SELECT archive_id, arg_min(coalesce(data, ''), part_no) AS data FROM ({_PART_KEYS}) WHERE lower(content_type) LIKE 'text/html%' OR lower(content_type) LIKE 'application/xhtml+xml%' GROUP BY archive_id) d USING (archive_id)
+        LEFT JOIN (SELECT DISTINCT archive_id FROM parts WHERE lower(content_type) LIKE 'image/%' OR lower(content_type) LIKE 'text/plain%') s USING (archive_id)""",
+)
+def converted_titles(spark, base):
+    return ops.convert_parts(_parts(spark, base)).select("archive_id", F.col("error").isNotNull().alias("failed"), "title")
+
+
 @query("converted_unfound", f"SELECT DISTINCT archive_id, resolved AS address FROM ({_HITS}) h JOIN (SELECT archive_id, min(part_no) AS ordinal FROM ({_DOCS.replace(' AND data IS NOT NULL', '')}) GROUP BY archive_id) USING (archive_id, ordinal) WHERE part < 0 AND resolved NOT LIKE 'data:%'")
 def converted_unfound(spark, base):
     # conversion and the anti-join must leave the same holes
