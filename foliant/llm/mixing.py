@@ -26,7 +26,7 @@ from foliant.runtime import materialize
 #: Digits of the hash that one pass of refinement looks at.
 BITS = 12
 #: The part of a source's budget that may be left.
-FILL_SHARE = 0.001
+FILL_SHARE = 0.005
 #: All bits of the hash that are used.
 HASH_BITS = 60
 
